@@ -6,8 +6,22 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup
-from .common import table
+from . import exact_dedup, packing, token_counts, token_store
+from .common import new_path, table
+
+
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.section_token_counts(table(spark, sf_dir, "documents"))
+
+
+def op6_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_path(spark, "token-store")
+    token_store.write_store(table(spark, sf_dir, "documents"), path)
+    return token_store.read_store(spark, path)
+
+
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,5 +29,8 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op5_token_counts": op5_token_counts,
+    "op6_token_store": op6_token_store,
+    "op8_packing": op8_packing,
     "op10_exact_dedup": op10_exact_dedup,
 }
