@@ -41,8 +41,13 @@ def rolling(series: DataFrame, context: int, horizon: int, stride: int | None =
 
 
 def packed(windows: DataFrame, context: int) -> DataFrame:
-    """One row per window: arrays `y` of the context and `actual` of what follows it."""
-    rows = windows.groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("i", "y"))).alias("rows"))
+    """One row per window: arrays `y` of the context and `actual` of what follows it.
+
+    The windows are dealt to a fixed number of partitions: they are small, but what is fitted to them is not,
+    so adaptive execution must not gather them into few tasks.
+    """
+    parts = int(windows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = windows.repartition(parts, *KEY).groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("i", "y"))).alias("rows"))
     values = F.transform("rows", lambda r: r["y"])
     return rows.select(*KEY, F.slice(values, 1, context).alias("y"), F.slice(values, F.lit(context + 1), F.greatest(F.size("rows") - context, F.lit(0))).alias("actual"))
 

@@ -539,3 +539,10 @@ def streaming_observation(spark, sf_dir):
     stream = observe.observe(spark.readStream.schema("series_id string, t int, y double").parquet(source))
     stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(observe.OUTPUT).parquet(out)
+
+
+@registered
+def nation_ensemble(spark, sf_dir):
+    """Blended forecasts of every rolling window of every nation's daily orders, by AR, decomposition and resonance."""
+    three = {name: workers.DEFAULT[name] for name in ("AR", "Fourier", "SR")}
+    return workers.ensemble_forecast(packed(spark, sf_dir, S.daily_nation_orders), KEY, H, three)
