@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .sampling import balanced_sample
+from .sampling import labelled_sample
 
 PER_LABEL, CHUNKS, EPOCHS = 1500, 6, 14
 WIDTH, FILTERS, EMBED, HIDDEN = 6, 16, 8, 16
@@ -146,13 +146,11 @@ def chunk_at(raw: bytes, start: int) -> np.ndarray:
     return x
 
 
-def train(df: DataFrame, label_col: str, id_col: str = "doc_id", text_col: str = "text", per_label: int = PER_LABEL, chunks: int = CHUNKS) -> Network | float:
-    """A network from a bounded sample of rows that have a label 0 or 1; the share of label 1 if only one occurs."""
-    labelled = df.select(id_col, text_col, label_col).where(F.col(label_col).isin(0, 1))
-    shares = {r[0]: r[1] for r in labelled.groupBy(label_col).count().collect()}
-    if len(shares) < 2:
+def train(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str = "doc_id", text_col: str = "text", per_label: int = PER_LABEL, chunks: int = CHUNKS) -> Network | float:
+    """A network from a bounded sample of documents that have a label 0 or 1; 0.5 if only one occurs."""
+    sample, counts = labelled_sample(docs, labels, label_col, per_label, id_col, text_col)
+    if len(counts) < 2:
         return 0.5
-    sample = balanced_sample(labelled, label_col, per_label, id_col)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -165,9 +163,11 @@ def train(df: DataFrame, label_col: str, id_col: str = "doc_id", text_col: str =
                 rows.append((label, np.concatenate([chunk_at(raw, s) for s in taken]).tobytes()))
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["label", "chunks"])
 
-    found = sample.select(F.col(label_col).cast("int"), F.col(text_col).cast("binary")).mapInArrow(read, "label int, chunks binary").collect()
+    found = sample.select("label", F.col("text").cast("binary")).mapInArrow(read, "label int, chunks binary").collect()
+    if len({r.label for r in found}) < 2:
+        return 0.5
     found.sort(key=lambda r: (r.label, bytes(r.chunks)))
-    return fit([(r.label, np.frombuffer(r.chunks, np.int16).reshape(-1, CHUNK + WIDTH - 1)) for r in found], shares[1] / shares[0])
+    return fit([(r.label, np.frombuffer(r.chunks, np.int16).reshape(-1, CHUNK + WIDTH - 1)) for r in found], counts[1] / counts[0])
 
 
 def fit(samples: list[tuple[int, np.ndarray]], odds: float) -> Network:

@@ -24,7 +24,7 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     labels = table(spark, sf_dir, "labels").where(crc_bucket("doc_id", 4) != 2)
-    net = quality.train(docs.select("doc_id", "text").join(labels, "doc_id"), "quality")
+    net = quality.train(docs, labels, "quality")
     scored = quality.predict(docs, net)
     return scored.select("doc_id", (crc_bucket("doc_id", 4) == 2).alias("held_out"), "score", F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted"))
 
@@ -32,7 +32,7 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def toxicity_model(spark: SparkSession, sf_dir: str) -> toxicity.Model | float:
     """Learned from the labelled rows of `documents` outside the fold that is held out."""
     labels = table(spark, sf_dir, "labels").where(crc_bucket("doc_id", 5) != 0)
-    return toxicity.train(table(spark, sf_dir, "documents").select("doc_id", "text").join(labels, "doc_id"), "toxic")
+    return toxicity.train(table(spark, sf_dir, "documents"), labels, "toxic")
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import stored
+
 
 def balanced_sample(df: DataFrame, label_col: str, per_label: int, id_col: str = "doc_id", seed: int = 11) -> DataFrame:
     """About per_label rows of each label, or all of a rarer one, chosen by a hash of the id.
@@ -16,3 +18,16 @@ def balanced_sample(df: DataFrame, label_col: str, per_label: int, id_col: str =
     for label, n in counts.items():
         share = F.when(F.col(label_col) == F.lit(label), F.lit(min(1.0, per_label / n))).otherwise(share)
     return df.where(F.pmod(F.xxhash64(F.lit(seed), F.col(id_col)), F.lit(1 << 30)) < share * float(1 << 30))
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, per_label: int, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, dict]:
+    """(text, label) of about per_label documents of each label 0 and 1, stored, and the numbers of rows by label.
+
+    Labels are sampled before they meet the texts: the sample of ids is bounded, so it is broadcast and no
+    text but the sample's is written anywhere.
+    """
+    known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).where(F.col("label").isin(0, 1) & F.col("id").isNotNull())
+    counts = {r[0]: r[1] for r in known.groupBy("label").count().collect()}
+    picked = balanced_sample(known, "label", per_label, "id")
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    return stored(texts.join(F.broadcast(picked), "id").select("text", "label"), "labelled-sample"), counts

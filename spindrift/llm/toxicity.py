@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .sampling import balanced_sample
+from .sampling import labelled_sample
 
 #: Documents of each label that are sampled for training; words of each kind; landmarks of each kind.
 PER_LABEL, POSITIVE, NEGATIVE, LANDMARKS = 4000, 600, 5000, 128
@@ -231,13 +231,12 @@ def logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(slope), float(-w[1] / slope)
 
 
-def train(df: DataFrame, label_col: str, id_col: str = "doc_id", text_col: str = "text", per_label: int = PER_LABEL) -> Model | float:
-    """A model from a bounded sample of rows with a label 0 or 1; the share of label 1 where only one occurs."""
-    labelled = df.select(F.col(id_col), F.col(text_col), F.col(label_col).cast("int").alias("label")).where(F.col("label").isin(0, 1) & F.col(text_col).isNotNull())
-    counts = {r[0]: r[1] for r in labelled.groupBy("label").count().collect()}
+def train(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str = "doc_id", text_col: str = "text", per_label: int = PER_LABEL) -> Model | float:
+    """A model from a bounded sample of documents with a label 0 or 1; the share of label 1 where only one occurs."""
+    sample, counts = labelled_sample(docs, labels, label_col, per_label, id_col, text_col)
     if len(counts) < 2:
         return 1.0 if 1 in counts else 0.0
-    sample = balanced_sample(labelled, "label", per_label, id_col)
+    sample = sample.where("text is not null")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -247,7 +246,7 @@ def train(df: DataFrame, label_col: str, id_col: str = "doc_id", text_col: str =
                     same = [sketch(ws)] * len(ws)
                     yield pa.RecordBatch.from_arrays([pa.array([label] * len(ws), pa.int32()), pa.array(ws, pa.string()), pa.array(same, pa.int64())], ["label", "word", "sketch"])
 
-    seen = sample.select("label", text_col).mapInArrow(read, "label int, word string, sketch long").distinct()
+    seen = sample.select("label", "text").mapInArrow(read, "label int, word string, sketch long").distinct()
     words = seen.groupBy("word").agg(F.sum("label").cast("double").alias("pos"), F.sum(1 - F.col("label")).cast("double").alias("neg"))
     words = words.persist()
     try:
@@ -282,7 +281,7 @@ def train(df: DataFrame, label_col: str, id_col: str = "doc_id", text_col: str =
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(scorer.worst(b.column(1).to_pylist()), pa.float64())], ["label", "worst"])
 
-    found = sample.select("label", text_col).mapInArrow(worst, "label int, worst double").collect()
+    found = sample.select("label", "text").mapInArrow(worst, "label int, worst double").collect()
     x, y = np.array([r.worst for r in found]), np.array([r.label for r in found], float)
     model.slope, model.middle = logistic(x, y)
     return model

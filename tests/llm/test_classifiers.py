@@ -55,14 +55,14 @@ def auc(score, label):
 
 
 def test_quality_held_out(labelled, messy, empty):
-    net = quality.train(labelled.where(crc_bucket("doc_id", 4) != 2), "quality")
+    net = quality.train(labelled, labelled.where(crc_bucket("doc_id", 4) != 2), "quality")
     test = labelled.where(crc_bucket("doc_id", 4) == 2)
     got = quality.predict(test, net).join(test.select("doc_id", "quality"), "doc_id").collect()
     assert auc(np.array([r.score for r in got]), np.array([r.quality for r in got])) > 0.9
     scores = [r.score for r in quality.predict(messy, net).collect()]
     assert len(scores) == messy.count() and all(0 <= s <= 1 for s in scores)
     assert quality.predict(empty, net).count() == 0
-    one = quality.train(labelled.where("quality = 1"), "quality")
+    one = quality.train(labelled, labelled.where("quality = 1"), "quality")
     assert {r.score for r in quality.predict(messy.limit(3), one).collect()} == {0.5}
 
 
@@ -114,7 +114,7 @@ def test_quality_gradients():
 
 
 def test_toxicity_held_out(labelled, messy, empty):
-    model = toxicity.train(labelled.where(crc_bucket("doc_id", 5) != 0), "toxic")
+    model = toxicity.train(labelled, labelled.where(crc_bucket("doc_id", 5) != 0), "toxic")
     test = labelled.where(crc_bucket("doc_id", 5) == 0)
     got = toxicity.predict(test, model).join(test.select("doc_id", "toxic"), "doc_id").collect()
     label, score = np.array([r.toxic for r in got]), np.array([r.score for r in got])
@@ -127,7 +127,7 @@ def test_toxicity_held_out(labelled, messy, empty):
     left = toxicity.drop_toxic(messy, model)
     assert left.columns == messy.columns
     assert toxicity.predict(empty, model).count() == 0
-    assert toxicity.train(labelled.where("toxic = 1"), "toxic") == 1.0 and toxicity.train(labelled.limit(0), "toxic") == 0.0
+    assert toxicity.train(labelled, labelled.where("toxic = 1"), "toxic") == 1.0 and toxicity.train(labelled, labelled.limit(0), "toxic") == 0.0
 
 
 def test_subsequence_kernel():
