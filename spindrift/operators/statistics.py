@@ -48,6 +48,15 @@ def weighted_autocovariance(rows: DataFrame, keys: Sequence[str], n: int, max_la
     return each.groupBy(*keys, F.col("x.lag").alias("lag")).agg((F.sum(F.col("w") * F.col("x.p")) / F.sum("w")).alias("cov"))
 
 
+def autocovariance(rows: DataFrame, keys: Sequence[str], max_lag: int, at: str = "i", value: str = "y") -> DataFrame:
+    """(keys, lag, cov): sums of products of centred values over all n, so that long lags shrink."""
+    by = Window.partitionBy(*keys)
+    c = rows.withColumn("n", F.count(F.lit(1)).over(by)).withColumn("c", F.col(value) - F.avg(value).over(by))
+    lags = F.array(*[F.struct(F.lit(k).alias("lag"), (F.col("c") * F.lag("c", k).over(by.orderBy(at))).alias("p")) for k in range(max_lag + 1)])
+    each = c.withColumn("lags", lags).select(*keys, "n", F.explode("lags").alias("x")).where("x.p is not null")
+    return each.groupBy(*keys, "n", F.col("x.lag").alias("lag")).agg(F.sum("x.p").alias("s")).select(*keys, "lag", (F.col("s") / F.col("n")).alias("cov"))
+
+
 def levinson(autocovariance: DataFrame, keys: Sequence[str]) -> DataFrame:
     """(keys, p, coef, variance) of the AR model of each order, by the Levinson-Durbin recursion as a fold."""
     r = autocovariance.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("lag", "cov"))), lambda x: x["cov"]).alias("r"))

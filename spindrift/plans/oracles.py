@@ -132,11 +132,15 @@ ORACLES: dict[str, str] = {
     "robust_noise": query("SELECT d.series_id, round(middle, 6) AS middle, round(median(abs(step - middle)), 6) AS mad, round(any_value(kurt), 6) AS excess_kurtosis FROM ok d JOIN mid USING (series_id) GROUP BY 1, 2", HOURLY, SHIFTS),
     "naive_backtest": query(f"SELECT {KEY}, round(avg((actual - predicted) ** 2), 4) AS mse, round(avg(abs(actual - predicted)), 6) AS mae, count(*) AS n FROM pred GROUP BY ALL", HOURLY, W, NAIVE),
     "forecast_metrics": query("SELECT series_id, round(avg((actual - predicted) ** 2), 4) AS mse, round(avg(abs(actual - predicted)), 6) AS mae, round(avg(abs((actual - predicted) / actual)) FILTER (abs(actual) > 1e-10), 5) AS mape, round(sqrt(avg((actual - predicted) ** 2)), 6) AS rmse, count(*) AS n FROM pred GROUP BY ALL", HOURLY, W, NAIVE),
+    "bounded_forecast": query(f"SELECT {KEY}, h, round(p, 5) AS point, round(p + q_lo * sqrt(1 + h / 512.0), 5) AS lower, round(p + q_hi * sqrt(1 + h / 512.0), 5) AS upper FROM (SELECT {KEY}, h, least(greatest(slope * (h + 512) + intercept, lo), hi) AS p, q_lo, q_hi FROM (SELECT {KEY}, any_value(slope) AS slope, any_value(intercept) AS intercept, min(y) - stddev_pop(y) AS lo, max(y) + stddev_pop(y) AS hi, quantile_cont(rest, 0.1) AS q_lo, quantile_cont(rest, 0.9) AS q_hi FROM rest GROUP BY ALL), (SELECT CAST(unnest(range(0, 96)) AS INTEGER) AS h))", HOURLY, W, LINE),
+    "evenly_spaced_windows": query(f"SELECT {KEY}, round(mse / 1e6, 1) AS mse FROM (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY window_start) - 1 AS place, count(*) OVER (PARTITION BY series_id) AS n FROM (SELECT {KEY}, avg((actual - predicted) ** 2) AS mse FROM pred GROUP BY ALL)) WHERE place IN (0, n // 3, 2 * n // 3)", DAILY, W, NAIVE),
+    "first_windows": query(f"SELECT {KEY}, round(mse / 1e6, 1) AS mse FROM (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY window_start) AS rk FROM (SELECT {KEY}, avg((actual - predicted) ** 2) AS mse FROM pred GROUP BY ALL)) WHERE rk <= 3", DAILY, W, NAIVE),
     "window_mse_spread": query(f"SELECT series_id, count(*) AS n_windows, round(avg(mse) / 1e6, 1) AS mean_mse, round(stddev_pop(mse) / 1e6, 1) AS std_mse, round(avg(least(mse, p95)) / 1e6, 1) AS clipped_mean, round(any_value(p95) / 1e6, 1) AS p95 FROM (SELECT *, quantile_cont(mse, 0.95) OVER (PARTITION BY series_id) AS p95 FROM (SELECT {KEY}, avg((actual - predicted) ** 2) AS mse FROM pred GROUP BY ALL)) GROUP BY 1", DAILY, W, NAIVE),
     "worst_windows": query(f"SELECT {KEY}, CAST(rk AS INTEGER) AS rank, round(mse / 1e6, 1) AS mse FROM (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY mse DESC, window_start) AS rk FROM (SELECT {KEY}, avg((actual - predicted) ** 2) AS mse FROM pred GROUP BY ALL)) WHERE rk <= 5", DAILY, W, NAIVE),
     "periodogram": query(f"SELECT {KEY}, CAST(k AS INTEGER) AS k, round(power, 2) AS power FROM bins", HOURLY, W, LINE, POWER),
     "peak_significance": query(f"SELECT {KEY}, CAST(arg_max(k, power) AS INTEGER) AS k, round(max(power), 2) AS peak, round(median(power), 2) AS noise_floor, round(max(power) / median(power), 6) AS snr, max(power) >= 2 * median(power) * (1 + ln(count(*))) AS significant, CAST(least(2 + greatest(1, ceil(2 / sqrt(greatest(max(power) / median(power), 0.01)))), 64) AS INTEGER) AS footprint FROM bins GROUP BY ALL", HOURLY, W, LINE, POWER),
     "dominant_period": query(f"SELECT {KEY}, CAST(least(greatest(4, round_even(512.0 / arg_max(k, power), 0)), 128) AS INTEGER) AS period FROM bins WHERE k < 128 GROUP BY ALL", HOURLY, W, LINE, POWER),
+    "amplitude_damping": query(f"SELECT {KEY}, CAST(h AS INTEGER) AS h, round(exp(-0.5 * (2 * h / (512 * sqrt(greatest(2 * snr / 3, 1e-10)))) ** 2), 7) AS damping FROM (SELECT {KEY}, max(power) / median(power) AS snr FROM bins GROUP BY ALL), (SELECT unnest(range(1, 97)) AS h)", HOURLY, W, LINE, POWER),
     "spectral_profile": query(f"SELECT {KEY}, round(sum(p) FILTER (rk <= 5), 6) AS top5_share, round(sum(p) FILTER (rk <= 10), 6) AS top10_share, round(sum(p) FILTER (rk <= 20), 6) AS top20_share, round(-sum(p * ln(p)) / ln(count(*)), 6) AS entropy, round(max(power) / median(power), 5) AS peak_ratio FROM (SELECT *, power / sum(power) OVER (PARTITION BY {KEY}) AS p, row_number() OVER (PARTITION BY {KEY} ORDER BY power DESC, k) AS rk FROM bins) GROUP BY ALL", HOURLY, W, LINE, POWER),
     "trend_candidates": query(f"SELECT {KEY}, trend_type, round(a, 8) AS a, round(b, 6) AS b, round(c, 5) AS c, round(rss, 2) AS rss, round(bic, 5) AS bic FROM opt", HOURLY, W, WEIGHTED, TRENDS),
     "weighted_trend_bic": query(f"SELECT {KEY}, trend_type, round(bic, 5) AS bic FROM (SELECT *, row_number() OVER (PARTITION BY {KEY} ORDER BY bic, ord) AS rk FROM opt) WHERE rk = 1", HOURLY, W, WEIGHTED, TRENDS),
@@ -149,6 +153,7 @@ ORACLES: dict[str, str] = {
     "level_shifts": query("SELECT m.series_id, CAST(cp + 1 AS INTEGER) AS index, round(after - before, 4) AS magnitude FROM med m JOIN iqr USING (series_id) WHERE abs(after - before) >= greatest(threshold, iqr)", DAILY, SHIFTS),
     "shock_select": query(f"SELECT {KEY}, CAST(onset AS INTEGER) AS onset, shape, round(magnitude, 5) AS magnitude, round(rate, 7) AS rate, round(aic, 5) AS aic FROM (SELECT *, row_number() OVER (PARTITION BY {KEY} ORDER BY aic, ord) AS rk FROM opt) WHERE rk = 1", HOURLY, W, LINE, SHOCK),
     "weighted_autocov": query(f"SELECT {KEY}, lag, round(cov, 4) AS cov FROM cov", HOURLY, W, COV),
+    "unweighted_autocov": query(f"SELECT a.series_id, a.window_start, CAST(a.i - b.i AS INTEGER) AS lag, round(sum((a.y - m) * (b.y - m)) / 256, 4) AS cov FROM local a JOIN local b ON a.series_id = b.series_id AND a.window_start = b.window_start AND a.i - b.i BETWEEN 0 AND 12 JOIN (SELECT {KEY}, avg(y) AS m FROM local GROUP BY ALL) c ON c.series_id = a.series_id AND c.window_start = a.window_start GROUP BY ALL", HOURLY, W, COV),
     "ar1_yule_walker": query(f"SELECT {KEY}, round(a, 8) AS coef, round(intercept, 6) AS intercept FROM ar", HOURLY, W, COV, AR1),
     "ar_fitted": query(f"SELECT c.series_id, c.window_start, c.i, round(coalesce(intercept + a * lag(c.y) OVER (PARTITION BY c.series_id, c.window_start ORDER BY c.i), 0), 5) AS fitted FROM cen c JOIN ar USING ({KEY})", HOURLY, W, COV, AR1),
     "ar_recursive_forecast": query(f"SELECT r.series_id, r.window_start, h, round(intercept * (1 - a ** (h + 1)) / (1 - a) + a ** (h + 1) * y, 5) AS value FROM ar r JOIN (SELECT {KEY}, y FROM ctx WHERE i = 511) USING ({KEY}), (SELECT CAST(unnest(range(0, 96)) AS INTEGER) AS h)", HOURLY, W, COV, AR1),

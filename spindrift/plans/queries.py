@@ -15,7 +15,7 @@ from ..operators import seasonal, shocks, spectrum, statistics, trend
 from ..operators import windows as W
 from ..sources import csv_files
 from ..sources import series as S
-from ..sources.scratch import new_path
+from ..sources.scratch import new_path, stored
 from ..streaming import observe
 from . import backtest, decompose, workers
 
@@ -51,6 +51,11 @@ def packed(spark: SparkSession, sf_dir: str, source: Callable = S.hourly_events)
     return W.packed(windows(source(spark, sf_dir)), C)
 
 
+def kept(spark: SparkSession, sf_dir: str, source: Callable = S.hourly_events) -> DataFrame:
+    """Packed windows as a table, for plans that read them once for each worker."""
+    return stored(packed(spark, sf_dir, source), "windows")
+
+
 def naive(p: DataFrame) -> DataFrame:
     return backtest.against_actual(workers.naive(p.select(*KEY, "y", F.lit(H).alias("horizon")), KEY), p)
 
@@ -188,6 +193,36 @@ def forecast_metrics(spark, sf_dir):
     return rounded(statistics.metrics(naive(packed(spark, sf_dir)), ["series_id"]), mse=4, mae=6, mape=5, rmse=6)
 
 
+@registered
+def bounded_forecast(spark, sf_dir):
+    """The line of each window continued, clamped to its range, with residual quantiles that widen with the horizon."""
+    rest = detrended(spark, sf_dir)
+    bounds = statistics.quantile_bounds(rest, KEY, "rest")
+    line = rest.groupBy(*KEY, "slope", "intercept").agg((F.min("y") - F.stddev_pop("y")).alias("lo"), (F.max("y") + F.stddev_pop("y")).alias("hi"))
+    rows = line.join(bounds, KEY).select("*", F.explode(F.sequence(F.lit(0), F.lit(H - 1))).alias("h"))
+    point = W.clamp(F.col("slope") * (F.col("h") + C) + F.col("intercept"), F.col("lo"), F.col("hi"))
+    growth = F.sqrt(1 + F.col("h") / C)
+    return rounded(rows.select(*KEY, "h", point.alias("point"), (point + F.col("q_lo") * growth).alias("lower"), (point + F.col("q_hi") * growth).alias("upper")), point=5, lower=5, upper=5)
+
+
+@registered
+def evenly_spaced_windows(spark, sf_dir):
+    """Errors of the last value in the windows at the start, a third and two thirds of each series' windows."""
+    errors = backtest.window_errors(naive(packed(spark, sf_dir, S.daily_orders)))
+    by = Window.partitionBy("series_id")
+    numbered = errors.withColumn("place", F.row_number().over(by.orderBy("window_start")) - 1).withColumn("n", F.count(F.lit(1)).over(by))
+    chosen = numbered.where(F.col("place").isin(0) | (F.col("place") == F.floor(F.col("n") / 3)) | (F.col("place") == F.floor(2 * F.col("n") / 3)))
+    return rounded(chosen.select(*KEY, (F.col("mse") / 1e6).alias("mse")), mse=1)
+
+
+@registered
+def first_windows(spark, sf_dir):
+    """Errors of the last value in the first three windows of each series."""
+    errors = backtest.window_errors(naive(packed(spark, sf_dir, S.daily_orders)))
+    rank = F.row_number().over(Window.partitionBy("series_id").orderBy("window_start"))
+    return rounded(errors.withColumn("rank", rank).where("rank <= 3").select(*KEY, (F.col("mse") / 1e6).alias("mse")), mse=1)
+
+
 @registered
 def window_mse_spread(spark, sf_dir):
     errors = backtest.window_errors(naive(packed(spark, sf_dir, S.daily_orders)))
@@ -216,6 +251,13 @@ def dominant_period(spark, sf_dir):
     return spectrum.dominant_period(power_bins(spark, sf_dir), KEY)
 
 
+@registered
+def amplitude_damping(spark, sf_dir):
+    """What phase uncertainty leaves of the strongest component of each window, step by step."""
+    top = spectrum.strongest(power_bins(spark, sf_dir), KEY).select(*KEY, "snr", F.explode(F.sequence(F.lit(1), F.lit(H))).alias("h"))
+    return rounded(top.select(*KEY, "h", E.amplitude_damping(F.col("h"), F.lit(C), F.col("snr")).alias("damping")), damping=7)
+
+
 @registered
 def spectral_profile(spark, sf_dir):
     return rounded(spectrum.profile(power_bins(spark, sf_dir), KEY), top5_share=6, top10_share=6, top20_share=6, entropy=6, peak_ratio=5)
@@ -287,6 +329,11 @@ def weighted_autocov(spark, sf_dir):
     return rounded(statistics.weighted_autocovariance(local_rows(spark, sf_dir), KEY, 256, 12, 256 / 3), cov=4)
 
 
+@registered
+def unweighted_autocov(spark, sf_dir):
+    return rounded(statistics.autocovariance(local_rows(spark, sf_dir), KEY, 12), cov=4)
+
+
 @registered
 def ar1_yule_walker(spark, sf_dir):
     return rounded(ar1(spark, sf_dir), coef=8, intercept=6)
@@ -334,7 +381,7 @@ def recent_errors(spark, sf_dir):
 
 @registered
 def confidence_weights(spark, sf_dir):
-    found = workers.confidences(packed(spark, sf_dir), KEY, workers.PLAIN)
+    found = workers.confidences(kept(spark, sf_dir), KEY, workers.PLAIN)
     by = Window.partitionBy(*KEY)
     order = F.when(F.col("worker") == "Naive", 0).when(F.col("worker") == "Seasonal", 1).otherwise(2)
     ranked = found.withColumn("rk", F.row_number().over(by.orderBy(F.desc("confidence"), order)))
@@ -346,12 +393,12 @@ def confidence_weights(spark, sf_dir):
 
 @registered
 def ensemble_blend(spark, sf_dir):
-    return rounded(workers.ensemble_forecast(packed(spark, sf_dir), KEY, H, workers.PLAIN), value=5, lower=5, upper=5, confidence=8, agreement=8)
+    return rounded(workers.ensemble_forecast(kept(spark, sf_dir), KEY, H, workers.PLAIN), value=5, lower=5, upper=5, confidence=8, agreement=8)
 
 
 @registered
 def collapse_rate(spark, sf_dir):
-    return rounded(backtest.collapse_rate(workers.confidences(packed(spark, sf_dir, S.daily_orders), KEY, workers.PLAIN)), collapse_rate=6)
+    return rounded(backtest.collapse_rate(workers.confidences(kept(spark, sf_dir, S.daily_orders), KEY, workers.PLAIN)), collapse_rate=6)
 
 
 @registered
@@ -442,7 +489,7 @@ def forecast_layers(spark, sf_dir):
 
 def worker_query(name: str) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return workers.worker_forecasts(packed(spark, sf_dir), KEY, H, {name: workers.ALL[name]}).drop("ord")
+        return workers.worker_forecasts(kept(spark, sf_dir), KEY, H, {name: workers.ALL[name]}).drop("ord")
 
     return run
 
@@ -472,17 +519,17 @@ def sr_equilibrium(spark, sf_dir):
 
 @registered
 def ensemble_forecast(spark, sf_dir):
-    return workers.ensemble_forecast(packed(spark, sf_dir), KEY, H)
+    return workers.ensemble_forecast(kept(spark, sf_dir), KEY, H)
 
 
 @registered
 def ensemble_v2_forecast(spark, sf_dir):
-    return workers.ensemble_forecast(packed(spark, sf_dir), KEY, H, workers.ALL)
+    return workers.ensemble_forecast(kept(spark, sf_dir), KEY, H, workers.ALL)
 
 
 @registered
 def ensemble_backtest(spark, sf_dir):
-    return backtest.ensemble_metrics(packed(spark, sf_dir), H, workers.DEFAULT)
+    return backtest.ensemble_metrics(kept(spark, sf_dir), H, workers.DEFAULT)
 
 
 @registered
@@ -493,7 +540,7 @@ def spectral_backtest(spark, sf_dir):
 @registered
 def fourier_ablation(spark, sf_dir):
     """Window errors of the whole decomposition, of line and sinusoids alone, and of the last value."""
-    p = packed(spark, sf_dir)
+    p = kept(spark, sf_dir)
     fits = decompose.fit(p.select(*KEY, "y"), H)
 
     def bare(y: list[float]) -> dict:
@@ -545,4 +592,21 @@ def streaming_observation(spark, sf_dir):
 def nation_ensemble(spark, sf_dir):
     """Blended forecasts of every rolling window of every nation's daily orders, by AR, decomposition and resonance."""
     three = {name: workers.DEFAULT[name] for name in ("AR", "Fourier", "SR")}
-    return workers.ensemble_forecast(packed(spark, sf_dir, S.daily_nation_orders), KEY, H, three)
+    return workers.ensemble_forecast(kept(spark, sf_dir, S.daily_nation_orders), KEY, H, three)
+
+
+@registered
+def confidence_profile(spark, sf_dir):
+    """Confidence of every worker in every window, with the share of windows in which it is the best."""
+    found = workers.confidences(kept(spark, sf_dir), KEY, workers.DEFAULT)
+    best = F.row_number().over(Window.partitionBy(*KEY).orderBy(F.desc("confidence"), "worker")) == 1
+    return found.withColumn("best", best).groupBy("series_id", "worker").agg(F.avg("confidence").alias("mean_confidence"), F.min("confidence").alias("low"), F.max("confidence").alias("high"), F.avg(F.col("best").cast("double")).alias("best_share"))
+
+
+@registered
+def trend_divergence(spark, sf_dir):
+    """How far each window's trend has moved away at the end of the horizon, in deviations of the window."""
+    fits = decompose.fit(packed(spark, sf_dir).select(*KEY, "y"), H)
+    end = decompose.layers(fits, KEY).where(F.col("h") == H - 1).select(*KEY, "trend")
+    deviation = F.sqrt(F.element_at("layer_variance", 1))
+    return fits.select(*KEY, "trend.trend_type", deviation.alias("deviation")).join(end.withColumnRenamed("trend", "trend_end"), KEY).withColumn("divergence", F.abs("trend_end") / F.col("deviation"))

@@ -6,7 +6,7 @@ import functools
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 @functools.cache
@@ -17,3 +17,10 @@ def own_dir() -> str:
 def new_path(spark: SparkSession, name: str) -> str:
     """A fresh path under spark.checkpoint.dir, or under a temporary folder where it is unset (tests)."""
     return f"{spark.conf.get('spark.checkpoint.dir', None) or own_dir()}/spindrift/{name}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """df written to the shared folder and read back: computed once, whatever reads it and however often."""
+    path = new_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
