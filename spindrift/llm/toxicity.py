@@ -41,7 +41,9 @@ PENALTY, LEAST_DOCUMENTS, DISCOVERY = 4.0, 2, 0.1
 #: Words longer than this are looked at in overlapping windows.
 LONGEST = 32
 FLOOR = -3.0
-CACHE_WORDS = 400_000
+CACHE_WORDS = 200_000
+#: Words whose triples are laid out at a time (about 3 kB each).
+WORDS_AT_ONCE = 4_000
 APART = re.compile(r"(?<!\S)\w(?:[\W_]+\w(?!\w)){2,}(?!\w)")
 SENTENCE_END = re.compile(r"[.!?\n]+")
 OFFSETS = [(a, b) for b in range(2, SPAN) for a in range(1, b)]
@@ -104,13 +106,14 @@ class Scorer:
         self.model, self.young, self.old = model, {}, {}
 
     def learn(self, raw: list[str]) -> None:
-        parts = [windows(bare(w)) for w in raw]
-        flat = [p for ps in parts for p in ps]
-        values = self.model.values(flat) if flat else np.zeros(0)
-        first = np.cumsum([0, *[len(p) for p in parts[:-1]]]) if parts else []
         if len(self.young) > CACHE_WORDS:
             self.young, self.old = {}, self.young
-        self.young.update(zip(raw, np.maximum.reduceat(values, first).tolist() if parts else (), strict=True))
+        for k in range(0, len(raw), WORDS_AT_ONCE):
+            some = raw[k : k + WORDS_AT_ONCE]
+            parts = [windows(bare(w)) for w in some]
+            values = self.model.values([p for ps in parts for p in ps])
+            first = np.cumsum([0, *[len(p) for p in parts[:-1]]])
+            self.young.update(zip(some, np.maximum.reduceat(values, first).tolist(), strict=True))
 
     def worst(self, texts: list[str | None]) -> list[float]:
         out, todo, missing = [FLOOR] * len(texts), [], set()
@@ -122,7 +125,7 @@ class Scorer:
             spaced = apart(text)
             missing.update(filterfalse(self.young.__contains__, words))
             todo.append((i, words, spaced))
-            if len(missing) > 50_000:
+            if len(missing) > 20_000:
                 self.settle(out, todo, missing)
                 todo, missing = [], set()
         self.settle(out, todo, missing)
@@ -246,7 +249,8 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str = "doc
                     same = [sketch(ws)] * len(ws)
                     yield pa.RecordBatch.from_arrays([pa.array([label] * len(ws), pa.int32()), pa.array(ws, pa.string()), pa.array(same, pa.int64())], ["label", "word", "sketch"])
 
-    seen = sample.select("label", "text").mapInArrow(read, "label int, word string, sketch long").distinct()
+    # the vocabulary of the sample is bounded, so a fixed number of partitions holds it and sends the driver little
+    seen = sample.select("label", "text").mapInArrow(read, "label int, word string, sketch long").repartition(16, "word").distinct()
     words = seen.groupBy("word").agg(F.sum("label").cast("double").alias("pos"), F.sum(1 - F.col("label")).cast("double").alias("neg"))
     words = words.persist()
     try:
