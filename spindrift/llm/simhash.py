@@ -7,8 +7,9 @@ agrees under some mask, and no link is lost.
 
 Distinct fingerprints (copies are counted once) are dealt by (mask, masked bits). Within a bucket a link is
 kept only if it joins two parts not joined before, so a bucket of n gives n-1 links at most and no pairs are
-written out. Buckets of more than SPLIT fingerprints are dealt anew by masks of the bits they do not share
-yet, up to twice; after that a bucket shares all but a few bits, and cannot hold many. Components of the
+written out. Buckets of more than SPLIT fingerprints are dealt anew by blocks of the bits that they do not
+share yet (a pair within the radius agrees in one of radius+1 blocks), LEVELS-1 times at most; each time fewer
+distinct fingerprints fit into a bucket. Components of the
 links are found by alternating star contractions.
 
 Defined cases: null and empty texts have no words and the fingerprint zero, which links like any other;
@@ -32,6 +33,7 @@ from .common import join_hot, stored
 SHINGLE, SEED, RADIUS = 3, 42, 3
 #: Fingerprints in a bucket beyond which it is dealt anew.
 SPLIT = 20_000
+LEVELS = 3
 
 
 def covering_masks(bits: list[int], radius: int, seed: int) -> list[int]:
@@ -171,35 +173,31 @@ def link_batch(left: list, right: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.maximum(x, y)), pa.array(np.minimum(x, y))], ["u", "v"])
 
 
+def block_masks(bits: list[int], radius: int) -> list[int]:
+    """radius+1 masks that part the bits: bits that differ in `radius` places at most agree under one."""
+    return [sum(1 << b for b in bits[k :: radius + 1]) for k in range(radius + 1)]
+
+
 def links(distinct: DataFrame, radius: int = RADIUS, split: int = SPLIT, seed: int = 7) -> DataFrame:
     """(u, v), u > v: links between distinct fingerprints h that join what pairs within the radius join."""
-    every = list(range(64))
-    level = [((1 << 64) - 1, 0)]  # bits that may still be dealt by, bits that a bucket shares
-    rows = distinct.select("h", F.lit(0).alias("bucket"))
-    found = None
-    for depth in range(3):
-        shared: list[int] = []
-        for _, have in level:
-            free = [b for b in every if not have >> b & 1]
-            shared += [have | m for m in covering_masks(free, radius, seed + depth)]
-        n = 2 ** (radius + 1) - 1
+    shared = covering_masks(list(range(64)), radius, seed)  # the bits that each bucket of a level shares
+    rows, n, found = distinct.select("h", F.lit(0).alias("bucket")), len(shared), None
+    for depth in range(LEVELS):
         masks = F.array(*[F.lit(signed(m)).cast("long") for m in shared])
         dealt = rows.select("h", F.posexplode(F.slice(masks, F.col("bucket") * n + 1, n)).alias("t", "m"), "bucket")
         dealt = dealt.select((F.col("bucket") * n + F.col("t")).cast("long").alias("mask"), F.col("h").bitwiseAND(F.col("m")).alias("key"), "h")
-        if depth < 2:
+        again = None
+        if depth + 1 < LEVELS:
             hot = stored(dealt.groupBy("mask", "key").count().where(F.col("count") > split).select("mask", "key"), "simhash-hot")
             if hot.take(1):
                 again = dealt.join(hot, ["mask", "key"], "left_semi").select("h", F.col("mask").cast("int").alias("bucket"))
                 dealt = dealt.join(hot, ["mask", "key"], "left_anti")
-            else:
-                again = None
-        else:
-            again = None
         here = dealt.repartition("mask", "key").sortWithinPartitions("mask", "key").mapInArrow(_bucket_batches(radius), "u long, v long")
         found = here if found is None else found.unionByName(here)
         if again is None:
             break
-        rows, level = stored(again, "simhash-rows"), [(0, m) for m in shared]
+        rows, n = stored(again, "simhash-rows"), radius + 1
+        shared = [have | m for have in shared for m in block_masks([b for b in range(64) if not have >> b & 1], radius)]
     return found.distinct()
 
 
@@ -238,11 +236,136 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return out.select(F.col("doc_id").alias(id_col), F.lower(F.lpad(F.hex("h"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+#: Near copies: words of a shingle, similarity, differing bits of the word fingerprints, bins of a sketch.
+COPY_SHINGLE, SIMILARITY, COPY_RADIUS, BINS = 5, 0.8, 6, 128
+#: A sketch tells similarities within some hundredths; pairs this far below SIMILARITY still link.
+SLACK = 0.05
+#: Bands of a sketch by which components of more than SPLIT documents are dealt anew, and bins in each.
+BANDS, BAND = 20, 5
+
+
+def word_fingerprint(words: set[bytes]) -> int:
+    """Majority bits of the XXH64 of the distinct words: one changed word changes one of them, not three."""
+    if not words:
+        return 0
+    bits = np.unpackbits(np.frombuffer(b"".join([xxhash.xxh64_digest(w, SEED) for w in words]), np.uint8).reshape(-1, 8), axis=1)
+    return int.from_bytes(np.packbits(bits.sum(axis=0, dtype=np.int64) * 2 > len(words)).tobytes(), "big")
+
+
+def sketch(words: list[bytes], shingle: int = COPY_SHINGLE) -> np.ndarray:
+    """One-permutation MinHash of the word shingles: of each bin of hashes the least one's last 16 bits, 0 if it is empty."""
+    out = np.zeros(BINS, np.uint16)
+    if not words:
+        return out
+    line = b" ".join(words)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    starts = np.concatenate([[0], ends[:-1] + 1])
+    k = min(shingle, len(words))
+    digest = xxhash.xxh64_digest
+    hashes = b"".join([digest(line[a:b]) for a, b in zip(starts[: len(words) - k + 1].tolist(), ends[k - 1 :].tolist(), strict=True)])
+    a = np.sort(np.frombuffer(hashes, ">u8").astype(np.uint64))
+    bins = (a >> np.uint64(57)).astype(np.int64)
+    first = np.flatnonzero(np.diff(bins, prepend=-1))
+    out[bins[first]] = np.maximum(a[first] & np.uint64(0xFFFF), 1)
+    return out
+
+
+def alike(sketches: np.ndarray, one: np.ndarray) -> np.ndarray:
+    """Estimated Jaccard similarities of sketches and one of them; two empty ones are alike."""
+    same = ((sketches == one) & (one > 0)).sum(axis=1)
+    either = ((sketches > 0) | (one > 0)).sum(axis=1)
+    return np.where(either > 0, same / np.maximum(either, 1), 1.0)
+
+
+def copy_links(h: np.ndarray, sketches: np.ndarray, radius: int, least: float) -> list[tuple[int, int]]:
+    """Links that join what chains of pairs within the radius and at least so similar join; n-1 at most."""
+    forest, out, balls = Forest(len(h)), [], []
+    free = np.ones(len(h), bool)
+
+    def near(i: int, among: np.ndarray) -> np.ndarray:
+        close = among[np.bitwise_count(h[among] ^ h[i]) <= radius]
+        return close[alike(sketches[close], sketches[i]) >= least] if len(close) else close
+
+    for i in range(len(h)):
+        if free[i]:
+            ball = near(i, np.flatnonzero(free))
+            free[ball] = False
+            free[i] = False
+            out += [(i, int(j)) for j in ball if forest.join(i, int(j))]
+            balls.append((i, np.union1d(ball, [i])))
+    for a, (p, x) in enumerate(balls):
+        for q, y in balls[a + 1 :]:
+            if int(h[p] ^ h[q]).bit_count() > 3 * radius or forest.root(p) == forest.root(q):
+                continue
+            for i in x.tolist():
+                hit = near(i, y)
+                if len(hit):
+                    if forest.join(i, int(hit[0])):
+                        out.append((i, int(hit[0])))
+                    break
+    return out
+
+
+def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = COPY_RADIUS, similarity: float = SIMILARITY, split: int = SPLIT) -> DataFrame:
+    """(doc_id, component_id) of documents with an id: chains of pairs whose five-word shingles are similar.
+
+    Covering masks find all pairs of word fingerprints within the radius, whose components are loose: they hold
+    what may be similar. Within each, sketches of five-word shingles decide. A loose component of more than
+    `split` documents is dealt by bands of the sketches instead, so no task gathers a large one.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            h, out = [], []
+            for t in b.column(1).to_pylist():
+                words = (t or b"").lower().split()
+                h.append(signed(word_fingerprint(set(words))))
+                out.append(sketch(words).tobytes())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(h, pa.int64()), pa.array(out, pa.binary())], ["doc_id", "h", "sketch"])
+
+    rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text")).where("doc_id is not null")
+    prints = stored(rows.mapInArrow(run, "doc_id long, h long, sketch binary"), "copy-prints")
+    # equal sketches of equal fingerprints are one vertex, named by its least document
+    vertices = stored(prints.groupBy("h", "sketch").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n")), "copy-vertices")
+    distinct = stored(vertices.select("h").distinct(), "copy-distinct")
+    loose = components(links(distinct, radius, split)).withColumnRenamed("u", "h")
+    rooted = vertices.join(loose, "h", "left").select("rep", "h", "sketch", F.coalesce("v", "h").alias("root"))
+    counts = rooted.groupBy("root").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    members = stored(rooted.join(counts, "root"), "copy-members")
+    small = members.where(F.col("size") <= split).select("root", F.lit(0).cast("long").alias("band"), "rep", "h", "sketch")
+    piece = F.expr(f"xxhash64(k, substring(sketch, k * {2 * BAND} + 1, {2 * BAND}))")
+    large = members.where(F.col("size") > split).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1)))).select("root", piece.alias("band"), "rep", "h", "sketch")
+    least = similarity - SLACK
+
+    def group_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held = None, []
+
+        def found() -> pa.RecordBatch:
+            reps = np.array([r[0] for r in held], np.int64)
+            h = np.array([r[1] for r in held], np.int64).view(np.uint64)
+            pairs = copy_links(h, np.frombuffer(b"".join([r[2] for r in held]), np.uint16).reshape(-1, BINS), radius, least) if len(held) > 1 else []
+            x, y = (reps[[p[i] for p in pairs]] if pairs else np.zeros(0, np.int64) for i in (0, 1))
+            return pa.RecordBatch.from_arrays([pa.array(np.maximum(x, y)), pa.array(np.minimum(x, y))], ["u", "v"])
+
+        for b in batches:
+            for root, band, *row in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
+                if (root, band) != key:
+                    if len(held) > 1:
+                        yield found()
+                    key, held = (root, band), []
+                held.append(row)
+        yield found()
+
+    dealt = small.unionByName(large).repartition("root", "band").sortWithinPartitions("root", "band", "rep")
+    joined = components(dealt.mapInArrow(group_links, "u long, v long").where("u > v").distinct())
+    by_vertex = vertices.join(joined.withColumnRenamed("u", "rep"), "rep", "left").select("h", "sketch", "n", F.coalesce("v", "rep").alias("component_id"))
+    return prints.join(by_vertex, ["h", "sketch"]).select(F.col("doc_id").alias(id_col), "component_id")
+
+
 def keep_one_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """df without the documents that are near-duplicates of one with a smaller id; all columns stay.
+    """df without the documents that are near copies of one with a smaller id; all columns stay.
 
-    Rows with a null id stay, since no id tells them apart. Rows that repeat an id stay or go together.
+    Rows with a null id stay, since no id tells them apart; of rows with equal id and text, all stay or go.
     """
-    groups = near_duplicates(df.where(F.col(id_col).isNotNull()), id_col, text_col, **options)
-    gone = groups.where(F.col(id_col) > F.col("component_id")).select(F.col(id_col)).distinct()
+    gone = near_copies(df, id_col, text_col, **options).where(F.col(id_col) > F.col("component_id")).select(F.col(id_col)).distinct()
     return df.join(gone, id_col, "left_anti").select(*[F.col(f"`{c}`") for c in df.columns])

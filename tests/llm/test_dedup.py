@@ -113,12 +113,6 @@ def test_components_by_brute_force(spark, messy, split):
     want = brute_components(rows, [simhash.fingerprint((r.text or "").encode()) for r in rows])
     got = simhash.near_duplicates(df, split=split)
     assert sorted(map(tuple, got.collect()), key=repr) == want
-    if split > 2:
-        kept = simhash.keep_one_each(df)
-        assert kept.columns == df.columns
-        known = [r for r in rows if r.doc_id is not None]
-        alone = brute_components(known, [simhash.fingerprint((r.text or "").encode()) for r in known])
-        assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == sorted(i for i, _, c in alone if i == c)
 
 
 def test_bucket_links_join_what_pairs_join():
@@ -152,3 +146,47 @@ def test_star_components(spark):
 
 def test_near_duplicates_of_nothing(empty):
     assert simhash.near_duplicates(empty).count() == 0
+
+
+def shingles(text):
+    words = (text or "").lower().split()
+    return {" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+@pytest.mark.parametrize("split", [20_000, 3])
+def test_near_copies_against_jaccard(spark, messy, split):
+    rng = np.random.default_rng(6)
+    base = [" ".join(f"w{x}" for x in rng.integers(0, 2000, 400)) for _ in range(5)]
+    near = [" ".join("new" if rng.random() < 0.006 else w for w in base[k % 5].split()) for k in range(60)]
+    other = [" ".join(f"w{x}" for x in rng.integers(0, 2000, 400)) for _ in range(40)]
+    far = [" ".join(base[k].split()[:200] + other[k].split()[:200]) for k in range(5)]
+    texts = near + other + far
+    extra = spark.createDataFrame([(5000 + i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    df = messy.where("doc_id is null or doc_id >= 1000").unionByName(extra, allowMissingColumns=True)
+    rows = [r for r in df.collect() if r.doc_id is not None]
+    sets = [shingles(r.text) for r in rows]
+    up = simhash.Forest(len(rows))
+    for i in range(len(rows)):
+        for j in range(i):
+            if sets[i] == sets[j] or len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                up.join(i, j)
+    least = defaultdict(list)
+    for i, r in enumerate(rows):
+        least[up.root(i)].append(r.doc_id)
+    want = sorted((r.doc_id, min(least[up.root(i)])) for i, r in enumerate(rows))
+    got = sorted(map(tuple, simhash.near_copies(df, split=split).collect()))
+    assert got == want
+    kept = simhash.keep_one_each(df, split=split)
+    assert kept.columns == df.columns
+    assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == sorted(i for i, c in want if i == c)
+    assert kept.where("doc_id is null").count() == df.where("doc_id is null").count()
+
+
+def test_sketch_estimates_jaccard():
+    rng = np.random.default_rng(8)
+    for keep in (0.99, 0.97, 0.9):
+        a = [b"w%d" % x for x in rng.integers(0, 5000, 3000)]
+        b = [w if rng.random() < keep else b"x" for w in a]
+        x, y = ({b" ".join(t[i : i + 5]) for i in range(len(t) - 4)} for t in (a, b))
+        true = len(x & y) / len(x | y)
+        assert abs(simhash.alike(simhash.sketch(b)[None], simhash.sketch(a))[0] - true) < 0.13
