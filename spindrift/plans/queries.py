@@ -98,7 +98,7 @@ def nation_series(spark, sf_dir):
 @registered
 def forward_filled_series(spark, sf_dir):
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
-    return rounded(S.from_events(events, F.col("event_type"), S.bucket_number("ts", S.HOUR), F.col("value"), fill="forward"), y=6)
+    return rounded(S.from_events(events, F.col("event_type"), S.bucket_number(events, "ts", S.HOUR), F.col("value"), fill="forward"), y=6)
 
 
 @registered
@@ -582,9 +582,14 @@ def streaming_observation(spark, sf_dir):
     """The streaming operator itself over the stored hourly series, run until it has read them all."""
     source, out, state = (new_path(spark, f"observe-{x}") for x in ("in", "out", "state"))
     S.hourly_events(spark, sf_dir).write.parquet(source)
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    stream = observe.observe(spark.readStream.schema("series_id string, t int, y double").parquet(source))
-    stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(provider)
+    spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        stream = observe.observe(spark.readStream.schema("series_id string, t int, y double").parquet(source))
+        stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set(provider, before)
     return spark.read.schema(observe.OUTPUT).parquet(out)
 
 

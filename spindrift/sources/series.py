@@ -8,15 +8,17 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 HOUR, DAY = 3600, 86400
 FILLS = ("zero", "forward", "none")
 
 
-def bucket_number(ts: str, seconds: int) -> Column:
-    """Whole buckets since 1970 for a timestamp with or without time zone (the latter read as UTC)."""
-    elapsed = F.expr(f"timestampdiff(SECOND, timestamp_ntz'1970-01-01 00:00:00', cast({ts} as timestamp_ntz))")
-    return F.floor(elapsed / seconds)
+def bucket_number(df: DataFrame, ts: str, seconds: int) -> Column:
+    """Whole buckets since 1970 for a timestamp with or without time zone (the latter read as UTC), whatever the session's zone."""
+    if isinstance(df.schema[ts].dataType, T.TimestampType):
+        return F.floor(F.unix_seconds(ts) / seconds)
+    return F.floor(F.expr(f"timestampdiff(SECOND, timestamp_ntz'1970-01-01 00:00:00', cast(`{ts}` as timestamp_ntz))") / seconds)
 
 
 def from_events(df: DataFrame, series: Column, bucket: Column, value: Column, agg: str = "sum", fill: str = "zero") -> DataFrame:
@@ -44,20 +46,20 @@ def from_events(df: DataFrame, series: Column, bucket: Column, value: Column, ag
 def hourly_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hourly sum of `events.value` for each event type."""
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
-    return from_events(events, F.col("event_type"), bucket_number("ts", HOUR), F.col("value"))
+    return from_events(events, F.col("event_type"), bucket_number(events, "ts", HOUR), F.col("value"))
 
 
 def daily_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Daily sum of `orders.o_totalprice` for each order priority."""
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
-    return from_events(orders, F.col("o_orderpriority"), bucket_number("o_orderdate", DAY), F.col("o_totalprice"))
+    return from_events(orders, F.col("o_orderpriority"), bucket_number(orders, "o_orderdate", DAY), F.col("o_totalprice"))
 
 
 def daily_nation_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Daily sum of `orders.o_totalprice` for each customer's nation."""
     orders, customer, nation = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("orders", "customer", "nation"))
     placed = orders.join(customer, F.col("o_custkey") == F.col("c_custkey")).join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
-    return from_events(placed, F.col("n_name"), bucket_number("o_orderdate", DAY), F.col("o_totalprice"))
+    return from_events(placed, F.col("n_name"), bucket_number(orders, "o_orderdate", DAY), F.col("o_totalprice"))
 
 
 def embedding_series(spark: SparkSession, sf_dir: str) -> DataFrame:
