@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import slices
+
 LEAST, THRESHOLD = 5, 0.8
 BLOCK_WORDS = 200_000
 SPACES = bytes(32 if c < 33 or c < 128 and not chr(c).isalnum() else c for c in range(256))
@@ -149,7 +151,7 @@ def contaminated(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
 
         def run(batches: Iterator[pa.RecordBatch], items=items) -> Iterator[pa.RecordBatch]:
             find = Matcher(items, least, threshold).find
-            for b in batches:
+            for b in slices(batches):
                 rows = [(doc, *x) for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for x in find(text)]
                 columns = zip(*rows, strict=True) if rows else [()] * 6
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
@@ -170,7 +172,7 @@ def drop_contaminated(df: DataFrame, benchmark: DataFrame, text_col: str = "text
 
         def run(batches: Iterator[pa.RecordBatch], items=items) -> Iterator[pa.RecordBatch]:
             find = Matcher(items, least, threshold).find
-            for b in batches:
+            for b in slices(batches):
                 yield b.filter(pa.array([not find(t) for t in b.column(place).to_pylist()], pa.bool_()))
 
         df = df.mapInArrow(run, df.schema)

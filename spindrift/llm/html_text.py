@@ -70,8 +70,10 @@ def is_furniture(tag: str, attrs: str, in_article: bool) -> bool:
         elif name.lower() == "hidden" or name.lower() == "aria-hidden":
             if name.lower() == "hidden" or value.lower() == "true":
                 return True
-        elif tag not in ("body", "html", "article", "main") and not FURNITURE_WORDS.isdisjoint(w.lower() for w in WORD_OF_NAME.findall(value)):
-            return True
+        elif tag not in ("body", "html", "article", "main"):
+            words = {w.lower() for w in WORD_OF_NAME.findall(value)} - ({"header"} if in_article else set())
+            if not FURNITURE_WORDS.isdisjoint(words):
+                return True
     return False
 
 

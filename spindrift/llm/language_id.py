@@ -34,7 +34,7 @@ BATCH = 64
 
 
 def has_letter(text: str | None) -> bool:
-    return bool(text) and any(c.isalpha() for c in text[:64]) or bool(text) and any(map(str.isalpha, text))
+    return any(map(str.isalpha, text or ""))
 
 
 def letters(text: str) -> np.ndarray:

@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import tokens
+from .common import slices
 
 WINDOW, END_ID = 2048, 1
 PIECE_SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -129,7 +130,7 @@ def pack_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         encode, end = tokens.encoder(path).encode, np.array([end_id], "<u4").tobytes()
         packer = SumOfSquares(window)
         sequence = TaskContext.get().partitionId() << 40
-        for b in batches:
+        for b in slices(batches):
             for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 ids = encode(text) + end
                 packer.add((doc, len(ids) // 4), ids)

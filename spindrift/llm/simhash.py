@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_hot, stored
+from .common import join_hot, slices, stored
 
 SHINGLE, SEED, RADIUS = 3, 42, 3
 #: Fingerprints in a bucket beyond which it is dealt anew.
@@ -72,7 +72,7 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """(doc_id, h) with the fingerprint as a signed long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             h = [signed(fingerprint(t or b"", shingle)) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(h, pa.int64())], ["doc_id", "h"])
 
@@ -315,7 +315,7 @@ def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", r
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             h, out = [], []
             for t in b.column(1).to_pylist():
                 words = (t or b"").lower().split()

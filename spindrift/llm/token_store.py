@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import tokens
-from .common import shuffle_partitions
+from .common import shuffle_partitions, slices
 
 END_ID = 2
 #: Chunks: ids that the rolling hash sees, ids in the mean, at least and at most.
@@ -132,7 +132,7 @@ def write_store(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str
         encoder, end = tokens.encoder(file), np.array([end_id], "<u4").tobytes()
         sent: set[bytes] = set()
         serial, rows, held = TaskContext.get().partitionId() << 32, [], 0
-        for b in batches:
+        for b in slices(batches):
             for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 raw = encoder.encode(text) + end
                 ids = np.frombuffer(raw, "<u4")

@@ -19,7 +19,7 @@ import numpy as np
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Pieces in each of a worker's two cache generations (about 200 bytes each).
-CACHE_PIECES = 500_000
+CACHE_PIECES = 200_000
 #: Letters, and other visible characters, whose class is the same in every Unicode version.
 LETTERS = "A-Za-zªµºÀ-ÖØ-öø-ɏΈ-ΊΎ-ΡΣ-ϿЀ-ҁҊ-ԧぁ-ゖァ-ヺ一-鿌가-힣"
 MARKS = "!-/:-@\\[-`{-~¡§«»¿–—‘-„…€、。"

@@ -32,6 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import slices
 from .sampling import labelled_sample
 
 #: Documents of each label that are sampled for training; words of each kind; landmarks of each kind.
@@ -41,7 +42,7 @@ PENALTY, LEAST_DOCUMENTS, DISCOVERY = 4.0, 2, 0.1
 #: Words longer than this are looked at in overlapping windows.
 LONGEST = 32
 FLOOR = -3.0
-CACHE_WORDS = 200_000
+CACHE_WORDS = 100_000
 #: Words whose triples are laid out at a time (about 3 kB each).
 WORDS_AT_ONCE = 4_000
 APART = re.compile(r"(?<!\S)\w(?:[\W_]+\w(?!\w)){2,}(?!\w)")
@@ -296,7 +297,7 @@ def predict(df: DataFrame, model: Model | float, id_col: str = "doc_id", text_co
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = None if isinstance(model, float) else Scorer(model)
-        for b in batches:
+        for b in slices(batches):
             scores = np.full(b.num_rows, model) if scorer is None else scorer.scores(b.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(scores, pa.float64())], [id_col, "score"])
 
@@ -309,7 +310,7 @@ def drop_toxic(df: DataFrame, model: Model | float, text_col: str = "text", thre
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = None if isinstance(model, float) else Scorer(model)
-        for b in batches:
+        for b in slices(batches):
             keep = np.full(b.num_rows, model < threshold) if scorer is None else scorer.scores(b.column(place).to_pylist()) < threshold
             yield b.filter(pa.array(keep, pa.bool_()))
 
