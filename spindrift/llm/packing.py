@@ -108,8 +108,11 @@ class SumOfSquares:
         self.closed.extend(held for level in self.levels for held in level)
 
 
-def pack_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, window: int = WINDOW, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
-    """One row per piece: document, place in it, checksum, sequence and offset there; with_ids adds the ids as bytes."""
+def pack_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, window: int = WINDOW, end_id: int = END_ID, with_ids: bool = False, keep_cache: bool = True) -> DataFrame:
+    """One row per piece: document, place in it, checksum, sequence and offset there; with_ids adds the ids as bytes.
+
+    keep_cache=False empties a worker's cache of pieces at the end of each task, for jobs that go on to other work.
+    """
     path = tokenizer or tokens.default_path()
     schema = PIECE_SCHEMA + (", ids binary" if with_ids else "")
 
@@ -138,6 +141,8 @@ def pack_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                     yield from rows(packer.closed, sequence)
                     sequence += len(packer.closed)
                     packer.closed.clear()
+        if not keep_cache:
+            tokens.encoder(path).forget()
         packer.finish()
         yield from rows(packer.closed, sequence)
 

@@ -19,7 +19,7 @@ import numpy as np
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Pieces in each of a worker's two cache generations (about 200 bytes each).
-CACHE_PIECES = 200_000
+CACHE_PIECES = 500_000
 #: Letters, and other visible characters, whose class is the same in every Unicode version.
 LETTERS = "A-Za-zªµºÀ-ÖØ-öø-ɏΈ-ΊΎ-ΡΣ-ϿЀ-ҁҊ-ԧぁ-ゖァ-ヺ一-鿌가-힣"
 MARKS = "!-/:-@\\[-`{-~¡§«»¿–—‘-„…€、。"
@@ -75,6 +75,12 @@ class Encoder:
         self.letters = dict(enumerate(byte_letters()))
         self.ids, self.spans = Cache(self._ids, cache_pieces), Cache(self._spans, cache_pieces // 4)
 
+    def forget(self) -> None:
+        """Empty the caches: at the end of a task, since a worker's memory also serves other stages."""
+        for cache in (self.ids, self.spans):
+            cache.old = {}
+            cache.clear()
+
     def pieces(self, text: str) -> list[str]:
         if KNOWN.fullmatch(text):
             return PIECE.findall(text)
