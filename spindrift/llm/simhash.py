@@ -19,6 +19,7 @@ other; an empty table gives an empty table; other columns are never looked at.
 
 from __future__ import annotations
 
+import itertools
 import random
 from collections.abc import Iterator
 
@@ -236,40 +237,39 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return out.select(F.col("doc_id").alias(id_col), F.lower(F.lpad(F.hex("h"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-#: Near copies: words of a shingle, similarity, differing bits of the word fingerprints, bins of a sketch.
-COPY_SHINGLE, SIMILARITY, COPY_RADIUS, BINS = 5, 0.8, 6, 128
+#: Near copies: words of a shingle, similarity, bins of a sketch, bins of a band.
+COPY_SHINGLE, SIMILARITY, BINS, BAND = 5, 0.8, 128, 4
+BANDS = BINS // BAND
 #: A sketch tells similarities within some hundredths; pairs this far below SIMILARITY still link.
-SLACK = 0.05
-#: Bands of a sketch by which components of more than SPLIT documents are dealt anew, and bins in each.
-BANDS, BAND = 20, 5
+NEAR = 0.05
 
 
-def word_fingerprint(words: set[bytes]) -> int:
-    """Majority bits of the XXH64 of the distinct words: one changed word changes one of them, not three."""
+def shingle_hashes(words: list[bytes], shingle: int = COPY_SHINGLE) -> np.ndarray:
+    """Distinct XXH64 of the word shingles in order; a shorter text is one shingle."""
     if not words:
-        return 0
-    bits = np.unpackbits(np.frombuffer(b"".join([xxhash.xxh64_digest(w, SEED) for w in words]), np.uint8).reshape(-1, 8), axis=1)
-    return int.from_bytes(np.packbits(bits.sum(axis=0, dtype=np.int64) * 2 > len(words)).tobytes(), "big")
-
-
-def sketch(words: list[bytes], shingle: int = COPY_SHINGLE) -> np.ndarray:
-    """One-permutation MinHash of the word shingles: of each bin of hashes the least one's last 16 bits, 0 if it is empty."""
-    out = np.zeros(BINS, np.uint16)
-    if not words:
-        return out
+        return np.zeros(0, np.uint64)
     line = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])
     k = min(shingle, len(words))
     digest = xxhash.xxh64_digest
     hashes = b"".join([digest(line[a:b]) for a, b in zip(starts[: len(words) - k + 1].tolist(), ends[k - 1 :].tolist(), strict=True)])
-    a = np.sort(np.frombuffer(hashes, ">u8").astype(np.uint64))
-    bins = (a >> np.uint64(57)).astype(np.int64)
+    return np.unique(np.frombuffer(hashes, ">u8").astype(np.uint64))
+
+
+def sketch_of(hashes: np.ndarray) -> np.ndarray:
+    """One-permutation MinHash: of each bin of sorted hashes the least one's last 16 bits, 0 if it is empty."""
+    out = np.zeros(BINS, np.uint16)
+    bins = (hashes >> np.uint64(57)).astype(np.int64)
     first = np.flatnonzero(np.diff(bins, prepend=-1))
-    out[bins[first]] = np.maximum(a[first] & np.uint64(0xFFFF), 1)
+    out[bins[first]] = np.maximum(hashes[first] & np.uint64(0xFFFF), 1)
     return out
 
 
+def sketch(words: list[bytes], shingle: int = COPY_SHINGLE) -> np.ndarray:
+    return sketch_of(shingle_hashes(words, shingle))
+
+
 def alike(sketches: np.ndarray, one: np.ndarray) -> np.ndarray:
     """Estimated Jaccard similarities of sketches and one of them; two empty ones are alike."""
     same = ((sketches == one) & (one > 0)).sum(axis=1)
@@ -277,89 +277,87 @@ def alike(sketches: np.ndarray, one: np.ndarray) -> np.ndarray:
     return np.where(either > 0, same / np.maximum(either, 1), 1.0)
 
 
-def copy_links(h: np.ndarray, sketches: np.ndarray, radius: int, least: float) -> list[tuple[int, int]]:
-    """Links that join what chains of pairs within the radius and at least so similar join; n-1 at most."""
-    forest, out, balls = Forest(len(h)), [], []
-    free = np.ones(len(h), bool)
-
-    def near(i: int, among: np.ndarray) -> np.ndarray:
-        close = among[np.bitwise_count(h[among] ^ h[i]) <= radius]
-        return close[alike(sketches[close], sketches[i]) >= least] if len(close) else close
-
-    for i in range(len(h)):
-        if free[i]:
-            ball = near(i, np.flatnonzero(free))
-            free[ball] = False
-            free[i] = False
-            out += [(i, int(j)) for j in ball if forest.join(i, int(j))]
-            balls.append((i, np.union1d(ball, [i])))
-    for a, (p, x) in enumerate(balls):
-        for q, y in balls[a + 1 :]:
-            if int(h[p] ^ h[q]).bit_count() > 3 * radius or forest.root(p) == forest.root(q):
-                continue
-            for i in x.tolist():
-                hit = near(i, y)
-                if len(hit):
-                    if forest.join(i, int(hit[0])):
-                        out.append((i, int(hit[0])))
-                    break
+def star_links(sketches: np.ndarray, least: float) -> list[tuple[int, int]]:
+    """Links (i, j), i < j, of each position to the first that is so similar and linked to none before; n-1 at most."""
+    if len(sketches) == 2:
+        return [(0, 1)] if alike(sketches[1:], sketches[0])[0] >= least else []
+    free, out = np.arange(len(sketches)), []
+    while len(free) > 1:
+        near = alike(sketches[free[1:]], sketches[free[0]]) >= least
+        out += [(int(free[0]), int(j)) for j in free[1:][near]]
+        free = free[1:][~near]
     return out
 
 
-def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = COPY_RADIUS, similarity: float = SIMILARITY, split: int = SPLIT) -> DataFrame:
-    """(doc_id, component_id) of documents with an id: chains of pairs whose five-word shingles are similar.
-
-    Covering masks find all pairs of word fingerprints within the radius, whose components are loose: they hold
-    what may be similar. Within each, sketches of five-word shingles decide. A loose component of more than
-    `split` documents is dealt by bands of the sketches instead, so no task gathers a large one.
-    """
+def grouped(found, keys: int):
+    """For mapInArrow over rows sorted by their first `keys` columns: found(key, rows) gives the links of a group."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches):
-            h, out = [], []
-            for t in b.column(1).to_pylist():
-                words = (t or b"").lower().split()
-                h.append(signed(word_fingerprint(set(words))))
-                out.append(sketch(words).tobytes())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(h, pa.int64()), pa.array(out, pa.binary())], ["doc_id", "h", "sketch"])
-
-    rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text")).where("doc_id is not null")
-    prints = stored(rows.mapInArrow(run, "doc_id long, h long, sketch binary"), "copy-prints")
-    # equal sketches of equal fingerprints are one vertex, named by its least document
-    vertices = stored(prints.groupBy("h", "sketch").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n")), "copy-vertices")
-    distinct = stored(vertices.select("h").distinct(), "copy-distinct")
-    loose = components(links(distinct, radius, split)).withColumnRenamed("u", "h")
-    rooted = vertices.join(loose, "h", "left").select("rep", "h", "sketch", F.coalesce("v", "h").alias("root"))
-    counts = rooted.groupBy("root").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    members = stored(rooted.join(counts, "root"), "copy-members")
-    small = members.where(F.col("size") <= split).select("root", F.lit(0).cast("long").alias("band"), "rep", "h", "sketch")
-    piece = F.expr(f"xxhash64(k, substring(sketch, k * {2 * BAND} + 1, {2 * BAND}))")
-    large = members.where(F.col("size") > split).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1)))).select("root", piece.alias("band"), "rep", "h", "sketch")
-    least = similarity - SLACK
-
-    def group_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, held = None, []
 
-        def found() -> pa.RecordBatch:
-            reps = np.array([r[0] for r in held], np.int64)
-            h = np.array([r[1] for r in held], np.int64).view(np.uint64)
-            pairs = copy_links(h, np.frombuffer(b"".join([r[2] for r in held]), np.uint16).reshape(-1, BINS), radius, least) if len(held) > 1 else []
-            x, y = (reps[[p[i] for p in pairs]] if pairs else np.zeros(0, np.int64) for i in (0, 1))
-            return pa.RecordBatch.from_arrays([pa.array(np.maximum(x, y)), pa.array(np.minimum(x, y))], ["u", "v"])
+        def links_of() -> Iterator[pa.RecordBatch]:
+            pairs = iter(found(key, held) if len(held) > 1 else [])
+            while some := list(itertools.islice(pairs, 50_000)):
+                u, v = np.array(some, np.int64).T
+                yield pa.RecordBatch.from_arrays([pa.array(np.maximum(u, v)), pa.array(np.minimum(u, v))], ["u", "v"])
 
         for b in batches:
-            for root, band, *row in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
-                if (root, band) != key:
-                    if len(held) > 1:
-                        yield found()
-                    key, held = (root, band), []
-                held.append(row)
-        yield found()
-
-    dealt = small.unionByName(large).repartition("root", "band").sortWithinPartitions("root", "band", "rep")
-    joined = components(dealt.mapInArrow(group_links, "u long, v long").where("u > v").distinct())
-    by_vertex = vertices.join(joined.withColumnRenamed("u", "rep"), "rep", "left").select("h", "sketch", "n", F.coalesce("v", "rep").alias("component_id"))
-    return prints.join(by_vertex, ["h", "sketch"]).select(F.col("doc_id").alias(id_col), "component_id")
+            for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if row[:keys] != key:
+                    yield from links_of()
+                    key, held = row[:keys], []
+                held.append(row[keys:])
+        yield from links_of()
+
+    return run
+
+
+def as_matrix(sketches: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(sketches), np.uint16).reshape(-1, BINS)
+
+
+def proposed(members: DataFrame, sketches: DataFrame, least: float) -> DataFrame:
+    """(u, v), u > v: links by estimate within each bucket of members (k, bucket, size, rep); n-1 at most in a bucket."""
+    own = members.withColumn("part", F.lit(0))
+    cols = ["k", "bucket", "part", "rep"]
+    dealt = own.select(*cols).join(sketches, "rep").select(*cols, "sketch")
+
+    def found(key: tuple, rows: list) -> list[tuple[int, int]]:
+        return [(rows[i][0], rows[j][0]) for i, j in star_links(as_matrix([r[1] for r in rows]), least)]
+
+    dealt = dealt.repartition("k", "bucket", "part").sortWithinPartitions(*cols)
+    return dealt.mapInArrow(grouped(found, 3), "u long, v long").where("u > v").distinct()
+
+
+def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, split: int = SPLIT) -> DataFrame:
+    """(doc_id, component_id) of documents with an id: chains of pairs whose five-word shingles are so similar.
+
+    Documents that share a band of bins of their sketches, at any size of a bucket, are candidates: a pair with
+    a similarity of 0.8 shares none of 32 with a chance of 5e-8. Estimates decide.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            digests, out = [], []
+            for t in b.column(1).to_pylist():
+                hashes = shingle_hashes((t or b"").lower().split())
+                digests.append(xxhash.xxh3_128_digest(hashes.tobytes()))
+                out.append(sketch_of(hashes).tobytes())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(digests, pa.binary()), pa.array(out, pa.binary())], ["doc_id", "digest", "sketch"])
+
+    texts = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text")).where("doc_id is not null")
+    prints = stored(texts.mapInArrow(run, "doc_id long, digest binary, sketch binary"), "copy-prints")
+    # equal sets of shingles are one vertex, named by its least document
+    vertices = stored(prints.groupBy("digest", "sketch").agg(F.min("doc_id").alias("rep")), "copy-vertices")
+    piece = F.expr(f"substring(sketch, k * {2 * BAND} + 1, {2 * BAND})")
+    bands = vertices.select("rep", "sketch", F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1))).alias("k")).withColumn("piece", piece)
+    bands = bands.where(F.col("piece") != F.lit(bytes(2 * BAND))).select("k", F.xxhash64("piece").alias("bucket"), "rep")
+    sizes = bands.groupBy("k", "bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    members = stored(bands.join(stored(sizes, "copy-sizes"), ["k", "bucket"]), "copy-members")
+    sketches = stored(vertices.select("rep", "sketch").join(members.select("rep").distinct(), "rep", "left_semi"), "copy-sketches")
+    joined = components(proposed(members, sketches, similarity - NEAR))
+    by_vertex = vertices.join(joined.withColumnRenamed("u", "rep"), "rep", "left").select("digest", F.coalesce("v", "rep").alias("component_id"))
+    return prints.join(by_vertex, "digest").select(F.col("doc_id").alias(id_col), "component_id")
 
 
 def keep_one_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

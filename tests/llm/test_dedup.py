@@ -190,3 +190,21 @@ def test_sketch_estimates_jaccard():
         x, y = ({b" ".join(t[i : i + 5]) for i in range(len(t) - 4)} for t in (a, b))
         true = len(x & y) / len(x | y)
         assert abs(simhash.alike(simhash.sketch(b)[None], simhash.sketch(a))[0] - true) < 0.13
+
+
+def random_words(rng, n):
+    return [f"w{x}" for x in rng.integers(0, 10**6, n)]
+
+
+def test_near_copies_that_grow_or_shrink(spark):
+    rng = np.random.default_rng(11)
+    rows, want = [], []
+    for k in range(40):
+        words, more = random_words(rng, 400), random_words(rng, 400)
+        copy = [words + more[:72], words[:340], words + more[:94], words[-326:]][k % 4]
+        x, y = shingles(" ".join(words)), shingles(" ".join(copy))
+        assert 0.8 <= len(x & y) / len(x | y) < 0.87
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(copy))]
+        want += [(2 * k, 2 * k), (2 * k + 1, 2 * k)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(tuple, simhash.near_copies(df).collect())) == want
