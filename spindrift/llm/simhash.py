@@ -240,8 +240,11 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 #: Near copies: words of a shingle, similarity, bins of a sketch, bins of a band.
 COPY_SHINGLE, SIMILARITY, BINS, BAND = 5, 0.8, 128, 4
 BANDS = BINS // BAND
-#: A sketch tells similarities within some hundredths; pairs this far below SIMILARITY still link.
-NEAR = 0.05
+#: A sketch's estimate deviates by 0.035 (one sigma) at SIMILARITY. Links are proposed first down to NEAR below it,
+#: and at last down to FAR, which is over five sigmas; exact similarities decide.
+NEAR, FAR = 0.05, 0.2
+#: Documents that a task compares with others, and links of a document that one task verifies.
+BLOCK, FAN = 4000, 1000
 
 
 def shingle_hashes(words: list[bytes], shingle: int = COPY_SHINGLE) -> np.ndarray:
@@ -277,6 +280,12 @@ def alike(sketches: np.ndarray, one: np.ndarray) -> np.ndarray:
     return np.where(either > 0, same / np.maximum(either, 1), 1.0)
 
 
+def first_bands(sketches: np.ndarray, one: np.ndarray) -> np.ndarray:
+    """The first band, not wholly empty, that each sketch shares with one of them; BANDS if there is none."""
+    shared = (sketches == one).reshape(-1, BANDS, BAND).all(axis=2) & (one.reshape(BANDS, BAND) > 0).any(axis=1)
+    return np.where(shared.any(axis=1), shared.argmax(axis=1), BANDS)
+
+
 def star_links(sketches: np.ndarray, least: float) -> list[tuple[int, int]]:
     """Links (i, j), i < j, of each position to the first that is so similar and linked to none before; n-1 at most."""
     if len(sketches) == 2:
@@ -329,11 +338,78 @@ def proposed(members: DataFrame, sketches: DataFrame, least: float) -> DataFrame
     return dealt.mapInArrow(grouped(found, 3), "u long, v long").where("u > v").distinct()
 
 
-def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, split: int = SPLIT) -> DataFrame:
+def remaining(members: DataFrame, sketches: DataFrame, joined: DataFrame, least: float, block: int) -> DataFrame:
+    """(u, v), u > v: all pairs of a bucket that may be so similar and that `joined` (u, v) has not joined yet, each once.
+
+    The documents that are not in a bucket's greatest component are compared with all of it, block by block.
+    """
+    labelled = members.join(joined.withColumnRenamed("u", "rep"), "rep", "left").withColumn("label", F.coalesce("v", "rep")).drop("v")
+    labelled = stored(labelled, "copy-labels")
+    counts = labelled.groupBy("k", "bucket", "label").agg(F.count(F.lit(1)).alias("n"))
+    most = counts.groupBy("k", "bucket").agg(F.max_by("label", F.struct("n", "label")).alias("most"), F.max("n").alias("n"), F.sum("n").alias("all")).where("n < all")
+    most = stored(most.select("k", "bucket", "most", F.ceil(F.col("all") / block).cast("int").alias("blocks"), F.ceil((F.col("all") - F.col("n")) / block).cast("int").alias("rests")), "copy-mixed")
+    mixed = labelled.join(most, ["k", "bucket"]).withColumn("other", F.col("label") != F.col("most"))
+    cols = ["k", "bucket", "a", "r", "rest", "rep", "label", "other"]
+    place = F.xxhash64("rep")
+    whole = mixed.withColumn("a", F.pmod(place, F.col("blocks")).cast("int")).withColumn("r", F.explode(F.sequence(F.lit(0), F.col("rests") - 1)))
+    rest = mixed.where("other").withColumn("r", F.pmod(place, F.col("rests")).cast("int")).withColumn("a", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = whole.withColumn("rest", F.lit(False)).select(*cols).unionByName(rest.withColumn("rest", F.lit(True)).select(*cols)).join(sketches, "rep").select(*cols, "sketch")
+
+    def found(key: tuple, rows: list) -> Iterator[tuple[int, int]]:
+        some, against = ([r for r in rows if r[0] == x] for x in (True, False))
+        if not some or not against:
+            return
+        names, labels, other = (np.array([r[c] for r in against]) for c in (1, 2, 3))
+        sketches = as_matrix([r[4] for r in against])
+        for _, name, label, _, one in some:
+            one = np.frombuffer(one, np.uint16)
+            # a pair of two such documents is met from both sides
+            at = np.flatnonzero((labels != label) & (~other | (names < name)))
+            at = at[alike(sketches[at], one) >= least]
+            at = at[first_bands(sketches[at], one) == key[0]]
+            yield from ((name, int(x)) for x in names[at])
+
+    dealt = dealt.repartition("k", "bucket", "a", "r").sortWithinPartitions("k", "bucket", "a", "r", "rest", "rep")
+    return dealt.mapInArrow(grouped(found, 4), "u long, v long").where("u > v").distinct()
+
+
+def with_set(pairs: DataFrame, sets: DataFrame, key: str) -> DataFrame:
+    """pairs with the set of the document `key`; a document of many pairs is copied for each FAN of them."""
+    hot = pairs.groupBy(key).count().where(F.col("count") > FAN).select(key, F.ceil(F.col("count") / FAN).cast("int").alias("parts"))
+    hot = F.broadcast(stored(hot, "copy-hot"))
+    parts = F.coalesce("parts", F.lit(1))
+    left = pairs.join(hot, key, "left").withColumn("part", F.pmod(F.xxhash64("u", "v"), parts).cast("int")).drop("parts")
+    right = sets.select(F.col("rep").alias(key), F.col("hashes").alias(f"{key}_set")).join(hot, key, "left")
+    right = right.withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("parts")
+    return left.join(right, [key, "part"]).drop("part")
+
+
+def verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """The (u, v) of `pairs` whose texts' sets of shingles have at least this Jaccard similarity."""
+    pairs = stored(pairs, "copy-pairs")
+    needed = stored(pairs.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct(), "copy-needed")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            sets = [shingle_hashes((t or b"").lower().split()).view(np.int64) for t in b.column(1).to_pylist()]
+            ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
+            hashes = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int64), *sets])))
+            yield pa.RecordBatch.from_arrays([b.column(0), hashes], ["rep", "hashes"])
+
+    sets = stored(texts.join(needed, "doc_id", "left_semi").mapInArrow(run, "rep long, hashes array<long>"), "copy-sets")
+    both = F.size(F.array_intersect("u_set", "v_set"))
+    either = F.size("u_set") + F.size("v_set") - both
+    found = with_set(with_set(pairs, sets, "u"), sets, "v")
+    return stored(found.where(both >= F.lit(similarity) * either).select("u", "v").distinct(), "copy-verified")
+
+
+def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, split: int = BLOCK) -> DataFrame:
     """(doc_id, component_id) of documents with an id: chains of pairs whose five-word shingles are so similar.
 
     Documents that share a band of bins of their sketches, at any size of a bucket, are candidates: a pair with
-    a similarity of 0.8 shares none of 32 with a chance of 5e-8. Estimates decide.
+    a similarity of 0.8 shares none of 32 with a chance of 5e-8. Links are proposed by estimates and decided by
+    the sets of shingles themselves. First come n-1 links at most for a bucket; where they leave a bucket in
+    several components, all pairs between these that the estimate does not rule out are decided too.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -355,7 +431,9 @@ def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     sizes = bands.groupBy("k", "bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     members = stored(bands.join(stored(sizes, "copy-sizes"), ["k", "bucket"]), "copy-members")
     sketches = stored(vertices.select("rep", "sketch").join(members.select("rep").distinct(), "rep", "left_semi"), "copy-sketches")
-    joined = components(proposed(members, sketches, similarity - NEAR))
+    some = verified(proposed(members, sketches, similarity - NEAR), texts, similarity)
+    more = verified(remaining(members, sketches, components(some), similarity - FAR, split), texts, similarity)
+    joined = components(some.unionByName(more))
     by_vertex = vertices.join(joined.withColumnRenamed("u", "rep"), "rep", "left").select("digest", F.coalesce("v", "rep").alias("component_id"))
     return prints.join(by_vertex, "digest").select(F.col("doc_id").alias(id_col), "component_id")
 

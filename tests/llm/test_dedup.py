@@ -208,3 +208,16 @@ def test_near_copies_that_grow_or_shrink(spark):
         want += [(2 * k, 2 * k), (2 * k + 1, 2 * k)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert sorted(map(tuple, simhash.near_copies(df).collect())) == want
+
+
+def test_near_copies_keep_what_is_below(spark):
+    rng = np.random.default_rng(12)
+    rows = []
+    for k in range(40):
+        words = random_words(rng, 400)
+        copy = words[: 306 + k % 14]
+        x, y = shingles(" ".join(words)), shingles(" ".join(copy))
+        assert 0.75 < len(x & y) / len(x | y) < 0.8
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(copy))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert simhash.keep_one_each(df).count() == len(rows)
