@@ -26,7 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import join_hot, slices, stored
@@ -243,8 +243,9 @@ BANDS = BINS // BAND
 #: A sketch's estimate deviates by 0.035 (one sigma) at SIMILARITY. Links are proposed first down to NEAR below it,
 #: and at last down to FAR, which is over five sigmas; exact similarities decide.
 NEAR, FAR = 0.05, 0.2
-#: Documents that a task compares with others, and links of a document that one task verifies.
-BLOCK, FAN = 4000, 1000
+#: Documents of a bucket that a task compares, documents that each block of a larger bucket shares, and links of
+#: a document that one task verifies.
+BLOCK, PIVOTS, FAN = 4000, 64, 1000
 
 
 def shingle_hashes(words: list[bytes], shingle: int = COPY_SHINGLE) -> np.ndarray:
@@ -325,11 +326,18 @@ def as_matrix(sketches: list[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join(sketches), np.uint16).reshape(-1, BINS)
 
 
-def proposed(members: DataFrame, sketches: DataFrame, least: float) -> DataFrame:
-    """(u, v), u > v: links by estimate within each bucket of members (k, bucket, size, rep); n-1 at most in a bucket."""
-    own = members.withColumn("part", F.lit(0))
+def proposed(members: DataFrame, sketches: DataFrame, least: float, block: int) -> DataFrame:
+    """(u, v), u > v: links by estimate within each bucket of members (k, bucket, size, rep); n-1 at most in a block.
+
+    A bucket of more than `block` documents is dealt to blocks that all hold its PIVOTS least documents.
+    """
+    members = members.withColumn("blocks", F.ceil(F.col("size") / block).cast("int"))
+    own = members.withColumn("part", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    rank = F.row_number().over(Window.partitionBy("k", "bucket").orderBy("rep"))
+    pivots = own.where("blocks > 1").withColumn("rank", rank).where(F.col("rank") <= PIVOTS)
+    pivots = pivots.withColumn("at", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).where("at <> part").withColumn("part", F.col("at"))
     cols = ["k", "bucket", "part", "rep"]
-    dealt = own.select(*cols).join(sketches, "rep").select(*cols, "sketch")
+    dealt = own.select(*cols).unionByName(pivots.select(*cols)).join(sketches, "rep").select(*cols, "sketch")
 
     def found(key: tuple, rows: list) -> list[tuple[int, int]]:
         return [(rows[i][0], rows[j][0]) for i, j in star_links(as_matrix([r[1] for r in rows]), least)]
@@ -408,7 +416,7 @@ def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
 
     Documents that share a band of bins of their sketches, at any size of a bucket, are candidates: a pair with
     a similarity of 0.8 shares none of 32 with a chance of 5e-8. Links are proposed by estimates and decided by
-    the sets of shingles themselves. First come n-1 links at most for a bucket; where they leave a bucket in
+    the sets of shingles themselves. First come n-1 links at most for a block; where they leave a bucket in
     several components, all pairs between these that the estimate does not rule out are decided too.
     """
 
@@ -431,7 +439,7 @@ def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     sizes = bands.groupBy("k", "bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     members = stored(bands.join(stored(sizes, "copy-sizes"), ["k", "bucket"]), "copy-members")
     sketches = stored(vertices.select("rep", "sketch").join(members.select("rep").distinct(), "rep", "left_semi"), "copy-sketches")
-    some = verified(proposed(members, sketches, similarity - NEAR), texts, similarity)
+    some = verified(proposed(members, sketches, similarity - NEAR, split), texts, similarity)
     more = verified(remaining(members, sketches, components(some), similarity - FAR, split), texts, similarity)
     joined = components(some.unionByName(more))
     by_vertex = vertices.join(joined.withColumnRenamed("u", "rep"), "rep", "left").select("digest", F.coalesce("v", "rep").alias("component_id"))

@@ -221,3 +221,41 @@ def test_near_copies_keep_what_is_below(spark):
         rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(copy))]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert simhash.keep_one_each(df).count() == len(rows)
+
+
+@pytest.mark.parametrize("split", [20_000, 4])
+def test_near_copies_in_large_buckets(spark, split, monkeypatch):
+    """Chains around 0.8 in buckets that hold many blocks and few pivots: all that is left between blocks is decided."""
+    monkeypatch.setattr(simhash, "PIVOTS", 2)
+    monkeypatch.setattr(simhash, "FAN", 3)
+    rng = np.random.default_rng(13)
+    words = random_words(rng, 900)
+    texts = [words[k : k + 200] for k in [*range(0, 300, 9), *range(420, 600, 23)]]
+    order = rng.permutation(len(texts)).tolist()
+    sets = [shingles(" ".join(texts[i])) for i in order]
+    up = simhash.Forest(len(order))
+    for i in range(len(order)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                up.join(i, j)
+    want = [(i, up.root(i)) for i in range(len(order))]
+    assert 1 < len({r for _, r in want}) < len(order)
+    df = spark.createDataFrame([(i, " ".join(texts[o])) for i, o in enumerate(order)], "doc_id long, text string")
+    assert sorted(map(tuple, simhash.near_copies(df, split=split).collect())) == want
+
+
+def test_blocks_of_a_large_bucket_are_bounded(spark):
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(14)
+    one = rng.integers(1, 60_000, simhash.BINS).astype(np.uint16)
+    sketches = spark.createDataFrame([(i, one.tobytes()) for i in range(600)], "rep long, sketch binary")
+    members = sketches.select(F.lit(0).alias("k"), F.lit(1).cast("long").alias("bucket"), "rep", F.lit(600).cast("long").alias("size"))
+    pairs = [(r.u, r.v) for r in simhash.proposed(members, sketches, 0.75, 50).collect()]
+    # all blocks share their first pivot, so one star joins the bucket
+    assert sorted(pairs) == [(i, 0) for i in range(1, 600)]
+    none = spark.createDataFrame([], "u long, v long")
+    half = spark.createDataFrame([(i, 0) for i in range(1, 500)], "u long, v long")
+    left = {(r.u, r.v) for r in simhash.remaining(members, sketches, half, 0.6, 50).collect()}
+    assert left == {(i, j) for i in range(500, 600) for j in range(i)}
+    assert simhash.remaining(members.where("rep < 60"), sketches, none, 0.6, 50).count() == 60 * 59 // 2
