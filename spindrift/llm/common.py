@@ -72,3 +72,12 @@ def join_hot(left: DataFrame, right: DataFrame, key: str, weight: str) -> DataFr
     done = marked.where("__sd_hot").drop("__sd_hot")
     rest = marked.where("__sd_hot is null").drop("__sd_hot", *right_cols).join(right, key, "left")
     return done.unionByName(rest)
+
+
+#: Rows of a few numbers that few() lets be sent to every executor: a few MB.
+FEW_ROWS = 200_000
+
+
+def few(rows: DataFrame) -> DataFrame:
+    """A stored table of narrow rows, to be broadcast if it is counted as small; else joins shuffle as usual."""
+    return F.broadcast(rows) if rows.count() <= FEW_ROWS else rows

@@ -12,6 +12,11 @@ share yet (a pair within the radius agrees in one of radius+1 blocks), LEVELS-1
 distinct fingerprints fit into a bucket. Components of the
 links are found by alternating star contractions.
 
+Near copies (for the pipeline) are chains of pairs of documents whose sets of five-word shingles have a Jaccard
+similarity of 0.8 or more, decided exactly. The links of their SimHash fingerprints are the first candidates;
+since similar sets may differ in more bits than any radius that can be covered, documents that share a band of
+MinHash bins are candidates too.
+
 Defined cases: null and empty texts have no words and the fingerprint zero, which links like any other;
 repeated rows each give a row; null ids are carried and never become a component's id unless it has no
 other; an empty table gives an empty table; other columns are never looked at.
@@ -29,7 +34,8 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import join_hot, slices, stored
+from .common import few, join_hot, slices, stored
+from .shingle_sets import BAND, BANDS, SIMILARITY, Bounds, minhash_bins, odd_sketch, shingle_hashes, verified
 
 SHINGLE, SEED, RADIUS = 3, 42, 3
 #: Fingerprints in a bucket beyond which it is dealt anew.
@@ -211,14 +217,16 @@ def components(edges: DataFrame) -> DataFrame:
     edges = stored(edges, "stars")
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = stored(both.join(least, "u").where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "stars")
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        joined = large.join(least, "u")
+        least = stored(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count(F.lit(1)).alias("n")), "stars-least")
+        # a node of very many links is no hot key: its row of `least` goes to where the links are
+        large = join_hot(both, least, "u", "n").where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = stored(large.distinct(), "stars")
+        least = stored(large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")), "stars-least")
+        joined = join_hot(large, least, "u", "n")
         small = joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).distinct()
         small = stored(small, "stars")
         # done when no node leads to two others and no node that is led to leads on
-        open_ends = small.groupBy("u").count().where("count > 1").select("u").unionByName(small.select("v").join(small.select(F.col("u").alias("v")), "v", "left_semi").select(F.col("v").alias("u")))
+        open_ends = small.groupBy("u").count().where("count > 1").select("u").unionByName(small.select("v").distinct().join(small.select(F.col("u").alias("v")), "v", "left_semi").select(F.col("v").alias("u")))
         if not open_ends.take(1):
             return small
         edges = small
@@ -231,82 +239,24 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     found = components(links(distinct, radius, split))
     rooted = distinct.join(found.withColumnRenamed("u", "h"), "h", "left").select("h", "rep", "n", F.coalesce("v", "h").alias("root"))
     rooted = stored(rooted, "simhash-rooted")
-    reps = rooted.groupBy("root").agg(F.min("rep").alias("component_id"))
-    by_print = stored(rooted.join(reps, "root").select("h", "n", "component_id"), "simhash-components")
+    reps = rooted.groupBy("root").agg(F.min("rep").alias("component_id"), F.count(F.lit(1)).alias("prints"))
+    by_print = stored(join_hot(rooted, stored(reps, "simhash-reps"), "root", "prints").select("h", "n", "component_id"), "simhash-components")
     out = join_hot(prints, by_print, "h", "n")
     return out.select(F.col("doc_id").alias(id_col), F.lower(F.lpad(F.hex("h"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-#: Near copies: words of a shingle, similarity, bins of a sketch, bins of a band.
-COPY_SHINGLE, SIMILARITY, BINS, BAND = 5, 0.8, 128, 4
-BANDS = BINS // BAND
-#: A sketch's estimate deviates by 0.035 (one sigma) at SIMILARITY. Links are proposed first down to NEAR below it,
-#: and at last down to FAR, which is over five sigmas; exact similarities decide.
-NEAR, FAR = 0.05, 0.2
-#: Documents of a bucket that a task compares, documents that each block of a larger bucket shares, and links of
-#: a document that one task verifies.
-BLOCK, PIVOTS, FAN = 4000, 64, 1000
-
-
-def shingle_hashes(words: list[bytes], shingle: int = COPY_SHINGLE) -> np.ndarray:
-    """Distinct XXH64 of the word shingles in order; a shorter text is one shingle."""
-    if not words:
-        return np.zeros(0, np.uint64)
-    line = b" ".join(words)
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-    starts = np.concatenate([[0], ends[:-1] + 1])
-    k = min(shingle, len(words))
-    digest = xxhash.xxh64_digest
-    hashes = b"".join([digest(line[a:b]) for a, b in zip(starts[: len(words) - k + 1].tolist(), ends[k - 1 :].tolist(), strict=True)])
-    return np.unique(np.frombuffer(hashes, ">u8").astype(np.uint64))
-
-
-def sketch_of(hashes: np.ndarray) -> np.ndarray:
-    """One-permutation MinHash: of each bin of sorted hashes the least one's last 16 bits, 0 if it is empty."""
-    out = np.zeros(BINS, np.uint16)
-    bins = (hashes >> np.uint64(57)).astype(np.int64)
-    first = np.flatnonzero(np.diff(bins, prepend=-1))
-    out[bins[first]] = np.maximum(hashes[first] & np.uint64(0xFFFF), 1)
-    return out
-
-
-def sketch(words: list[bytes], shingle: int = COPY_SHINGLE) -> np.ndarray:
-    return sketch_of(shingle_hashes(words, shingle))
-
-
-def alike(sketches: np.ndarray, one: np.ndarray) -> np.ndarray:
-    """Estimated Jaccard similarities of sketches and one of them; two empty ones are alike."""
-    same = ((sketches == one) & (one > 0)).sum(axis=1)
-    either = ((sketches > 0) | (one > 0)).sum(axis=1)
-    return np.where(either > 0, same / np.maximum(either, 1), 1.0)
-
-
-def first_bands(sketches: np.ndarray, one: np.ndarray) -> np.ndarray:
-    """The first band, not wholly empty, that each sketch shares with one of them; BANDS if there is none."""
-    shared = (sketches == one).reshape(-1, BANDS, BAND).all(axis=2) & (one.reshape(BANDS, BAND) > 0).any(axis=1)
-    return np.where(shared.any(axis=1), shared.argmax(axis=1), BANDS)
-
-
-def star_links(sketches: np.ndarray, least: float) -> list[tuple[int, int]]:
-    """Links (i, j), i < j, of each position to the first that is so similar and linked to none before; n-1 at most."""
-    if len(sketches) == 2:
-        return [(0, 1)] if alike(sketches[1:], sketches[0])[0] >= least else []
-    free, out = np.arange(len(sketches)), []
-    while len(free) > 1:
-        near = alike(sketches[free[1:]], sketches[free[0]]) >= least
-        out += [(int(free[0]), int(j)) for j in free[1:][near]]
-        free = free[1:][~near]
-    return out
+#: Documents of a bucket that a task compares, and documents that each block of a larger bucket shares.
+BLOCK, PIVOTS = 4000, 64
 
 
 def grouped(found, keys: int):
-    """For mapInArrow over rows sorted by their first `keys` columns: found(key, rows) gives the links of a group."""
+    """For mapInArrow over rows sorted by their first `keys` columns: found(rows) gives the links of a group."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, held = None, []
 
         def links_of() -> Iterator[pa.RecordBatch]:
-            pairs = iter(found(key, held) if len(held) > 1 else [])
+            pairs = iter(found(held) if len(held) > 1 else [])
             while some := list(itertools.islice(pairs, 50_000)):
                 u, v = np.array(some, np.int64).T
                 yield pa.RecordBatch.from_arrays([pa.array(np.maximum(u, v)), pa.array(np.minimum(u, v))], ["u", "v"])
@@ -322,134 +272,151 @@ def grouped(found, keys: int):
     return run
 
 
-def as_matrix(sketches: list[bytes]) -> np.ndarray:
-    return np.frombuffer(b"".join(sketches), np.uint16).reshape(-1, BINS)
+def star_links(rows: list[tuple], similarity: float) -> list[tuple[int, int]]:
+    """Links of rows (x, label, size, sketch) that may be so similar: from each row to those linked to none before.
 
+    A link is kept only if it joins labels not joined before, so there are fewer links than labels.
+    """
+    bounds = Bounds([r[2] for r in rows], [r[3] for r in rows], similarity)
+    labels = np.unique([r[1] for r in rows], return_inverse=True)[1].tolist()
+    forest, free, out = Forest(len(rows)), np.ones(len(rows), bool), []
+    for i, (x, _, size, sketch) in enumerate(rows):
+        if free[i]:
+            free[i] = False
+            near = bounds.near(size, sketch, free)
+            free[near] = False
+            out += [(x, rows[j][0]) for j in near.tolist() if forest.join(labels[i], labels[j])]
+    return out
 
-def proposed(members: DataFrame, sketches: DataFrame, least: float, block: int) -> DataFrame:
-    """(u, v), u > v: links by estimate within each bucket of members (k, bucket, size, rep); n-1 at most in a block.
 
-    A bucket of more than `block` documents is dealt to blocks that all hold its PIVOTS least documents.
+def mixed_buckets(members: DataFrame, joined: DataFrame) -> DataFrame:
+    """Those of members (k, bucket, x, size) whose bucket has several components so far.
+
+    Added are label (the component), most (the bucket's greatest component), total and rests (the bucket's
+    documents, and those outside its greatest component).
     """
-    members = members.withColumn("blocks", F.ceil(F.col("size") / block).cast("int"))
-    own = members.withColumn("part", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    rank = F.row_number().over(Window.partitionBy("k", "bucket").orderBy("rep"))
-    pivots = own.where("blocks > 1").withColumn("rank", rank).where(F.col("rank") <= PIVOTS)
-    pivots = pivots.withColumn("at", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).where("at <> part").withColumn("part", F.col("at"))
-    cols = ["k", "bucket", "part", "rep"]
-    dealt = own.select(*cols).unionByName(pivots.select(*cols)).join(sketches, "rep").select(*cols, "sketch")
+    labels = stored(joined.select(F.col("u").alias("x"), F.col("v").alias("label")), "copy-labels")
+    labelled = stored(members.join(labels, "x", "left").withColumn("label", F.coalesce("label", "x")), "copy-labelled")
+    counts = labelled.groupBy("k", "bucket", "label").agg(F.count(F.lit(1)).alias("n"))
+    mixed = counts.groupBy("k", "bucket").agg(F.max_by("label", F.struct("n", "label")).alias("most"), F.max("n").alias("n"), F.sum("n").alias("total")).where("n < total")
+    mixed = stored(mixed.select("k", "bucket", "most", "total", (F.col("total") - F.col("n")).alias("rests")), "copy-mixed")
+    return stored(labelled.join(mixed, ["k", "bucket"]), "copy-mixed-members")
+
 
-    def found(key: tuple, rows: list) -> list[tuple[int, int]]:
-        return [(rows[i][0], rows[j][0]) for i, j in star_links(as_matrix([r[1] for r in rows]), least)]
+def proposed(mixed: DataFrame, sketches: DataFrame, similarity: float, block: int) -> DataFrame:
+    """(u, v), u > v: links that may be so similar and join components within a block of a bucket.
 
+    A bucket of more than `block` documents is dealt to blocks that all hold its PIVOTS least documents.
+    """
+    own = mixed.withColumn("blocks", F.ceil(F.col("total") / block).cast("int")).withColumn("part", F.pmod(F.xxhash64("x"), F.col("blocks")).cast("int"))
+    cols = ["k", "bucket", "part", "x", "label"]
+    # each task keeps the least documents of its share of a bucket first, so no task gathers a bucket
+    some = own.where("blocks > 1").withColumn("spread", F.spark_partition_id())
+    for by in (["k", "bucket", "spread"], ["k", "bucket"]):
+        some = some.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy("x"))).where(F.col("rank") <= PIVOTS)
+    pivots = some.withColumn("at", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).where("at <> part").withColumn("part", F.col("at"))
+    dealt = own.select(*cols).unionByName(pivots.select(*cols)).join(sketches, "x").select(*cols, "n_shingles", "odd")
     dealt = dealt.repartition("k", "bucket", "part").sortWithinPartitions(*cols)
-    return dealt.mapInArrow(grouped(found, 3), "u long, v long").where("u > v").distinct()
+    return dealt.mapInArrow(grouped(lambda rows: star_links(rows, similarity), 3), "u long, v long").where("u > v").distinct()
 
 
-def remaining(members: DataFrame, sketches: DataFrame, joined: DataFrame, least: float, block: int) -> DataFrame:
-    """(u, v), u > v: all pairs of a bucket that may be so similar and that `joined` (u, v) has not joined yet, each once.
+def remaining(mixed: DataFrame, sketches: DataFrame, similarity: float, block: int) -> DataFrame:
+    """(u, v), u > v: all pairs of a bucket that may be so similar and are in different components, each once.
 
     The documents that are not in a bucket's greatest component are compared with all of it, block by block.
     """
-    labelled = members.join(joined.withColumnRenamed("u", "rep"), "rep", "left").withColumn("label", F.coalesce("v", "rep")).drop("v")
-    labelled = stored(labelled, "copy-labels")
-    counts = labelled.groupBy("k", "bucket", "label").agg(F.count(F.lit(1)).alias("n"))
-    most = counts.groupBy("k", "bucket").agg(F.max_by("label", F.struct("n", "label")).alias("most"), F.max("n").alias("n"), F.sum("n").alias("all")).where("n < all")
-    most = stored(most.select("k", "bucket", "most", F.ceil(F.col("all") / block).cast("int").alias("blocks"), F.ceil((F.col("all") - F.col("n")) / block).cast("int").alias("rests")), "copy-mixed")
-    mixed = labelled.join(most, ["k", "bucket"]).withColumn("other", F.col("label") != F.col("most"))
-    cols = ["k", "bucket", "a", "r", "rest", "rep", "label", "other"]
-    place = F.xxhash64("rep")
-    whole = mixed.withColumn("a", F.pmod(place, F.col("blocks")).cast("int")).withColumn("r", F.explode(F.sequence(F.lit(0), F.col("rests") - 1)))
-    rest = mixed.where("other").withColumn("r", F.pmod(place, F.col("rests")).cast("int")).withColumn("a", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = whole.withColumn("rest", F.lit(False)).select(*cols).unionByName(rest.withColumn("rest", F.lit(True)).select(*cols)).join(sketches, "rep").select(*cols, "sketch")
-
-    def found(key: tuple, rows: list) -> Iterator[tuple[int, int]]:
-        some, against = ([r for r in rows if r[0] == x] for x in (True, False))
+    mixed = mixed.withColumn("blocks", F.ceil(F.col("total") / block).cast("int")).withColumn("parts", F.ceil(F.col("rests") / block).cast("int"))
+    mixed = mixed.withColumn("other", F.col("label") != F.col("most"))
+    cols, place = ["k", "bucket", "a", "r", "rest", "x", "label", "other"], F.xxhash64("x")
+    whole = mixed.withColumn("a", F.pmod(place, F.col("blocks")).cast("int")).withColumn("r", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    rest = mixed.where("other").withColumn("r", F.pmod(place, F.col("parts")).cast("int")).withColumn("a", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = whole.withColumn("rest", F.lit(False)).select(*cols).unionByName(rest.withColumn("rest", F.lit(True)).select(*cols))
+    dealt = dealt.join(sketches, "x").select(*cols, "n_shingles", "odd")
+
+    def found(rows: list[tuple]) -> Iterator[tuple[int, int]]:
+        some, against = ([r for r in rows if r[0] == which] for which in (True, False))
         if not some or not against:
             return
         names, labels, other = (np.array([r[c] for r in against]) for c in (1, 2, 3))
-        sketches = as_matrix([r[4] for r in against])
-        for _, name, label, _, one in some:
-            one = np.frombuffer(one, np.uint16)
+        bounds = Bounds([r[4] for r in against], [r[5] for r in against], similarity)
+        for _, x, label, _, size, sketch in some:
             # a pair of two such documents is met from both sides
-            at = np.flatnonzero((labels != label) & (~other | (names < name)))
-            at = at[alike(sketches[at], one) >= least]
-            at = at[first_bands(sketches[at], one) == key[0]]
-            yield from ((name, int(x)) for x in names[at])
+            at = bounds.near(size, sketch, (labels != label) & (~other | (names < x)))
+            yield from ((x, int(y)) for y in names[at])
 
-    dealt = dealt.repartition("k", "bucket", "a", "r").sortWithinPartitions("k", "bucket", "a", "r", "rest", "rep")
+    dealt = dealt.repartition("k", "bucket", "a", "r").sortWithinPartitions("k", "bucket", "a", "r", "rest", "x")
     return dealt.mapInArrow(grouped(found, 4), "u long, v long").where("u > v").distinct()
 
 
-def with_set(pairs: DataFrame, sets: DataFrame, key: str) -> DataFrame:
-    """pairs with the set of the document `key`; a document of many pairs is copied for each FAN of them."""
-    hot = pairs.groupBy(key).count().where(F.col("count") > FAN).select(key, F.ceil(F.col("count") / FAN).cast("int").alias("parts"))
-    hot = F.broadcast(stored(hot, "copy-hot"))
-    parts = F.coalesce("parts", F.lit(1))
-    left = pairs.join(hot, key, "left").withColumn("part", F.pmod(F.xxhash64("u", "v"), parts).cast("int")).drop("parts")
-    right = sets.select(F.col("rep").alias(key), F.col("hashes").alias(f"{key}_set")).join(hot, key, "left")
-    right = right.withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("parts")
-    return left.join(right, [key, "part"]).drop("part")
+def fingerprint_links(vertices: DataFrame, split: int = SPLIT) -> DataFrame:
+    """(u, v), u > v: the documents of linked fingerprints, and those of equal ones; candidates."""
+    by_print = stored(vertices.groupBy("h").agg(F.min("x").alias("first"), F.count(F.lit(1)).alias("n")), "copy-fingerprints")
+    equal = join_hot(vertices.select("h", "x"), by_print, "h", "n").select(F.col("x").alias("u"), F.col("first").alias("v"))
+    first = by_print.select("h", "first")
+    far = links(by_print.select("h"), RADIUS, split)
+    far = far.join(first.select(F.col("h").alias("u"), F.col("first").alias("a")), "u").join(first.select(F.col("h").alias("v"), F.col("first").alias("b")), "v")
+    far = far.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
+    return equal.unionByName(far).where("u > v").distinct()
 
 
-def verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """The (u, v) of `pairs` whose texts' sets of shingles have at least this Jaccard similarity."""
-    pairs = stored(pairs, "copy-pairs")
-    needed = stored(pairs.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct(), "copy-needed")
+def copy_prints(df: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, text_hash, text) of the rows with an id, and their fingerprints, sets' digests, bins and sketches (stored)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            sets = [shingle_hashes((t or b"").lower().split()).view(np.int64) for t in b.column(1).to_pylist()]
-            ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
-            hashes = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int64), *sets])))
-            yield pa.RecordBatch.from_arrays([b.column(0), hashes], ["rep", "hashes"])
+            out: list[list] = [[] for _ in range(5)]
+            for t in b.column(2).to_pylist():
+                hashes = shingle_hashes((t or b"").lower().split())
+                of = signed(fingerprint(t or b"")), xxhash.xxh3_128_digest(hashes.tobytes()), len(hashes), minhash_bins(hashes).tobytes(), odd_sketch(hashes)
+                for column, x in zip(out, of, strict=True):
+                    column.append(x)
+            arrays = [pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.binary(), pa.int64(), pa.binary(), pa.binary()), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *arrays], ["doc_id", "text_hash", "h", "digest", "n_shingles", "bins", "odd"])
 
-    sets = stored(texts.join(needed, "doc_id", "left_semi").mapInArrow(run, "rep long, hashes array<long>"), "copy-sets")
-    both = F.size(F.array_intersect("u_set", "v_set"))
-    either = F.size("u_set") + F.size("v_set") - both
-    found = with_set(with_set(pairs, sets, "u"), sets, "v")
-    return stored(found.where(both >= F.lit(similarity) * either).select("u", "v").distinct(), "copy-verified")
+    texts = df.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col)).alias("text_hash"), F.col(text_col).cast("binary").alias("text")).where("doc_id is not null")
+    prints = texts.mapInArrow(run, "doc_id long, text_hash long, h long, digest binary, n_shingles long, bins binary, odd binary")
+    return texts, stored(prints, "copy-prints")
 
 
-def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, split: int = BLOCK) -> DataFrame:
-    """(doc_id, component_id) of documents with an id: chains of pairs whose five-word shingles are so similar.
+def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, block: int = BLOCK) -> DataFrame:
+    """(doc_id, text_hash, component_id) of the rows with an id: chains of pairs whose five-word shingles are so similar.
 
-    Documents that share a band of bins of their sketches, at any size of a bucket, are candidates: a pair with
-    a similarity of 0.8 shares none of 32 with a chance of 5e-8. Links are proposed by estimates and decided by
-    the sets of shingles themselves. First come n-1 links at most for a block; where they leave a bucket in
-    several components, all pairs between these that the estimate does not rule out are decided too.
+    Candidates are the links of fingerprints, and all documents that share a band of MinHash bins: a pair with a
+    similarity of 0.8 shares none of 32 bands with a chance of 5e-8. Odd sketches rule candidates out only where they
+    prove a lower similarity; the sets of shingles themselves decide the rest. In buckets of several components
+    fewer links than documents are decided first; what these leave apart is then compared pair by pair.
     """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches):
-            digests, out = [], []
-            for t in b.column(1).to_pylist():
-                hashes = shingle_hashes((t or b"").lower().split())
-                digests.append(xxhash.xxh3_128_digest(hashes.tobytes()))
-                out.append(sketch_of(hashes).tobytes())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(digests, pa.binary()), pa.array(out, pa.binary())], ["doc_id", "digest", "sketch"])
-
-    texts = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text")).where("doc_id is not null")
-    prints = stored(texts.mapInArrow(run, "doc_id long, digest binary, sketch binary"), "copy-prints")
-    # equal sets of shingles are one vertex, named by its least document
-    vertices = stored(prints.groupBy("digest", "sketch").agg(F.min("doc_id").alias("rep")), "copy-vertices")
-    piece = F.expr(f"substring(sketch, k * {2 * BAND} + 1, {2 * BAND})")
-    bands = vertices.select("rep", "sketch", F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1))).alias("k")).withColumn("piece", piece)
-    bands = bands.where(F.col("piece") != F.lit(bytes(2 * BAND))).select("k", F.xxhash64("piece").alias("bucket"), "rep")
-    sizes = bands.groupBy("k", "bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    members = stored(bands.join(stored(sizes, "copy-sizes"), ["k", "bucket"]), "copy-members")
-    sketches = stored(vertices.select("rep", "sketch").join(members.select("rep").distinct(), "rep", "left_semi"), "copy-sketches")
-    some = verified(proposed(members, sketches, similarity - NEAR, split), texts, similarity)
-    more = verified(remaining(members, sketches, components(some), similarity - FAR, split), texts, similarity)
-    joined = components(some.unionByName(more))
-    by_vertex = vertices.join(joined.withColumnRenamed("u", "rep"), "rep", "left").select("digest", F.coalesce("v", "rep").alias("component_id"))
-    return prints.join(by_vertex, "digest").select(F.col("doc_id").alias(id_col), "component_id")
+    texts, prints = copy_prints(df, id_col, text_col)
+    # equal sets of shingles are one vertex, with the least document that has it
+    one = F.min(F.struct("doc_id", "text_hash", "h", "n_shingles", "bins", "odd")).alias("one")
+    vertices = prints.groupBy("digest").agg(one, F.count(F.lit(1)).alias("copies")).select(F.monotonically_increasing_id().alias("x"), "digest", "copies", "one.*")
+    vertices = stored(vertices, "copy-vertices")
+    piece = F.expr(f"substring(bins, k * {2 * BAND} + 1, {2 * BAND})")
+    bands = vertices.select("x", "bins", F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1))).alias("k")).withColumn("piece", piece)
+    bands = bands.where(F.col("piece") != F.lit(bytes(2 * BAND))).select("k", F.xxhash64("piece").alias("bucket"), "x")
+    shared = stored(bands.groupBy("k", "bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("k", "bucket"), "copy-buckets")
+    members = stored(bands.join(shared, ["k", "bucket"]), "copy-members")
+    sketches = vertices.select("x", "n_shingles", "odd")
+
+    joined = components(verified(fingerprint_links(vertices), vertices, texts, similarity))
+    for more in (proposed, remaining):
+        some = verified(more(mixed_buckets(members, joined), sketches, similarity, block), vertices, texts, similarity)
+        joined = components(joined.unionByName(some))
+    found = joined.withColumnRenamed("u", "x")
+    rooted = stored(vertices.select("x", "digest", "copies", "doc_id").join(found, "x", "left").withColumn("root", F.coalesce("v", "x")), "copy-rooted")
+    least = stored(rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"), F.count(F.lit(1)).alias("n")), "copy-least")
+    by_digest = stored(join_hot(rooted, least, "root", "n").select("digest", "copies", "component_id"), "copy-components")
+    out = join_hot(prints.select("doc_id", "text_hash", "digest"), by_digest, "digest", "copies")
+    return out.select(F.col("doc_id").alias(id_col), "text_hash", "component_id")
 
 
 def keep_one_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """df without the documents that are near copies of one with a smaller id; all columns stay.
+    """df without the rows that are near copies of one with a smaller id; all columns stay.
 
-    Rows with a null id stay, since no id tells them apart; of rows with equal id and text, all stay or go.
+    Rows with a null id stay, since no id tells them apart, and rows that share the least id of a group all stay.
+    A row that shares its id with another one goes only if its own text is a near copy.
     """
-    gone = near_copies(df, id_col, text_col, **options).where(F.col(id_col) > F.col("component_id")).select(F.col(id_col)).distinct()
-    return df.join(gone, id_col, "left_anti").select(*[F.col(f"`{c}`") for c in df.columns])
+    gone = near_copies(df, id_col, text_col, **options).where(F.col(id_col) > F.col("component_id"))
+    gone = few(stored(gone.select(F.col(id_col).alias("id"), "text_hash").distinct(), "copy-gone"))
+    same = (df[id_col].cast("long") == gone["id"]) & (F.xxhash64(df[text_col]) == gone["text_hash"])
+    return df.join(gone, same, "left_anti")

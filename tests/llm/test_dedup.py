@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from spindrift.llm import exact_dedup, simhash
+from spindrift.llm import exact_dedup, shingle_sets, simhash
 
 
 def brute_groups(rows):
@@ -153,8 +153,12 @@ def shingles(text):
     return {" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
 
 
-@pytest.mark.parametrize("split", [20_000, 3])
-def test_near_copies_against_jaccard(spark, messy, split):
+def copies_of(df, **options):
+    return sorted((r.doc_id, r.component_id) for r in simhash.near_copies(df, **options).collect())
+
+
+@pytest.mark.parametrize("block", [20_000, 3])
+def test_near_copies_against_jaccard(spark, messy, block):
     rng = np.random.default_rng(6)
     base = [" ".join(f"w{x}" for x in rng.integers(0, 2000, 400)) for _ in range(5)]
     near = [" ".join("new" if rng.random() < 0.006 else w for w in base[k % 5].split()) for k in range(60)]
@@ -174,22 +178,28 @@ def test_near_copies_against_jaccard(spark, messy, split):
     for i, r in enumerate(rows):
         least[up.root(i)].append(r.doc_id)
     want = sorted((r.doc_id, min(least[up.root(i)])) for i, r in enumerate(rows))
-    got = sorted(map(tuple, simhash.near_copies(df, split=split).collect()))
-    assert got == want
-    kept = simhash.keep_one_each(df, split=split)
+    assert copies_of(df, block=block) == want
+    kept = simhash.keep_one_each(df, block=block)
     assert kept.columns == df.columns
     assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == sorted(i for i, c in want if i == c)
     assert kept.where("doc_id is null").count() == df.where("doc_id is null").count()
 
 
-def test_sketch_estimates_jaccard():
+def test_odd_sketches_rule_out_only_what_is_below():
     rng = np.random.default_rng(8)
-    for keep in (0.99, 0.97, 0.9):
-        a = [b"w%d" % x for x in rng.integers(0, 5000, 3000)]
-        b = [w if rng.random() < keep else b"x" for w in a]
-        x, y = ({b" ".join(t[i : i + 5]) for i in range(len(t) - 4)} for t in (a, b))
-        true = len(x & y) / len(x | y)
-        assert abs(simhash.alike(simhash.sketch(b)[None], simhash.sketch(a))[0] - true) < 0.13
+    ruled_out = 0
+    for n in (1, 3, 40, 500, 3000, 50_000):
+        for same in (0.6, 0.75, 0.85, 0.87, 0.88, 0.89, 0.9, 0.91, 1.0):
+            x = rng.integers(0, 2**63, n).astype(np.uint64)
+            y = np.concatenate([x[: int(same * n)], rng.integers(0, 2**63, int(n * rng.uniform(0, 0.3))).astype(np.uint64)])
+            x, y = np.unique(x), np.unique(y)
+            common = len(np.intersect1d(x, y))
+            alike = common >= 0.8 * (len(x) + len(y) - common)
+            bounds = shingle_sets.Bounds([len(x)], [shingle_sets.odd_sketch(x)], 0.8)
+            near = len(bounds.near(len(y), shingle_sets.odd_sketch(y), np.ones(1, bool)))
+            assert near or not alike or not len(x)
+            ruled_out += not near and not alike
+    assert ruled_out > 25
 
 
 def random_words(rng, n):
@@ -207,7 +217,7 @@ def test_near_copies_that_grow_or_shrink(spark):
         rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(copy))]
         want += [(2 * k, 2 * k), (2 * k + 1, 2 * k)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    assert sorted(map(tuple, simhash.near_copies(df).collect())) == want
+    assert copies_of(df) == want
 
 
 def test_near_copies_keep_what_is_below(spark):
@@ -223,11 +233,11 @@ def test_near_copies_keep_what_is_below(spark):
     assert simhash.keep_one_each(df).count() == len(rows)
 
 
-@pytest.mark.parametrize("split", [20_000, 4])
-def test_near_copies_in_large_buckets(spark, split, monkeypatch):
+@pytest.mark.parametrize("block", [20_000, 4])
+def test_near_copies_in_large_buckets(spark, block, monkeypatch):
     """Chains around 0.8 in buckets that hold many blocks and few pivots: all that is left between blocks is decided."""
     monkeypatch.setattr(simhash, "PIVOTS", 2)
-    monkeypatch.setattr(simhash, "FAN", 3)
+    monkeypatch.setattr(shingle_sets, "FAN", 3)
     rng = np.random.default_rng(13)
     words = random_words(rng, 900)
     texts = [words[k : k + 200] for k in [*range(0, 300, 9), *range(420, 600, 23)]]
@@ -241,21 +251,35 @@ def test_near_copies_in_large_buckets(spark, split, monkeypatch):
     want = [(i, up.root(i)) for i in range(len(order))]
     assert 1 < len({r for _, r in want}) < len(order)
     df = spark.createDataFrame([(i, " ".join(texts[o])) for i, o in enumerate(order)], "doc_id long, text string")
-    assert sorted(map(tuple, simhash.near_copies(df, split=split).collect())) == want
+    assert copies_of(df, block=block) == want
 
 
 def test_blocks_of_a_large_bucket_are_bounded(spark):
     from pyspark.sql import functions as F
 
-    rng = np.random.default_rng(14)
-    one = rng.integers(1, 60_000, simhash.BINS).astype(np.uint16)
-    sketches = spark.createDataFrame([(i, one.tobytes()) for i in range(600)], "rep long, sketch binary")
-    members = sketches.select(F.lit(0).alias("k"), F.lit(1).cast("long").alias("bucket"), "rep", F.lit(600).cast("long").alias("size"))
-    pairs = [(r.u, r.v) for r in simhash.proposed(members, sketches, 0.75, 50).collect()]
+    hashes = np.unique(np.random.default_rng(14).integers(0, 2**63, 400).astype(np.uint64))
+    sketches = spark.createDataFrame([(i, len(hashes), shingle_sets.odd_sketch(hashes)) for i in range(600)], "x long, n_shingles long, odd binary")
+    members = sketches.select(F.lit(0).alias("k"), F.lit(1).cast("long").alias("bucket"), "x")
+    none = spark.createDataFrame([], "u long, v long")
+    pairs = [(r.u, r.v) for r in simhash.proposed(simhash.mixed_buckets(members, none), sketches, 0.8, 50).collect()]
     # all blocks share their first pivot, so one star joins the bucket
     assert sorted(pairs) == [(i, 0) for i in range(1, 600)]
-    none = spark.createDataFrame([], "u long, v long")
     half = spark.createDataFrame([(i, 0) for i in range(1, 500)], "u long, v long")
-    left = {(r.u, r.v) for r in simhash.remaining(members, sketches, half, 0.6, 50).collect()}
+    left = {(r.u, r.v) for r in simhash.remaining(simhash.mixed_buckets(members, half), sketches, 0.8, 50).collect()}
     assert left == {(i, j) for i in range(500, 600) for j in range(i)}
-    assert simhash.remaining(members.where("rep < 60"), sketches, none, 0.6, 50).count() == 60 * 59 // 2
+    some = simhash.mixed_buckets(members.where("x < 60"), none)
+    assert simhash.remaining(some, sketches, 0.8, 50).count() == 60 * 59 // 2
+
+
+def test_rows_that_share_an_id_are_told_apart(spark):
+    rng = np.random.default_rng(15)
+    a, b = " ".join(random_words(rng, 60)), " ".join(random_words(rng, 60))
+    df = spark.createDataFrame([(1, a, "x"), (2, a + " end", "x"), (2, b, "y"), (3, b, "z"), (4, None, "w"), (5, "", "w")], "id long, text string, text_hash string")
+    kept = simhash.keep_one_each(df.withColumnRenamed("id", "doc_id")).collect()
+    assert sorted((r.doc_id, r.text_hash) for r in kept) == [(1, "x"), (2, "y"), (4, "w")]
+
+
+def test_equal_sets_of_shingles_are_one_vertex(spark):
+    texts = ["a b c d e f g", "A  b c\nd e f g", "a b c d e f g", "x"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert copies_of(df) == [(0, 0), (1, 0), (2, 0), (3, 3)]
