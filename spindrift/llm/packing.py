@@ -6,8 +6,8 @@ N(h), the number of open windows filled to h, becomes least. N is one array of `
 `max_open` windows are open, and at the end, open windows are topped up by cutting what the emptiest hold,
 which leaves one partly filled window for each task at most and bounds the memory.
 
-Defined cases: a null text counts as empty and is packed as its end id alone; repeated rows are packed
-each; null ids are carried; an empty table gives no pieces; other columns are never looked at.
+Defined cases: a null text counts as empty and is packed as its end id alone; the string of a special token in a
+text is that token, as in the tokenizers library; repeated rows are packed each; null ids are carried; an empty table gives no pieces; other columns are never looked at.
 """
 
 from __future__ import annotations
@@ -111,7 +111,7 @@ class SumOfSquares:
 def pack_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, window: int = WINDOW, end_id: int = END_ID, with_ids: bool = False, keep_cache: bool = True) -> DataFrame:
     """One row per piece: document, place in it, checksum, sequence and offset there; with_ids adds the ids as bytes.
 
-    keep_cache=False empties a worker's cache of pieces at the end of each task, for jobs that go on to other work.
+    keep_cache=False empties a worker's table of pieces at the end of each task, for jobs that go on to other work.
     """
     path = tokenizer or tokens.default_path()
     schema = PIECE_SCHEMA + (", ids binary" if with_ids else "")
@@ -130,12 +130,12 @@ def pack_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         yield pa.RecordBatch.from_arrays(arrays, names)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end = tokens.encoder(path).encode, np.array([end_id], "<u4").tobytes()
+        encode_all, end = tokens.encoder(path).encode_all, np.array([end_id], "<u4").tobytes()
         packer = SumOfSquares(window)
         sequence = TaskContext.get().partitionId() << 40
         for b in slices(batches):
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                ids = encode(text) + end
+            for doc, ids in zip(b.column(0).to_pylist(), encode_all(b.column(1).to_pylist()), strict=True):
+                ids += end
                 packer.add((doc, len(ids) // 4), ids)
                 if len(packer.closed) >= 2000:
                     yield from rows(packer.closed, sequence)

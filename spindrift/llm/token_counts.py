@@ -9,7 +9,8 @@ are joined to the intervals of its sections, and each token that crosses a bound
 
 Sections are the lines of each field; a section owns the line end or separator behind it, so the sections
 tile the document and their counts add up to its number of tokens. Defined cases: null fields count as
-empty; a document without characters has one empty section per field; repeated rows count each; null ids
+empty; a document without characters has one empty section per field; the string of a special token in a text is
+that token, as in the tokenizers library; repeated rows count each; null ids
 are carried; other columns are never looked at.
 """
 
@@ -23,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import tokens
+from .common import slices
 
 RULES = ("start", "end", "majority")
 SECTION_SCHEMA = "doc_id long, field string, section int, char_start long, char_end long, n_tokens int, n_crossing int, doc_tokens long"
@@ -58,17 +60,17 @@ def section_token_counts(df: DataFrame, id_col: str = "doc_id", fields: Sequence
     path, fields = tokenizer or tokens.default_path(), list(fields)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        spans = tokens.encoder(path).encode_spans
-        for b in batches:
+        encoder = tokens.encoder(path)
+        for b in slices(batches):  # few at a time: a document may have very many sections
             docs = list(zip(*(b.column(i).to_pylist() for i in range(len(fields) + 1)), strict=True))
-            for k in range(0, len(docs), 500):  # few at a time: a document may have very many sections
-                yield pa.RecordBatch.from_arrays(of(docs[k : k + 500], spans), names)
+            yield pa.RecordBatch.from_arrays(of(docs, encoder), names)
 
     names = [x.split()[0] for x in SECTION_SCHEMA.split(", ")]
 
-    def of(docs: list[tuple], spans) -> list[pa.Array]:
+    def of(docs: list[tuple], encoder: tokens.Encoder) -> list[pa.Array]:
         ids, field_no, section, begin, stop, n, crossing, size = ([] for _ in range(8))
-        for doc, *texts in docs:
+        whole = [separator.join([t or "" for t in texts]) for _, *texts in docs]
+        for (doc, *texts), text, raw in zip(docs, whole, encoder.encode_all(whole), strict=True):
             texts = [t or "" for t in texts]
             starts, fs, base = [], [], 0
             for f, t in enumerate(texts):
@@ -77,7 +79,8 @@ def section_token_counts(df: DataFrame, id_col: str = "doc_id", fields: Sequence
                 fs += [f] * len(at)
                 base += len(t) + len(separator)
             total = base - len(separator)
-            token_ids, first, end = spans(separator.join(texts))
+            token_ids = np.frombuffer(raw, "<u4")
+            first, end = encoder.spans(text, token_ids)
             # an empty field in front shares its beginning with the next one and gets nothing
             counts, cross = attribute(first, end, np.array(starts), rule)
             ids += [doc] * len(starts)

@@ -8,17 +8,24 @@ wherever they stand. The store has three Parquet tables under one folder:
     recipes    one row per document in ascending doc_id order: its chunks, Merkle root and place in its part
     manifest   one row per part: documents, first id of the part in the whole stream, ids, Merkle root
 
+A recipe's root is that of a binary tree over its chunks' digests. A part's root is that of a tree over its
+recipes' roots in their order, where each node has FANOUT children, so that no task needs a whole part.
+
 read_store() reads them back: each chunk's digest is recomputed from its bytes, each recipe's root from its
 digests, each part's root from its recipes, and each document's checksum is joined from those of its chunks
 (a CRC of a concatenation is linear in theirs), so that no document's bytes need to meet in one place.
 
-Defined cases: a null text counts as empty, and an empty one is its end id alone; repeated rows are stored
-as documents of their own that share chunks; null ids come first; an empty table gives empty tables; other
-columns are never looked at.
+Chunks are made unique by an aggregation that combines equal ones in each task before the shuffle, so the
+commonest chunk is no hot key there; where recipes meet chunks it is a skewed join, which Spark splits.
+
+Defined cases: a null text counts as empty, and an empty one is its end id alone; the string of a special token
+in a text is that token, as in the tokenizers library; repeated rows are stored as documents of their own that
+share chunks; null ids come first; an empty table gives empty tables; other columns are never looked at.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import zlib
 from array import array
@@ -36,33 +43,43 @@ from .common import shuffle_partitions, slices
 END_ID = 2
 #: Chunks: ids that the rolling hash sees, ids in the mean, at least and at most.
 SPAN, MEAN, LEAST, MOST = 8, 512, 128, 4096
-#: Digests that a task remembers having sent; a chunk sent again is dropped after the shuffle.
-REMEMBERED = 200_000
+#: Children of a node of a part's Merkle tree.
+FANOUT = 1024
 OBJECT_SCHEMA = "key long, kind int, digest binary, n_ids long, payload binary, doc_id long, chunks array<binary>, sizes array<int>"
 RECIPE_SCHEMA = "part int, place long, doc_id long, local_start long, n_tokens long, root binary, chunks array<binary>, sizes array<int>"
 REF_SCHEMA = "part int, place long, doc_id long, start long, n_tokens long, digest binary, size int, bytes_after long"
 
 
-def cuts(ids: np.ndarray) -> list[int]:
-    """Ends of the chunks of a stream of ids."""
-    n = len(ids)
-    if n <= LEAST:
-        return [n]
+def marks_of(ids: np.ndarray) -> np.ndarray:
+    """Where the rolling hash of the last SPAN ids is marked; SPAN or more."""
     mixed = (ids.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
     mixed ^= mixed >> np.uint64(29)
-    rolled = np.zeros(n - SPAN + 1, np.uint64)
-    factor = np.uint64(0xD6E8FEB86659FD93)
-    for k in range(SPAN):
-        rolled = rolled * factor + mixed[k : n - SPAN + 1 + k]
-    marks = np.flatnonzero((rolled >> np.uint64(40)) % np.uint64(MEAN) == 0) + SPAN
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed, dtype=np.uint64)])
+    rolled = (sums[SPAN:] - sums[:-SPAN]) * np.uint64(0xD6E8FEB86659FD93)
+    return np.flatnonzero(rolled >> np.uint64(32) & np.uint64(MEAN - 1) == 0) + SPAN
+
+
+def cuts(ids: np.ndarray, stops: list[int] | None = None) -> list[list[int]]:
+    """Ends of the chunks of each of the streams of ids that end at `stops`."""
+    stops = [len(ids)] if stops is None else stops
+    marks = marks_of(ids) if len(ids) >= SPAN else np.zeros(0, np.int64)
     out, last = [], 0
-    for end in [*marks.tolist(), n]:
-        while end - last > MOST:
-            last += MOST
-            out.append(last)
-        if end - last >= LEAST or end == n and end > last:
-            out.append(end)
-            last = end
+    edges = np.searchsorted(marks, [0, *stops]).tolist()
+    for stop, low, high in zip(stops, edges[:-1], edges[1:], strict=True):
+        ends = []
+        if stop - last > LEAST:
+            # a mark that is reached with LEAST ids or more has seen ids of this stream only
+            for end in [*marks[low:high].tolist(), stop]:
+                while end - last > MOST:
+                    last += MOST
+                    ends.append(last)
+                if end - last >= LEAST or end == stop and end > last:
+                    ends.append(end)
+                    last = end
+        else:
+            ends.append(stop)
+        out.append(ends)
+        last = stop
     return out
 
 
@@ -74,15 +91,17 @@ def merkle_root(leaves: list[bytes]) -> bytes:
     return level[0]
 
 
-def narrow(ids: np.ndarray) -> bytes:
-    """A width byte and the ids, in 16 bits where they fit."""
-    return b"\2" + ids.astype("<u2").tobytes() if not len(ids) or ids.max() < 65536 else b"\4" + ids.astype("<u4").tobytes()
+def narrow(ids: np.ndarray) -> tuple[bytes, int]:
+    """The ids in 16 bits where they fit, and the bytes of each."""
+    width = 4 if len(ids) and ids.max() > 65535 else 2
+    return ids.astype(f"<u{width}").tobytes(), width
 
 
 def widen(payload: bytes) -> bytes:
     return np.frombuffer(payload, f"<u{payload[0]}", offset=1).astype("<u4").tobytes()
 
 
+@functools.cache
 def _crc_powers(levels: int = 44) -> list[np.ndarray]:
     """For k: what each bit of a CRC-32 becomes when 2**k zero bytes follow."""
     one_bit = np.array([0xEDB88320, *(1 << i for i in range(31))], np.uint32)
@@ -130,39 +149,30 @@ def write_store(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, end = tokens.encoder(file), np.array([end_id], "<u4").tobytes()
-        sent: set[bytes] = set()
-        serial, rows, held = TaskContext.get().partitionId() << 32, [], 0
+        serial = TaskContext.get().partitionId() << 32
         for b in slices(batches):
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                raw = encoder.encode(text) + end
-                ids = np.frombuffer(raw, "<u4")
-                chunks, sizes, last = [], [], 0
-                for stop in cuts(ids):
+            streams = [x + end for x in encoder.encode_all(b.column(1).to_pylist())]
+            raw = b"".join(streams)
+            ids = np.frombuffer(raw, "<u4")
+            packed, width = narrow(ids)
+            rows, seen, last = [], set(), 0
+            for doc, ends in zip(b.column(0).to_pylist(), cuts(ids, np.cumsum([len(x) // 4 for x in streams]).tolist()), strict=True):
+                chunks, sizes, first = [], [], last
+                for stop in ends:
                     digest = hashlib.sha256(raw[4 * last : 4 * stop]).digest()
                     chunks.append(digest)
                     sizes.append(stop - last)
-                    if digest not in sent:
-                        if len(sent) >= REMEMBERED:
-                            sent.clear()
-                        sent.add(digest)
-                        rows.append((int.from_bytes(digest[:8], "little", signed=True), 0, digest, stop - last, payload := narrow(ids[last:stop]), None, (), ()))
-                        held += len(payload)
+                    if digest not in seen:
+                        seen.add(digest)
+                        payload = bytes([width]) + packed[width * last : width * stop]
+                        rows.append((int.from_bytes(digest[:8], "little", signed=True), 0, digest, stop - last, payload, None, (), ()))
                     last = stop
                 serial += 1
-                rows.append((serial, 1, None, len(ids), None, doc, chunks, sizes))
-                if held > 8 << 20 or len(rows) > 10_000:
-                    yield object_batch(rows)
-                    rows, held = [], 0
-        yield object_batch(rows)
-
-    def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[bytes] = set()
-        for b in batches:
-            keep = [kind == 1 or digest not in seen and not seen.add(digest) for kind, digest in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
-            yield b.filter(pa.array(keep, pa.bool_()))
+                rows.append((serial, 1, None, last - first, None, doc, chunks, sizes))
+            yield object_batch(rows)
 
     sent = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(encode, OBJECT_SCHEMA)
-    objects = sent.repartition(parts, "key").mapInArrow(once, OBJECT_SCHEMA)
+    objects = sent.dropDuplicates(["key", "kind", "digest"])
     objects.drop("key").write.option("compression", "zstd").parquet(f"{path}/objects")
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,12 +197,16 @@ def write_store(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str
 
 
 def part_roots(recipes: DataFrame) -> DataFrame:
-    """(part, n_docs, n_tokens, root) of each part from the roots of its recipes.
-
-    The root of a part is the sum of its documents' roots, each hashed with its place: any order of reading gives it.
-    """
-    leaf = F.conv(F.substring(F.sha2(F.concat(F.col("root"), F.col("place").cast("string").cast("binary")), 256), 1, 15), 16, 10).cast("decimal(38,0)")
-    return recipes.groupBy("part").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("n_tokens").alias("n_tokens"), F.sum(leaf).cast("string").alias("root"))
+    """(part, n_docs, n_tokens, root) of each part: the Merkle root of its recipes' roots in their order."""
+    sums = recipes.groupBy("part").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
+    left, level = recipes.agg(F.max("place")).first()[0], recipes.select("part", F.col("place").alias("i"), F.col("root").alias("node"))
+    depth = 0
+    while depth == 0 or (left or 0) > 0:
+        level = level.groupBy("part", F.floor(F.col("i") / FANOUT).alias("i")).agg(F.array_sort(F.collect_list(F.struct("i", "node"))).alias("children"))
+        bytes_of = F.aggregate("children", F.lit(b"\2"), lambda done, x: F.concat(done, x["node"]))
+        level = level.select("part", "i", F.unhex(F.sha2(bytes_of, 256)).alias("node"))
+        left, depth = (left or 0) // FANOUT, depth + 1
+    return sums.join(level.select("part", F.lower(F.hex("node")).alias("root")), "part")
 
 
 def checked_chunks(spark: SparkSession, path: str) -> DataFrame:

@@ -11,13 +11,15 @@ from spindrift.llm import packing, token_counts, token_store, tokens
 @pytest.fixture(scope="module")
 def library():
     t = Tokenizer.from_file(tokens.default_path())
-    t.encode_special_tokens = True
     return lambda text: t.encode(text or "", add_special_tokens=False)
 
 
 def test_cached_encoding_is_the_librarys(library, messy_texts):
-    small = tokens.Encoder(tokens.default_path(), cache_pieces=50)
-    for text in messy_texts:
+    small = tokens.Encoder(tokens.default_path(), cache_pieces=64)
+    texts = [*messy_texts, "a <|endoftext|>b", "<|endoftext|>", "x" * 40 + " " + "é" * 30, "'s", "a's b'", "''ll 'll'll", "\n 's\n\n", "don't we'RE 're've x'v'dé", "\uffff a", "a \U0001f600b"]
+    for text, got in zip(texts, tokens.Encoder(tokens.default_path()).encode_all(texts), strict=True):
+        assert np.frombuffer(got, "<u4").tolist() == library(text).ids, text
+    for text in texts:
         want = library(text)
         assert np.frombuffer(small.encode(text), "<u4").tolist() == want.ids
         ids, first, end = small.encode_spans(text)
@@ -25,6 +27,14 @@ def test_cached_encoding_is_the_librarys(library, messy_texts):
         assert list(zip(first.tolist(), end.tolist(), strict=True)) == want.offsets
 
 
+def test_random_texts_by_the_library(library):
+    rng = np.random.default_rng(12)
+    bits = ["'", "s", "re", "ll", "ve", "v", "L", " ", "  ", "\n", "\t", "1", "23", ".", "!?", "é", "ñandú", "дом", "한국", "the", "Hello", "x" * 17, "_", "—", "\r\n"]
+    texts = ["".join(rng.choice(bits, rng.integers(1, 12))) for _ in range(4000)]
+    for text, got in zip(texts, tokens.Encoder(tokens.default_path()).encode_all(texts), strict=True):
+        assert np.frombuffer(got, "<u4").tolist() == library(text).ids, text
+
+
 def ids_of(library, text, end):
     return np.array([*library(text).ids, end], "<u4")
 
@@ -165,13 +175,37 @@ def test_equal_passages_share_chunks():
     b = np.concatenate([rng.integers(0, 50_000, 1300), shared]).astype("<u4")
 
     def digests(x):
-        ends = token_store.cuts(x)
+        (ends,) = token_store.cuts(x)
         assert ends[-1] == len(x) and all(q - p <= token_store.MOST for p, q in zip([0, *ends], ends, strict=False))
         return {x[p:q].tobytes() for p, q in zip([0, *ends[:-1]], ends, strict=True)}
 
     assert len(digests(a) & digests(b)) > 25
 
 
+def test_streams_are_cut_as_if_alone():
+    rng = np.random.default_rng(4)
+    streams = [rng.integers(0, 50_000, n).astype("<u4") for n in (1, 5000, 3, 20_000, 128, 129, 900)]
+    stops = np.cumsum([len(x) for x in streams]).tolist()
+    together = token_store.cuts(np.concatenate(streams), stops)
+    assert together == [[stop - len(x) + e for e in token_store.cuts(x)[0]] for x, stop in zip(streams, stops, strict=True)]
+
+
+def test_part_roots_by_brute_force(spark, monkeypatch):
+    import hashlib
+
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(token_store, "FANOUT", 3)
+    recipes = spark.range(40).select((F.col("id") % 3).cast("int").alias("part"), F.floor(F.col("id") / 3).alias("place"), F.lit(2).cast("long").alias("n_tokens"), F.unhex(F.sha2(F.col("id").cast("string"), 256)).alias("root"))
+    got = {r.part: (r.n_docs, r.n_tokens, r.root) for r in token_store.part_roots(recipes).collect()}
+    for part in range(3):
+        level = [hashlib.sha256(str(i).encode()).digest() for i in range(part, 40, 3)]
+        n = len(level)
+        for _ in range(3):
+            level = [hashlib.sha256(b"\2" + b"".join(level[i : i + 3])).digest() for i in range(0, len(level), 3)]
+        assert len(level) == 1 and got[part] == (n, 2 * n, level[0].hex())
+
+
 def test_crc_shift():
     rng = np.random.default_rng(2)
     parts = [rng.bytes(int(n)) for n in rng.integers(0, 3000, 12)]
