@@ -49,6 +49,19 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = SOME_ROWS) -> Iterator
     for b in batches:
         for k in range(0, b.num_rows, rows):
             yield b.slice(k, rows)
+    # a worker also serves other stages: what Arrow no longer uses goes back at the end of a task
+    pa.default_memory_pool().release_unused()
+
+
+def fresh_names(df: DataFrame, *names: str) -> list[str]:
+    """Names for new columns that no column of df has, whatever the case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
 
 def crc_bucket(id_col: str, modulus: int) -> Column:

@@ -10,8 +10,8 @@ The benchmark is sent to the executors in blocks of about BLOCK_WORDS words, eac
 documents, so what is broadcast is bounded whatever the size of the benchmark.
 
 Defined cases: words are runs of characters between white space and ASCII punctuation, without regard to
-case; a null text has none; an item of fewer than `least` words is in no document; repeated rows each give
-their rows; null ids are carried; an empty table on either side finds nothing; other columns are never
+case; a null text has none; an item of fewer than `least` words is only in a document that has no other words, and an
+item without words in none; repeated rows each give their rows; null ids are carried; an empty table on either side finds nothing; other columns are never
 looked at.
 """
 
@@ -38,21 +38,39 @@ def words(text: str) -> list[bytes]:
     return text.lower().encode(errors="replace").translate(SPACES).split()
 
 
-def tiles(pairs: list[tuple[int, int]], least: int) -> list[tuple[int, int, int]]:
-    """Greedy string tiling from seed pairs (place in document, place in item): (document, item, length) of each tile."""
-    runs: list[tuple[int, int, int]] = []
-    for p, q in sorted(pairs, key=lambda x: (x[0] - x[1], x[0])):
-        if runs and runs[-1][0] - runs[-1][1] == p - q and runs[-1][0] + runs[-1][2] - least + 1 >= p:
-            p0, q0, _ = runs[-1]
-            runs[-1] = (p0, q0, p - p0 + least)
-        else:
-            runs.append((p, q, least))
-    queue = [(-n, p, q) for p, q, n in runs]
+def maximal_matches(doc: np.ndarray, item: np.ndarray, at: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(place in doc, place in item, length) of the matches that begin with one of the seeds and go on both ways no further.
+
+    Seeds of one hash stand at `at` in the document and at `places` in the item. A match begins where the words
+    before differ, so a run of one word gives as many matches as it has words, not their square.
+    """
+    before_doc = np.where(at > 0, doc[at - 1].astype(np.int64), -1)
+    before_item = np.where(places > 0, item[places - 1].astype(np.int64), -2)
+    # a word that no item has differs from all others
+    before_doc[before_doc == 0] = -3
+    left, right = [], []
+    for word in np.unique(before_item).tolist():
+        p, q = at[before_doc != word], places[before_item == word]
+        left.append(np.repeat(p, len(q)))
+        right.append(np.tile(q, len(p)))
+    p, q = np.concatenate(left), np.concatenate(right)
+    n, going = np.zeros(len(p), np.int64), np.arange(len(p))
+    while len(going):
+        x, y = p[going] + n[going], q[going] + n[going]
+        going = going[(x < len(doc)) & (y < len(item))]
+        going = going[doc[p[going] + n[going]] == item[q[going] + n[going]]]
+        n[going] += 1
+    return p, q, n
+
+
+def tiles(runs: list[tuple[int, int, int]], least: int, size: int) -> list[tuple[int, int, int]]:
+    """Greedy string tiling of an item of `size` words from maximal matches (document, item, length): the same of each tile."""
+    queue = [(-n, p, q) for p, q, n in runs if n >= least]
     heapq.heapify(queue)
     in_doc: set[int] = set()
     in_item: set[int] = set()
     out = []
-    while queue:
+    while queue and size - len(in_item) >= least:
         n, p, q = heapq.heappop(queue)
         n = -n
         free = [p + i not in in_doc and q + i not in in_item for i in range(n)]
@@ -79,15 +97,20 @@ class Matcher:
         self.least, self.threshold = least, threshold
         self.vocabulary: dict[bytes, int] = {}
         self.sizes: list[tuple[int, int]] = []
+        self.texts: list[np.ndarray] = []
+        self.short: dict[tuple[bytes, ...], list[int]] = defaultdict(list)
         places = defaultdict(list)
         for item_id, text in items:
             ws = words(text or "")
             if len(ws) < least:
+                if ws:
+                    self.short[tuple(ws)].append(item_id)
                 continue
             ids = np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in ws], np.uint64)
             for q, h in enumerate(self.hashes(ids, np.arange(len(ids) - least + 1)).tolist()):
                 places[h].append((len(self.sizes), q))
             self.sizes.append((item_id, len(ws)))
+            self.texts.append(ids)
         self.places = dict(places)
         self.seeds = np.array(sorted(places), np.uint64)
 
@@ -100,7 +123,9 @@ class Matcher:
     def find(self, text: str | None) -> list[tuple[int, float, int, int, int]]:
         """(item, coverage, tiles, tiled words, words) of each item that the text holds."""
         ws = words(text or "")
-        if len(ws) < self.least or not len(self.seeds):
+        if len(ws) < self.least:
+            return [(item, 1.0, 1, len(ws), len(ws)) for item in self.short.get(tuple(ws), ())]
+        if not len(self.seeds):
             return []
         get = self.vocabulary.get
         ids = np.array([get(w, 0) for w in ws], np.uint64)
@@ -116,17 +141,27 @@ class Matcher:
         hit = self.seeds[np.minimum(np.searchsorted(self.seeds, h), len(self.seeds) - 1)] == h
         if not hit.any():
             return []
-        pairs = defaultdict(list)
-        for p, x in zip(at[hit].tolist(), h[hit].tolist(), strict=True):
+        at, h = at[hit], h[hit]
+        order = np.argsort(h, kind="stable")
+        edges = np.flatnonzero(np.diff(h[order], prepend=~h[order[0]]))
+        where = dict(zip(h[order[edges]].tolist(), np.split(at[order], edges[1:]), strict=True))
+        seen: dict[int, dict[int, list[int]]] = defaultdict(lambda: defaultdict(list))
+        for x in where:
             for item, q in self.places[x]:
-                pairs[item].append((p, q))
+                seen[item][x].append(q)
         out = []
-        for item, found in pairs.items():
+        for item, seeds in seen.items():
             item_id, size = self.sizes[item]
             # no more words can be tiled than the seeds' places in the item cover
-            if len({q + k for _, q in found for k in range(self.least)}) < self.threshold * size:
+            covered = np.zeros(size + self.least, bool)
+            for q in seeds.values():
+                covered[np.array(q)[:, None] + np.arange(self.least)] = True
+            if covered.sum() < self.threshold * size:
                 continue
-            laid = tiles(found, self.least)
+            runs: list[tuple[int, int, int]] = []
+            for x, q in seeds.items():
+                runs += zip(*(v.tolist() for v in maximal_matches(ids, self.texts[item], where[x], np.array(q))), strict=True)
+            laid = tiles(runs, self.least, size)
             total = sum(t[2] for t in laid)
             if total >= self.threshold * size:
                 out.append((item_id, total / size, len(laid), total, size))

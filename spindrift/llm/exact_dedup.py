@@ -2,8 +2,8 @@
 
 Misra-Gries summaries, one for each task, find the digests that may be frequent. An exact count verifies
 them, and the verified ones (at most `capacity` rows) are broadcast: their copies are settled where they
-are read. All other digests, none of which has more than 2/capacity of the rows, go through an ordinary
-shuffle by digest.
+are read. All other digests go through an ordinary shuffle by digest: one of these has at most 1/capacity of the
+rows of each task, or one row of a task with fewer rows than that, and so few in all.
 
 Defined cases: a null text counts as empty; null ids sort below all others; of rows with equal text and
 equal id exactly one is kept; an empty table gives an empty table; other columns are never looked at.
@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import shuffle_partitions, stored
+from .common import fresh_names, shuffle_partitions, stored
 
 
 def text_digest(text_col: str) -> Column:
@@ -49,7 +49,7 @@ def default_capacity(df: DataFrame) -> int:
 
 
 def heavy_digests(digests: DataFrame, capacity: int) -> DataFrame:
-    """(digest, estimate): at most `capacity` digests, among them all with more than 2/capacity of the rows."""
+    """(digest, estimate): at most `capacity` digests, those whose summaries count most; seen twice in some task."""
 
     def summarise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict = {}
@@ -94,13 +94,14 @@ def drop_exact_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str =
     Copies of heavy texts are dropped where they are read; of the rest, whole rows are shuffled once by digest.
     """
     capacity = capacity or default_capacity(df)
-    keyed = df.withColumn("__sd_digest", text_digest(text_col))
-    digests = stored(keyed.select(F.col(id_col).alias("id"), F.col("__sd_digest").alias("digest")), "dedup-digests")
-    winners = F.broadcast(verified_winners(digests, capacity).select(F.col("digest").alias("__sd_digest"), F.col("keep_id").alias("__sd_keep"), F.lit(True).alias("__sd_hot")))
-    marked = keyed.join(winners, "__sd_digest", "left")
-    hot = marked.where(F.col("__sd_hot") & (F.col(id_col).eqNullSafe(F.col("__sd_keep"))))
+    digest, keep, heavy, row, i = fresh_names(df, "digest", "keep", "heavy", "row", "i")
+    keyed = df.withColumn(digest, text_digest(text_col))
+    digests = stored(keyed.select(F.col(id_col).alias("id"), F.col(digest).alias("digest")), "dedup-digests")
+    winners = F.broadcast(verified_winners(digests, capacity).select(F.col("digest").alias(digest), F.col("keep_id").alias(keep), F.lit(True).alias(heavy)))
+    marked = keyed.join(winners, digest, "left")
+    hot = marked.where(F.col(heavy) & (F.col(id_col).eqNullSafe(F.col(keep))))
     # repeated rows may share the winner's id: one row for each digest remains within each task before any shuffle
-    hot = hot.groupBy("__sd_digest").agg(F.first(F.struct(*[F.col(f"`{c}`") for c in df.columns])).alias("__sd_row")).select("__sd_row.*")
-    first = F.row_number().over(Window.partitionBy("__sd_digest").orderBy(F.desc_nulls_last(id_col)))
-    rest = marked.where("__sd_hot is null").withColumn("__sd_i", first).where("__sd_i = 1").select(*[f"`{c}`" for c in df.columns])
+    hot = hot.groupBy(digest).agg(F.first(F.struct(*[F.col(f"`{c}`") for c in df.columns])).alias(row)).select(f"{row}.*")
+    first = F.row_number().over(Window.partitionBy(digest).orderBy(F.desc_nulls_last(id_col)))
+    rest = marked.where(F.col(heavy).isNull()).withColumn(i, first).where(F.col(i) == 1).select(*[F.col(f"`{c}`") for c in df.columns])
     return hot.unionByName(rest)

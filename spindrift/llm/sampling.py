@@ -9,15 +9,18 @@ from .common import stored
 
 
 def balanced_sample(df: DataFrame, label_col: str, per_label: int, id_col: str = "doc_id", seed: int = 11) -> DataFrame:
-    """About per_label rows of each label, or all of a rarer one, chosen by a hash of the id.
+    """About per_label rows of each label, or all of a rarer one, chosen by a hash of the row; never over twice as many.
 
-    One pass counts the labels; the choice itself is a filter, so that nothing is sorted or shuffled.
+    One pass counts the labels; the choice itself is a filter, so that nothing is sorted, and only the sample moves.
     """
     counts = {r[0]: r[1] for r in df.groupBy(label_col).count().collect() if r[0] is not None}
     share = F.lit(0.0)
     for label, n in counts.items():
         share = F.when(F.col(label_col) == F.lit(label), F.lit(min(1.0, per_label / n))).otherwise(share)
-    return df.where(F.pmod(F.xxhash64(F.lit(seed), F.col(id_col)), F.lit(1 << 30)) < share * float(1 << 30))
+    row = F.xxhash64(F.lit(seed), *[F.col(c) for c in dict.fromkeys([id_col, *df.columns])])
+    some = df.where(F.pmod(row, F.lit(1 << 30)) < share * float(1 << 30))
+    # twice as many as asked for come by chance never; rows that are repeated very often would
+    return some.limit(2 * per_label * max(1, len(counts)))
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, per_label: int, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, dict]:
@@ -27,7 +30,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, per_labe
     text but the sample's is written anywhere.
     """
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).where(F.col("label").isin(0, 1) & F.col("id").isNotNull())
+    known = known.groupBy("id").agg(F.min("label").alias("label"))  # a repeated id has one label
     counts = {r[0]: r[1] for r in known.groupBy("label").count().collect()}
     picked = balanced_sample(known, "label", per_label, "id")
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return stored(texts.join(F.broadcast(picked), "id").select("text", "label"), "labelled-sample"), counts
+    found = texts.join(F.broadcast(picked), "id").select("text", "label").limit(4 * per_label)
+    return stored(found, "labelled-sample"), counts

@@ -35,6 +35,32 @@ def test_tiling_by_brute_force():
         assert (got[0][3] if got else 0) == plain_tiling(doc, item, 5)
 
 
+def test_repetitive_texts_by_brute_force():
+    rng = np.random.default_rng(5)
+    for trial in range(60):
+        item = [f"w{x}" for x in rng.integers(0, 2 + trial % 3, rng.integers(5, 18))]
+        doc = [f"w{x}" for x in rng.integers(0, 3 + trial % 2, rng.integers(5, 40))]
+        got = decontam.Matcher([(trial, " ".join(item))], threshold=1e-9).find(" ".join(doc))
+        lengths = sorted(n for n in (got[0][3] if got else 0, plain_tiling(doc, item, 5)))
+        # of matches of equal length either may come first, which may leave other words for the next
+        assert lengths[0] == lengths[1] or lengths[1] - lengths[0] < 5
+
+
+def test_one_word_very_often_is_quick():
+    import time
+
+    m = decontam.Matcher([(1, "ha " * 300)])
+    began = time.process_time()
+    assert m.find("ha " * 60_000) == [(1, 1.0, 1, 300, 300)]
+    assert time.process_time() - began < 20
+
+
+def test_items_too_short_for_a_seed():
+    m = decontam.Matcher([(1, "so short"), (2, "..."), (3, "one two three four five six")])
+    assert m.find("So, short!") == [(1, 1.0, 1, 2, 2)]
+    assert not m.find("this is so short a text that it has the item") and not m.find("so") and not m.find("...")
+
+
 def test_reordered_and_changed_passages():
     item = "The quick brown fox jumps over the lazy dog while seven wizards quietly boil fresh green tea at dawn"
     m = decontam.Matcher([(1, item)])
