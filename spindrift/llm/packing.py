@@ -111,7 +111,7 @@ class SumOfSquares:
 def pack_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, window: int = WINDOW, end_id: int = END_ID, with_ids: bool = False, keep_cache: bool = True) -> DataFrame:
     """One row per piece: document, place in it, checksum, sequence and offset there; with_ids adds the ids as bytes.
 
-    keep_cache=False empties a worker's table of pieces at the end of each task, for jobs that go on to other work.
+    keep_cache=False halves a worker's table of pieces and empties it at the end of each task, for jobs of other work.
     """
     path = tokenizer or tokens.default_path()
     schema = PIECE_SCHEMA + (", ids binary" if with_ids else "")
@@ -130,11 +130,11 @@ def pack_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         yield pa.RecordBatch.from_arrays(arrays, names)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode_all, end = tokens.encoder(path).encode_all, np.array([end_id], "<u4").tobytes()
+        encoder, end = tokens.encoder(path, tokens.CACHE_PIECES if keep_cache else tokens.CACHE_PIECES // 2), np.array([end_id], "<u4").tobytes()
         packer = SumOfSquares(window)
         sequence = TaskContext.get().partitionId() << 40
         for b in slices(batches):
-            for doc, ids in zip(b.column(0).to_pylist(), encode_all(b.column(1).to_pylist()), strict=True):
+            for doc, ids in zip(b.column(0).to_pylist(), encoder.encode_all(b.column(1).to_pylist()), strict=True):
                 ids += end
                 packer.add((doc, len(ids) // 4), ids)
                 if len(packer.closed) >= 2000:
@@ -142,7 +142,7 @@ def pack_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                     sequence += len(packer.closed)
                     packer.closed.clear()
         if not keep_cache:
-            tokens.encoder(path).forget()
+            encoder.forget()
         packer.finish()
         yield from rows(packer.closed, sequence)
 

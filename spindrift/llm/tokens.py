@@ -26,7 +26,7 @@ CACHE_PIECES = 1 << 20
 #: Bytes of a piece that is looked up in the table; longer ones are kept in a dict of as many as CACHE_LONG.
 SHORT, CACHE_LONG = 16, 20_000
 #: Characters whose pieces are found at a time (about 30 bytes each).
-AT_ONCE = 1 << 19
+AT_ONCE = 1 << 17
 #: Letters, and other visible characters, whose class is the same in every Unicode version.
 LETTERS = "A-Za-zªµºÀ-ÖØ-öø-ɏΈ-ΊΎ-ΡΣ-ϿЀ-ҁҊ-ԧぁ-ゖァ-ヺ一-鿌가-힣"
 MARKS = "!-/:-@\\[-`{-~¡§«»¿–—‘-„…€、。"
@@ -91,13 +91,12 @@ class Table:
 
     def __init__(self, limit: int):
         self.limit, self.slots = limit, 1 << max(4, (2 * limit - 1).bit_length())
-        self.keys = np.zeros((self.slots, 2), np.uint64)
-        self.value = np.full(self.slots, -1, np.int32)
         self.forget()
 
     def forget(self) -> None:
-        self.value.fill(-1)
-        self.size, self.lengths, self.first, self.ids = 0, np.zeros(1024, np.uint8), np.zeros(1025, np.int64), np.zeros(4096, np.uint32)
+        # pages of zeros take no memory until they are written to: a value of 0 is free, others are entries from 1 on
+        self.keys, self.value = np.zeros((self.slots, 2), np.uint64), np.zeros(self.slots, np.int32)
+        self.size, self.lengths, self.first, self.ids = 0, np.zeros(1024, np.uint8), np.zeros(1025, np.int32), np.zeros(4096, np.uint32)
 
     def slot(self, low: np.ndarray, high: np.ndarray, length: np.ndarray) -> np.ndarray:
         h = (low ^ length.astype(np.uint64) << np.uint64(56)) * np.uint64(0x9E3779B97F4A7C15)
@@ -107,12 +106,12 @@ class Table:
     def find(self, low: np.ndarray, high: np.ndarray, length: np.ndarray) -> np.ndarray:
         """The entry of each piece, -1 where there is none."""
         slot = self.slot(low, high, length)
-        out = self.value[slot]
+        out = self.value[slot] - 1
         same = (out >= 0) & (self.keys[slot, 0] == low) & (self.keys[slot, 1] == high) & (self.lengths[out] == length)
         todo = np.flatnonzero((out >= 0) & ~same)
         while len(todo):
             slot[todo] = slot[todo] + 1 & self.slots - 1
-            s, found = slot[todo], self.value[slot[todo]]
+            s, found = slot[todo], self.value[slot[todo]] - 1
             out[todo] = found
             same = (self.keys[s, 0] == low[todo]) & (self.keys[s, 1] == high[todo]) & (self.lengths[found] == length[todo])
             todo = todo[(found >= 0) & ~same]
@@ -121,17 +120,17 @@ class Table:
     def add(self, low: np.ndarray, high: np.ndarray, length: np.ndarray, ids: list[list[int]]) -> None:
         """Pieces that the table does not have, each once."""
         n, sizes = len(ids), np.fromiter(map(len, ids), np.int64, len(ids))
-        ends = self.first[self.size] + np.cumsum(sizes)
+        ends = int(self.first[self.size]) + np.cumsum(sizes)
         self.lengths, self.first = grown(self.lengths, self.size + n), grown(self.first, self.size + n + 1)
         self.ids = grown(self.ids, int(ends[-1]))
         self.ids[self.first[self.size] : ends[-1]] = np.fromiter((i for x in ids for i in x), np.uint32, int(sizes.sum()))
         self.lengths[self.size : self.size + n], self.first[self.size + 1 : self.size + n + 1] = length, ends
         slot, entry = self.slot(low, high, length), np.arange(self.size, self.size + n)
         while len(entry):
-            free = np.flatnonzero(self.value[slot] < 0)
+            free = np.flatnonzero(self.value[slot] == 0)
             # of several that want a free slot the last one written has it
-            self.value[slot[free]] = entry[free]
-            placed = self.value[slot] == entry
+            self.value[slot[free]] = entry[free] + 1
+            placed = self.value[slot] == entry + 1
             self.keys[slot[placed], 0], self.keys[slot[placed], 1] = low[placed], high[placed]
             slot, entry, low, high = slot[~placed] + 1 & self.slots - 1, entry[~placed], low[~placed], high[~placed]
         self.size += n
@@ -263,7 +262,7 @@ class Encoder:
             pieces = [raw[a : a + n] for a, n in zip(place[some[first]].tolist(), short[first].tolist(), strict=True)]
             self.table.add(low[first], high[first], short[first], [self.piece_ids(x) for x in pieces])
             entry[new] = before + which.ravel()
-        start, size = self.table.first[entry], np.zeros(len(place), np.int64)
+        start, size = self.table.first[entry].astype(np.int64), np.zeros(len(place), np.int64)
         size[some] = self.table.first[entry + 1] - start
         found = self.table.ids[ranges(start, size[some])]
         if not len(far):
@@ -321,6 +320,6 @@ def utf8_places(chars: np.ndarray) -> np.ndarray:
 
 
 @functools.cache
-def encoder(path: str) -> Encoder:
+def encoder(path: str, cache_pieces: int = CACHE_PIECES) -> Encoder:
     """One for each Python worker."""
-    return Encoder(path)
+    return Encoder(path, cache_pieces)

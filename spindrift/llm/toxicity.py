@@ -44,7 +44,7 @@ LONGEST = 32
 FLOOR = -3.0
 CACHE_WORDS = 100_000
 #: Words whose triples are laid out at a time (about 3 kB each).
-WORDS_AT_ONCE = 4_000
+WORDS_AT_ONCE = 1_000
 APART = re.compile(r"(?<!\S)\w(?:[\W_]+\w(?!\w)){2,}(?!\w)")
 SENTENCE_END = re.compile(r"[.!?\n]+")
 OFFSETS = [(a, b) for b in range(2, SPAN) for a in range(1, b)]
