@@ -7,32 +7,37 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from spindrift.llm import decontam, exact_dedup, packing, simhash, toxicity
-from spindrift.llm.common import stored, table
+from spindrift.llm.common import small_batches, stored, table
 from spindrift.llm.queries import toxicity_model
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score 0.5 or more go; the model is learned as in op4."""
+    small_batches(spark)
     return toxicity.drop_toxic(docs, toxicity_model(spark, sf_dir))
 
 
 def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents with equal texts, the one with the largest id stays."""
+    small_batches(spark)
     return exact_dedup.drop_exact_duplicates(docs)
 
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of near copies (five-word shingles, similarity 0.8 or more), the one with the smallest id stays."""
+    small_batches(spark)
     return simhash.keep_one_each(docs)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item go."""
+    small_batches(spark)
     return decontam.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of what is left, as in op8."""
+    small_batches(spark)
     return packing.pack_documents(docs, keep_cache=False)
 
 
