@@ -165,6 +165,44 @@ def test_tree_fits_its_table():
     assert np.mean([html_text.decide(root, list(x)) == y for x, y in html_text.LABELLED]) > 0.95
 
 
+def test_pages_without_article():
+    root = html_text.tree()
+    text = lambda page: html_text.main_text(page, root)
+    assert text("<div class='c1'><p>Hello there.</p></div>") == "Hello there."
+    assert text("Only some words, without any tag.") == "Only some words, without any tag."
+    menu = "<ul>" + "".join(f"<li><a href='/{k}'>Topic {k}</a></li>" for k in range(6)) + "</ul>"
+    body = ["A long paragraph " + "about many things " * 12, "Another one " + "with more of them " * 15, "The last one " + "ends the page " * 11]
+    page = f"<body>{menu}<div>" + "".join(f"<p>{x} <a href='/x'>more</a></p>" for x in body) + f"</div>{menu}</body>"
+    assert text(page) == "\n".join(" ".join(f"{x} more".split()) for x in body)
+    features = set()
+
+    def walk(node):
+        if node.feature >= 0:
+            features.add(node.feature)
+            walk(node.low)
+            walk(node.high)
+
+    walk(root)
+    # the link density of a block or of its neighbours takes part
+    assert features & {1, 3, 5} and features & {0, 2, 4}
+
+
+def test_blocks_of_furniture_and_links():
+    found = html_text.blocks("<p>one <span class='ad'>buy <span>now</span></span> two</p><p class='notice'>old<p>new <a href=x>lin<div>ked</div></a> free")
+    assert [(b.text, b.furniture, b.linked) for b in found] == [("buy now", 1, 0), ("one two", 0, 0), ("old", 1, 0), ("new lin", 0, 1), ("ked", 0, 1), ("free", 0, 0)]
+    found = html_text.blocks("<div><a href=x>menu</div><p>text")
+    assert [(b.text, b.linked) for b in found] == [("menu", 1), ("text", 0)]
+
+
+def test_broken_pages_take_linear_time():
+    import time
+
+    began = time.process_time()
+    for page in ("<span class='ad'>x" * 40_000, "<p class='notice'>x" * 40_000, "<div><span>x</nav></p>" * 40_000, "<a href=x>y<div>" * 40_000):
+        html_text.blocks(page)
+    assert time.process_time() - began < 20
+
+
 def test_pages_table(spark, sf):
     import html
     import re
