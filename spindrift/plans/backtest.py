@@ -58,13 +58,14 @@ def worst_windows(errors: DataFrame, top: int = 5) -> DataFrame:
 
 
 def ensemble_metrics(packed: DataFrame, horizon: int, chosen: dict[str, workers.Worker]) -> DataFrame:
-    """(series_id, worker, mse) of each worker and of the blend, with the share of windows that collapse to one."""
+    """(series_id, worker, mse, collapse_rate) of each worker and of the blend, with the share of windows that collapse to one."""
     each = workers.worker_forecasts(packed, KEY, horizon, chosen)
     actual = packed.select(*KEY, F.posexplode("actual").alias("h", "actual"))
     blended = workers.ensemble.blend(each, workers.signal_of(packed, KEY), KEY).select(*KEY, F.lit("ensemble").alias("worker"), "h", "value")
     rows = each.select(*KEY, "worker", "h", "value").unionByName(blended).join(actual, [*KEY, "h"])
     e = F.col("actual") - F.col("value")
-    return rows.groupBy("series_id", "worker").agg(F.avg(e * e).alias("mse"))
+    rates = collapse_rate(workers.confidences(packed, KEY, chosen)).select("series_id", "collapse_rate")
+    return rows.groupBy("series_id", "worker").agg(F.avg(e * e).alias("mse")).join(rates, "series_id", "left")
 
 
 def collapse_rate(confidences: DataFrame) -> DataFrame:

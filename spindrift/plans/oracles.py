@@ -85,6 +85,10 @@ SHIFTS = """
     med AS (SELECT c.series_id, cp, threshold, median(y) FILTER (t < cp) AS before, median(y) FILTER (t > cp) AS after FROM cand c JOIN series s ON s.series_id = c.series_id AND s.t BETWEEN cp - win AND cp + win AND s.t <> cp WHERE win >= 3 GROUP BY ALL),
     iqr AS (SELECT series_id, quantile_cont(y, 0.75) - quantile_cont(y, 0.25) AS iqr FROM series GROUP BY 1)"""
 
+#: The same with a window of 7, so gaps of 3, and a threshold of one robust deviation.
+NARROW = SHIFTS.replace("n >= 42", "n >= 14").replace("least(3 + sqrt(any_value(kurt)), 10) *", "1.0 *").replace(">= 10 THEN", ">= 3 THEN").replace("least(21,", "least(7,")
+FOUND = "found AS (SELECT m.series_id, CAST(cp + 1 AS INTEGER) AS t, after - before AS magnitude FROM med m JOIN iqr USING (series_id) WHERE abs(after - before) >= greatest(threshold, iqr))"
+
 SHOCK = f"""
     sd AS (SELECT {KEY}, stddev_pop(rest) AS noise FROM rest GROUP BY ALL),
     x AS (SELECT r.series_id, r.window_start, r.i, rest AS d, 2 * greatest(noise, 1e-10) AS thr FROM rest r JOIN sd USING ({KEY})),
@@ -151,6 +155,8 @@ ORACLES: dict[str, str] = {
     "trend_tail": query("SELECT series_id, round(regr_slope(trend, t), 6) AS slope, round(regr_intercept(trend, t), 3) AS intercept, count(*) AS n FROM (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY t DESC) AS rk, count(*) OVER (PARTITION BY series_id) AS m FROM (SELECT series_id, t, CASE WHEN count(*) OVER f = 25 THEN avg(y) OVER f END AS trend FROM series WINDOW f AS (PARTITION BY series_id ORDER BY t ROWS BETWEEN 12 PRECEDING AND 12 FOLLOWING)) WHERE trend IS NOT NULL) WHERE rk <= greatest(20, m // 4) GROUP BY 1"),
     "level_shift_candidates": query("SELECT m.series_id, CAST(cp + 1 AS INTEGER) AS index, round(after - before, 4) AS magnitude, round(threshold, 4) AS threshold, round(iqr, 4) AS iqr FROM med m JOIN iqr USING (series_id)", NATION, SHIFTS),
     "level_shifts": query("SELECT m.series_id, CAST(cp + 1 AS INTEGER) AS index, round(after - before, 4) AS magnitude FROM med m JOIN iqr USING (series_id) WHERE abs(after - before) >= greatest(threshold, iqr)", DAILY, SHIFTS),
+    "narrow_level_shifts": query("SELECT series_id, t AS index, round(magnitude, 4) AS magnitude FROM found", HOURLY, NARROW, FOUND),
+    "shift_free_series": query("SELECT series_id, t, round(y, 4) AS y, round(shift, 4) AS shift, round(y - shift, 4) AS cleaned FROM (SELECT s.*, sum(coalesce(magnitude, 0)) OVER (PARTITION BY s.series_id ORDER BY s.t) AS shift FROM series s LEFT JOIN found USING (series_id, t))", HOURLY, NARROW, FOUND),
     "shock_select": query(f"SELECT {KEY}, CAST(onset AS INTEGER) AS onset, shape, round(magnitude, 5) AS magnitude, round(rate, 7) AS rate, round(aic, 5) AS aic FROM (SELECT *, row_number() OVER (PARTITION BY {KEY} ORDER BY aic, ord) AS rk FROM opt) WHERE rk = 1", HOURLY, W, LINE, SHOCK),
     "weighted_autocov": query(f"SELECT {KEY}, lag, round(cov, 4) AS cov FROM cov", HOURLY, W, COV),
     "unweighted_autocov": query(f"SELECT a.series_id, a.window_start, CAST(a.i - b.i AS INTEGER) AS lag, round(sum((a.y - m) * (b.y - m)) / 256, 4) AS cov FROM local a JOIN local b ON a.series_id = b.series_id AND a.window_start = b.window_start AND a.i - b.i BETWEEN 0 AND 12 JOIN (SELECT {KEY}, avg(y) AS m FROM local GROUP BY ALL) c ON c.series_id = a.series_id AND c.window_start = a.window_start GROUP BY ALL", HOURLY, W, COV),

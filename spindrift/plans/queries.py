@@ -317,6 +317,22 @@ def level_shifts(spark, sf_dir):
     return rounded(shocks.level_shifts(S.daily_orders(spark, sf_dir)), magnitude=4)
 
 
+def small_shifts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shifts of the hourly series by a narrow window and a low threshold."""
+    return shocks.level_shifts(S.hourly_events(spark, sf_dir), window=7, min_sigma=1.0)
+
+
+@registered
+def narrow_level_shifts(spark, sf_dir):
+    return rounded(small_shifts(spark, sf_dir), magnitude=4)
+
+
+@registered
+def shift_free_series(spark, sf_dir):
+    """The hourly series less the running sum of their shifts."""
+    return rounded(shocks.without_shifts(S.hourly_events(spark, sf_dir), small_shifts(spark, sf_dir)), y=4, shift=4, cleaned=4)
+
+
 @registered
 def shock_select(spark, sf_dir):
     rest = detrended(spark, sf_dir)
@@ -532,9 +548,15 @@ def ensemble_backtest(spark, sf_dir):
     return backtest.ensemble_metrics(kept(spark, sf_dir), H, workers.DEFAULT)
 
 
+@registered
+def ensemble_v2_backtest(spark, sf_dir):
+    """The same with every worker, to be held against ensemble_backtest."""
+    return backtest.ensemble_metrics(kept(spark, sf_dir), H, workers.ALL)
+
+
 @registered
 def spectral_backtest(spark, sf_dir):
-    return backtest.run(S.hourly_events(spark, sf_dir), [96, 192], C)
+    return backtest.run(S.hourly_events(spark, sf_dir).unionByName(S.daily_orders(spark, sf_dir)), [96, 192, 336, 720], C)
 
 
 @registered
