@@ -3,10 +3,11 @@
 A text is the bytes of its UTF-8. FILTERS learned filters of WIDTH bytes (over a learned embedding) slide
 over every byte; their outputs are max-pooled in overlapping chunks of CHUNK bytes that together cover the
 whole document, a hidden layer looks at each chunk, and the greatest and the mean hidden values over all
-chunks give one probability. Training is by gradient descent (Adam) on up to CHUNKS chunks of about
-PER_LABEL documents of each label; the network's prior is then set to the labels' shares.
+chunks give one probability. Training is by gradient descent (Adam) on all chunks of about PER_LABEL
+documents of each label, none of them over LONGEST bytes; the network's prior is then set to the labels'
+shares. The sample is thus at most 4 * PER_LABEL * LONGEST bytes, a few MB as a rule.
 
-For scoring, embedding and filters are folded into one table for each pair of neighbouring bytes.
+Embedding and filters are folded into one table for each pair of neighbouring bytes.
 
 Defined cases: null and empty texts are one empty chunk and get a score like any other; null labels are not
 learned from; where only one label (or none) occurs, its share (0.5) is every score; repeated rows each give
@@ -24,7 +25,10 @@ from pyspark.sql import functions as F
 
 from .sampling import labelled_sample
 
-PER_LABEL, CHUNKS, EPOCHS = 1500, 6, 14
+#: Training documents of each label, the bytes of the longest of them, and passes over the sample.
+PER_LABEL, LONGEST, EPOCHS = 1500, 1 << 16, 14
+#: Chunks whose gradients are computed at once.
+AT_ONCE = 1024
 WIDTH, FILTERS, EMBED, HIDDEN = 6, 16, 8, 16
 BLOCK, STRIDE = 32, 7
 #: A chunk is this many positions; the next begins STRIDE blocks later, so neighbours share one block.
@@ -44,14 +48,18 @@ class Network:
         }
         self.p["embed"][PAD] = 0
 
-    def step(self, chunks: np.ndarray, doc: np.ndarray, label: np.ndarray) -> dict[str, np.ndarray]:
-        """Gradients of the mean cross entropy for chunks (n x CHUNK+WIDTH-1 bytes) of documents doc."""
-        p, n, docs = self.p, len(chunks), len(label)
-        e = p["embed"][chunks]
-        windows = np.lib.stride_tricks.sliding_window_view(e, WIDTH, axis=1).transpose(0, 1, 3, 2).reshape(n, CHUNK, WIDTH * EMBED)
-        conv = windows @ p["filters"] + p["bias"]
+    def step(self, chunks: np.ndarray, doc: np.ndarray, label: np.ndarray, docs: int | None = None) -> dict[str, np.ndarray]:
+        """Gradients of the summed cross entropy over `docs` (by default, all of label) for chunks (n x CHUNK+WIDTH-1 bytes) of documents doc."""
+        p, n, docs = self.p, len(chunks), docs or len(label)
+        chunks = chunks.astype(np.int32)
+        pair = chunks[:, :-1] * 257 + chunks[:, 1:]
+        tables = self.tables()
+        conv = tables[0].take(pair[:, :CHUNK], axis=0)
+        for k, t in enumerate(tables[1:], 1):
+            conv += t.take(pair[:, 2 * k : 2 * k + CHUNK], axis=0)
+        conv[chunks[:, :CHUNK] == PAD] = -1e9  # behind the end, as in scoring
         at = conv.argmax(axis=1)
-        pooled = np.take_along_axis(conv, at[:, None], axis=1)[:, 0]
+        pooled = np.take_along_axis(conv, at[:, None], axis=1)[:, 0] + p["bias"]
         act = np.maximum(pooled, 0)
         h = np.maximum(act @ p["hidden"] + p["hidden_bias"], 0)
         first = np.flatnonzero(np.diff(doc, prepend=-1))
@@ -69,12 +77,11 @@ class Network:
         da = (dh @ p["hidden"].T) * (pooled > 0)
         g["bias"] = da.sum(axis=0)
         # only the windows where a filter was greatest take part
-        best = np.take_along_axis(windows, at.transpose(0, 1)[:, :, None], axis=1)
-        g["filters"] = np.einsum("nfw,nf->wf", best, da)
-        de = (da[:, :, None] * p["filters"].T[None]).reshape(n, FILTERS, WIDTH, EMBED)
-        g["embed"] = np.zeros_like(p["embed"])
         where = chunks[np.arange(n)[:, None, None], at[:, :, None] + np.arange(WIDTH)]
-        np.add.at(g["embed"], where.ravel(), de.reshape(-1, EMBED))
+        g["filters"] = np.einsum("nfw,nf->wf", p["embed"][where].reshape(n, FILTERS, WIDTH * EMBED), da)
+        de = (da[:, :, None] * p["filters"].T[None]).reshape(n, FILTERS, WIDTH, EMBED)
+        flat = where.ravel()
+        g["embed"] = np.stack([np.bincount(flat, weights=x, minlength=PAD + 1) for x in de.reshape(-1, EMBED).T], axis=1).astype(p["embed"].dtype)
         g["embed"][PAD] = 0
         return g
 
@@ -85,10 +92,14 @@ class Network:
         for epoch in range(epochs):
             order = rng.permutation(len(rows))
             for k in range(0, len(order), batch):
-                some = order[k : k + batch]
-                index = np.concatenate([rows[i] for i in some])
-                own = np.repeat(np.arange(len(some)), [len(rows[i]) for i in some])
-                g, t = self.step(chunks[index], own, label[some]), t + 1
+                some, g, t = order[k : k + batch], {}, t + 1
+                # whole documents with about AT_ONCE chunks at a time; their gradients add up
+                turn = np.cumsum([len(rows[i]) for i in some]) // AT_ONCE
+                for part in np.split(some, np.flatnonzero(np.diff(turn)) + 1):
+                    index = np.concatenate([rows[i] for i in part])
+                    own = np.repeat(np.arange(len(part)), [len(rows[i]) for i in part])
+                    for name, x in self.step(chunks[index], own, label[part], len(some)).items():
+                        g[name] = g[name] + x if name in g else x
                 now = rate * (1 - epoch / epochs)
                 for name, x in g.items():
                     m[name] += 0.1 * (x - m[name])
@@ -146,28 +157,16 @@ def chunk_at(raw: bytes, start: int) -> np.ndarray:
     return x
 
 
-def train(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str = "doc_id", text_col: str = "text", per_label: int = PER_LABEL, chunks: int = CHUNKS) -> Network | float:
-    """A network from a bounded sample of documents that have a label 0 or 1; 0.5 if only one occurs."""
+def train(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str = "doc_id", text_col: str = "text", per_label: int = PER_LABEL, longest: int = LONGEST) -> Network | float:
+    """A network from a bounded sample of whole documents that have a label 0 or 1; 0.5 if only one occurs."""
     sample, counts = labelled_sample(docs, labels, label_col, per_label, id_col, text_col)
     if len(counts) < 2:
         return 0.5
-
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = []
-            for label, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                raw = raw or b""
-                starts = chunk_starts(len(raw))
-                # spread over the whole document, the same for the same text
-                taken = starts if len(starts) <= chunks else [starts[(2 * k + 1) * len(starts) // (2 * chunks)] for k in range(chunks)]
-                rows.append((label, np.concatenate([chunk_at(raw, s) for s in taken]).tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["label", "chunks"])
-
-    found = sample.select("label", F.col("text").cast("binary")).mapInArrow(read, "label int, chunks binary").collect()
-    if len({r.label for r in found}) < 2:
+    text = F.coalesce(F.col("text").cast("binary"), F.lit(b""))
+    found = sorted((r.label, bytes(r.raw)) for r in sample.select("label", text.alias("raw")).where(F.octet_length("raw") <= longest).collect())
+    if len({label for label, _ in found}) < 2:
         return 0.5
-    found.sort(key=lambda r: (r.label, bytes(r.chunks)))
-    return fit([(r.label, np.frombuffer(r.chunks, np.int16).reshape(-1, CHUNK + WIDTH - 1)) for r in found], counts[1] / counts[0])
+    return fit([(label, np.stack([chunk_at(raw, s) for s in chunk_starts(len(raw))])) for label, raw in found], counts[1] / counts[0])
 
 
 def fit(samples: list[tuple[int, np.ndarray]], odds: float) -> Network:
@@ -175,7 +174,7 @@ def fit(samples: list[tuple[int, np.ndarray]], odds: float) -> Network:
     label = np.array([x for x, _ in samples], np.float32)
     doc = np.repeat(np.arange(len(samples)), [len(c) for _, c in samples])
     net = Network()
-    net.fit(np.concatenate([c for _, c in samples]).astype(np.int64), doc, label)
+    net.fit(np.concatenate([c for _, c in samples]), doc, label)
     ones = label.sum()
     net.p["out_bias"] += np.float32(np.log(odds) - np.log(ones / (len(label) - ones)))
     return net
