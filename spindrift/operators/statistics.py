@@ -30,6 +30,16 @@ def quantile_bounds(rows: DataFrame, keys: Sequence[str], value: str, level: flo
     return rows.groupBy(*keys).agg(F.percentile(value, alpha).alias("q_lo"), F.percentile(value, 1 - alpha).alias("q_hi"), F.stddev_pop(value).alias("noise_std"))
 
 
+def ewma_last(rows: DataFrame, keys: Sequence[str], value: str, at: str = "t", alpha: float = 0.1) -> DataFrame:
+    """(keys, ewma): the exponentially weighted mean of absolute values, from 0, at the end of rows without gaps in `at`.
+
+    Unrolled, each row weighs by how far it is from the end, so the sum combines on the map side.
+    """
+    end = rows.groupBy(*keys).agg(F.max(at).alias("end"))
+    weight = F.lit(alpha) * F.pow(F.lit(1 - alpha), F.col("end") - F.col(at))
+    return rows.join(end, list(keys)).groupBy(*keys).agg(F.sum(weight * F.abs(F.col(value))).alias("ewma"))
+
+
 def robust_noise(rows: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """Median, median absolute deviation (or 0.6745 deviations where that vanishes), excess kurtosis floored at 0."""
     middle = rows.groupBy(*keys).agg(F.median(value).alias("middle"), F.stddev_pop(value).alias("sd"), F.kurtosis(value).alias("kurt"))

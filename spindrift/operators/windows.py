@@ -69,6 +69,19 @@ def zscore(series: DataFrame, train_share: float = 0.7, floor: float | None = 1e
     return series.join(stats, "series_id").select("series_id", "t", ((F.col("y") - F.col("mu")) / sd).alias("y"))
 
 
+def with_previous(rows: DataFrame, at: str = "t", value: str = "y") -> DataFrame:
+    """(series_id, at, value, before) for the rows that have a row one step before them.
+
+    Each row also sends its value to the next place, and places meet by series and place, so that a long series
+    is not put in order in one task.
+    """
+    own = F.struct(F.col(at).alias("at"), F.col(value).alias("now"), F.lit(None).cast("double").alias("before"))
+    ahead = F.struct((F.col(at) + 1).alias("at"), F.lit(None).cast("double").alias("now"), F.col(value).alias("before"))
+    sent = rows.select("series_id", F.explode(F.array(own, ahead)).alias("x"))
+    met = sent.groupBy("series_id", F.col("x.at").alias(at)).agg(F.max("x.now").alias(value), F.max("x.before").alias("before"))
+    return met.where(F.col(value).isNotNull() & F.col("before").isNotNull())
+
+
 def finite(y: Column) -> Column:
     return y.isNotNull() & ~F.isnan(y) & (F.abs(y) != float("inf"))
 

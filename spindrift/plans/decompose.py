@@ -157,11 +157,12 @@ def forecast(fits: DataFrame, keys: list[str], options: Options | None = None) -
 def describe(fits: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, description): each fit as text."""
     g, local = F.col("trend"), F.col("local")
+    mean = F.aggregate("residual", F.lit(0.0), lambda s, x: s + x) / F.size("residual")
     each = F.transform("components", lambda c: F.format_string("  freq=%.6f amp=%.4f phase=%.4f snr=%.1f", c["frequency"], c["amplitude"], c["phase"], c["snr"]))
     shocks = F.transform("shocks", lambda s: F.format_string("  %s at t=%d mag=%.4f", s["shape"], s["onset_idx"], s["magnitude"]))
     lines = F.concat(
         F.array(F.format_string("Periodic components: %d", F.size("components"))), each,
         F.array(F.format_string("Trend: %s a=%.6g b=%.6g c=%.6g", g["trend_type"], g["a"], g["b"], g["c"]), F.format_string("Shocks: %d", F.size("shocks"))), shocks,
-        F.array(F.format_string("Local: AR(%d) intercept=%.6g", local["order"], local["intercept"]), F.format_string("Residual: mode=%s AC(1)=%.4f std=%.6g", "residual_mode", "residual_ac1", "noise_std")),
+        F.array(F.format_string("Local: AR(%d) intercept=%.6g", local["order"], local["intercept"]), F.format_string("Residual: mode=%s AC(1)=%.4f mean=%.6g std=%.6g", "residual_mode", "residual_ac1", mean, "noise_std")),
     )
     return fits.select(*keys, F.concat_ws("\n", lines).alias("description"))

@@ -51,6 +51,17 @@ COV = f"""
 AR1 = f"ar AS (SELECT c.series_id, c.window_start, c1.cov / c.cov AS a, m * (1 - c1.cov / c.cov) AS intercept FROM cov c JOIN cov c1 USING ({KEY}) JOIN mean USING ({KEY}) WHERE c.lag = 0 AND c1.lag = 1)"
 
 
+def ar_orders(most: int = 12) -> str:
+    """Each AR order's AIC by the Levinson-Durbin recursion: one table for each order."""
+    steps = [f"l0 AS (SELECT {KEY}, list(cov ORDER BY lag) AS r, []::DOUBLE[] AS a, max(cov) FILTER (lag = 0) AS v FROM cov GROUP BY ALL)"]
+    for p in range(1, most + 1):
+        matched = " + ".join(["0.0", *(f"a[{j}] * r[{p + 1 - j}]" for j in range(1, p))])
+        coefs = ", ".join([*(f"a[{j}] - k * a[{p - j}]" for j in range(1, p)), "k"])
+        steps.append(f"l{p} AS (SELECT {KEY}, r, [{coefs}] AS a, v * (1 - k * k) AS v FROM (SELECT *, (r[{p + 1}] - ({matched})) / v AS k FROM l{p - 1}))")
+    every = " UNION ALL ".join(f"SELECT {KEY}, {p} AS p, 256 * ln(greatest(v, 1e-30)) + 2 * {p + 1} AS aic FROM l{p}" for p in range(most + 1))
+    return f"{', '.join(steps)}, orders AS ({every})"
+
+
 def plain_workers(parts: str = "") -> str:
     """Forecasts and hold-out confidences of the last value, the last day and the mean."""
     return f"""
@@ -163,6 +174,7 @@ ORACLES: dict[str, str] = {
     "ar1_yule_walker": query(f"SELECT {KEY}, round(a, 8) AS coef, round(intercept, 6) AS intercept FROM ar", HOURLY, W, COV, AR1),
     "ar_fitted": query(f"SELECT c.series_id, c.window_start, c.i, round(coalesce(intercept + a * lag(c.y) OVER (PARTITION BY c.series_id, c.window_start ORDER BY c.i), 0), 5) AS fitted FROM cen c JOIN ar USING ({KEY})", HOURLY, W, COV, AR1),
     "ar_recursive_forecast": query(f"SELECT r.series_id, r.window_start, h, round(intercept * (1 - a ** (h + 1)) / (1 - a) + a ** (h + 1) * y, 5) AS value FROM ar r JOIN (SELECT {KEY}, y FROM ctx WHERE i = 511) USING ({KEY}), (SELECT CAST(unnest(range(0, 96)) AS INTEGER) AS h)", HOURLY, W, COV, AR1),
+    "ar_order_histogram": query(f"SELECT p, count(*) AS count, count(*) / sum(count(*)) OVER () AS share FROM (SELECT CAST(arg_min(p, aic) AS INTEGER) AS p FROM orders GROUP BY {KEY}) GROUP BY p", HOURLY, W, COV, ar_orders()),
     "ewma_error": query("SELECT series_id, round(list_reduce(list(abs(y - before) ORDER BY t), lambda e, x: 0.1 * x + 0.9 * e, 0.0::DOUBLE), 6) AS ewma FROM (SELECT *, lag(y) OVER (PARTITION BY series_id ORDER BY t) AS before FROM series) WHERE before IS NOT NULL GROUP BY 1"),
     "recent_errors": query("SELECT series_id, t, round(sqrt(avg((y - before) ** 2) OVER (PARTITION BY series_id ORDER BY t ROWS BETWEEN 49 PRECEDING AND CURRENT ROW)), 5) AS rmse50 FROM (SELECT *, lag(y) OVER (PARTITION BY series_id ORDER BY t) AS before FROM series) WHERE before IS NOT NULL"),
     "confidence_weights": query(f"SELECT c.series_id, c.window_start, c.worker, round(mse, 3) AS mse, errors, round(confidence, 8) AS confidence, round(coalesce(p, 0), 8) AS weight FROM conf c LEFT JOIN weight w ON c.series_id = w.series_id AND c.window_start = w.window_start AND c.worker = w.worker", HOURLY, W, plain_workers()),

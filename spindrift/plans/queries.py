@@ -379,14 +379,12 @@ def ar_recursive_forecast(spark, sf_dir):
 
 
 def one_step_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    before = F.lag("y").over(Window.partitionBy("series_id").orderBy("t"))
-    return S.hourly_events(spark, sf_dir).withColumn("error", F.col("y") - before).where("error is not null")
+    return W.with_previous(S.hourly_events(spark, sf_dir)).withColumn("error", F.col("y") - F.col("before"))
 
 
 @registered
 def ewma_error(spark, sf_dir):
-    errors = F.transform(F.array_sort(F.collect_list(F.struct("t", "error"))), lambda x: x["error"])
-    return rounded(one_step_errors(spark, sf_dir).groupBy("series_id").agg(errors.alias("errors")).select("series_id", E.ewma(F.col("errors"), F.lit(0.0)).alias("ewma")), ewma=6)
+    return rounded(statistics.ewma_last(one_step_errors(spark, sf_dir), ["series_id"], "error"), ewma=6)
 
 
 @registered

@@ -281,3 +281,14 @@ def test_bucket_stream(spark, tmp_path):
     query.awaitTermination()
     got = spark.table("bucketed").collect()
     assert got and all(r.y == 6.0 for r in got)
+
+
+def test_ewma_without_order(spark):
+    y = noisy(120)
+    rows = W.with_previous(frame(spark, a=y, b=[5.0], c=[1.0, 3.0]))
+    assert rows.groupBy("series_id").count().collect() and rows.where("series_id = 'b'").count() == 0
+    got = {r.series_id: r.ewma for r in statistics.ewma_last(rows.withColumn("error", F.col("y") - F.col("before")), ["series_id"], "error").collect()}
+    want = 0.0
+    for x in np.abs(np.diff(y)):
+        want = 0.1 * x + 0.9 * want
+    assert abs(got["a"] - want) < 1e-9 and abs(got["c"] - 0.2) < 1e-12
