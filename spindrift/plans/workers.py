@@ -150,8 +150,11 @@ def with_variance(df: DataFrame) -> DataFrame:
     return centred.withColumn("variance", F.aggregate("y", F.lit(0.0), lambda s, x: s + F.pow(x - F.col("mean"), F.lit(2))) / F.size("y")).drop("mean")
 
 
-def confidences(windows: DataFrame, keys: list[str], workers: dict[str, Worker]) -> DataFrame:
-    """(keys, worker, mse, errors, confidence) from forecasts of what follows the first three quarters."""
+def held_out(windows: DataFrame, keys: list[str], workers: dict[str, Worker]) -> DataFrame:
+    """(keys, worker, variance, h, error): squared errors of forecasts of what follows the first three quarters.
+
+    A window with nothing held out has one row without an error; one that is too short for a worker has none.
+    """
     out = None
     base = with_variance(windows.select(*keys, "y"))
     for name, w in workers.items():
@@ -160,25 +163,40 @@ def confidences(windows: DataFrame, keys: list[str], workers: dict[str, Worker])
         held = ready.select(*keys, "variance", F.slice("y", 1, F.col("cut")).alias("y"), F.least(F.lit(HOLD_OUT), F.size("y") - F.col("cut")).alias("horizon"), F.slice("y", F.col("cut") + 1, F.lit(HOLD_OUT)).alias("after"))
         carried = [*keys, "variance", "after"]
         predicted = (w.rehearse or w.predict)(held.where("horizon > 0"), carried)
-        error = F.pow(F.get("after", F.col("h")) - F.col("value"), F.lit(2))
-        scored = predicted.groupBy(*keys, "variance").agg(F.avg(error).alias("mse"), F.count(F.lit(1)).alias("errors"))
-        # a window with nothing held out keeps the prior
-        none = held.where("horizon = 0").select(*keys, "variance", F.lit(0.0).alias("mse"), F.lit(0).cast("long").alias("errors"))
-        part = scored.unionByName(none).select(*keys, F.lit(name).alias("worker"), "mse", "errors", E.confidence(F.col("mse"), F.col("variance"), F.col("errors")).alias("confidence"))
+        scored = predicted.select(*keys, "variance", F.col("h").cast("int").alias("h"), F.pow(F.get("after", F.col("h")) - F.col("value"), F.lit(2)).alias("error"))
+        none = held.where("horizon = 0").select(*keys, "variance", F.lit(0).alias("h"), F.lit(None).cast("double").alias("error"))
+        part = scored.unionByName(none).withColumn("worker", F.lit(name))
         out = part if out is None else out.unionByName(part)
-    return out
+    return out.select(*keys, "worker", "variance", "h", "error")
 
 
-def worker_forecasts(windows: DataFrame, keys: list[str], horizon: int, workers: dict[str, Worker] | None = None) -> DataFrame:
-    """(keys, worker, ord, h, value, confidence) of every worker that has enough values."""
-    workers = DEFAULT if workers is None else workers
+def confidences(windows: DataFrame, keys: list[str], workers: dict[str, Worker]) -> DataFrame:
+    """(keys, worker, mse, errors, confidence) from held-out errors; a window with none keeps the prior."""
+    scored = held_out(windows, keys, workers).groupBy(*keys, "worker", "variance").agg(F.coalesce(F.avg("error"), F.lit(0.0)).alias("mse"), F.count("error").alias("errors"))
+    return scored.select(*keys, "worker", "mse", "errors", E.confidence(F.col("mse"), F.col("variance"), F.col("errors")).alias("confidence"))
+
+
+def predictions(windows: DataFrame, keys: list[str], horizon: int, workers: dict[str, Worker] | None = None) -> DataFrame:
+    """(keys, worker, ord, h, value, weight) of every worker that has enough values."""
     out = None
-    for i, (name, w) in enumerate(workers.items()):
+    for i, (name, w) in enumerate((DEFAULT if workers is None else workers).items()):
         ready = windows.select(*keys, "y").where(F.size("y") >= w.least).withColumn("horizon", F.lit(horizon))
         part = w.predict(ready, keys).select(*keys, F.lit(name).alias("worker"), F.lit(i).alias("ord"), "h", "value", "weight")
         out = part if out is None else out.unionByName(part)
-    trusted = confidences(windows, keys, workers).select(*keys, "worker", "confidence")
-    return out.join(trusted, [*keys, "worker"]).select(*keys, "worker", "ord", "h", "value", (F.col("confidence") * F.col("weight")).alias("confidence"))
+    return out
+
+
+def trusted(forecasts: DataFrame, confidence: DataFrame, on: list[str]) -> DataFrame:
+    """Predictions with their workers' confidences in the place of the weights."""
+    keys = [c for c in forecasts.columns if c not in ("worker", "ord", "h", "value", "weight")]
+    return forecasts.join(confidence, [*on, "worker"]).select(*keys, "worker", "ord", "h", "value", (F.col("confidence") * F.col("weight")).alias("confidence"))
+
+
+def worker_forecasts(windows: DataFrame, keys: list[str], horizon: int, workers: dict[str, Worker] | None = None) -> DataFrame:
+    """(keys, worker, ord, h, value, confidence) of every worker that has enough values."""
+    workers = DEFAULT if workers is None else workers
+    found = confidences(windows, keys, workers).select(*keys, "worker", "confidence")
+    return trusted(predictions(windows, keys, horizon, workers), found, keys)
 
 
 def signal_of(windows: DataFrame, keys: list[str]) -> DataFrame:

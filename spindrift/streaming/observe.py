@@ -4,7 +4,8 @@ Every micro-batch hands a series its new rows in order of t. As long as a worker
 remembers them; when it has enough it is fitted once, and from then on each value first scores the last
 one-step prediction and then makes the next (refit="batch" fits again with every micro-batch instead and
 renews its confidence on held-out values). State is arrays and numbers in the state store, so a restart or a
-lost executor goes on from the last checkpoint.
+lost executor goes on from the last checkpoint. A worker that is fitted once keeps only the values its lags
+reach, so its state and the work for each value do not grow with the stream.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from ..functions import kernels as K
 OUTPUT = "series_id string, t int, y double, predicted double, confidence double, n long"
 ERRORS = 50
 LAGS, LEAST = 24, 48
-STATE = "history array<double>, coef array<double>, errors array<double>, last double, variance double, ewma double, sigma_max double"
+STATE = "seen long, history array<double>, coef array<double>, errors array<double>, last double, variance double, ewma double, sigma_max double"
 
 
 class Model:
@@ -29,7 +30,7 @@ class Model:
 
     def __init__(self, noisy: bool = False, refit: str = "once", max_history: int | None = None):
         self.noisy, self.refit, self.max_history = noisy, refit, max_history
-        self.history: list[float] = []
+        self.seen, self.history = 0, []
         self.coef: list[float] = []
         self.errors: list[float] = []
         self.last, self.variance, self.ewma, self.sigma_max = float("nan"), 1.0, 0.0, 1.0
@@ -56,9 +57,12 @@ class Model:
             if not self.coef:
                 self.fit()
             self.last = self.step()
+            if self.refit == "once":
+                self.history = self.history[-LAGS:]
         return self.last
 
     def remember(self, values: list[float]) -> None:
+        self.seen += len(values)
         self.history.extend(values)
         if self.max_history:
             self.history = self.history[-max(self.max_history, LEAST) :]
@@ -92,7 +96,7 @@ class Observer(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         m = Model(*self.options)
         if self.state.exists():
-            history, coef, errors, m.last, m.variance, m.ewma, m.sigma_max = self.state.get()
+            m.seen, history, coef, errors, m.last, m.variance, m.ewma, m.sigma_max = self.state.get()
             m.history, m.coef, m.errors = list(history), list(coef), list(errors)
         new = pd.concat(list(rows)).sort_values("t", kind="stable")
         if m.refit == "batch":
@@ -102,8 +106,8 @@ class Observer(StatefulProcessor):
                 predicted[-1] = m.step()
         else:
             predicted = [m.observe(v) for v in new["y"].tolist()]
-        self.state.update((m.history, m.coef, m.errors, m.last, m.variance, m.ewma, m.sigma_max))
-        yield pd.DataFrame({"series_id": key[0], "t": new["t"].astype("int32"), "y": new["y"], "predicted": predicted, "confidence": m.confidence() if m.coef else 0.0, "n": len(m.history)})
+        self.state.update((m.seen, m.history, m.coef, m.errors, m.last, m.variance, m.ewma, m.sigma_max))
+        yield pd.DataFrame({"series_id": key[0], "t": new["t"].astype("int32"), "y": new["y"], "predicted": predicted, "confidence": m.confidence() if m.coef else 0.0, "n": m.seen})
 
     def close(self) -> None:
         pass
@@ -122,6 +126,6 @@ def replay(series: DataFrame, noisy: bool = False) -> DataFrame:
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows, m = rows.sort_values("t"), Model(noisy)
         predicted = [m.observe(v) for v in rows["y"].tolist()]
-        return pd.DataFrame({"series_id": rows["series_id"], "t": rows["t"].astype("int32"), "y": rows["y"], "predicted": predicted, "confidence": m.confidence() if m.coef else 0.0, "n": len(m.history)})
+        return pd.DataFrame({"series_id": rows["series_id"], "t": rows["t"].astype("int32"), "y": rows["y"], "predicted": predicted, "confidence": m.confidence() if m.coef else 0.0, "n": m.seen})
 
     return series.groupBy("series_id").applyInPandas(run, OUTPUT)
