@@ -9,25 +9,31 @@ from pyspark.sql import functions as F
 
 from ..functions.expressions import aic
 from .statistics import robust_noise
+from .windows import BLOCK, framed, lengths, running, with_previous
 
 
-def shift_candidates(series: DataFrame, window: int = 21, min_sigma: float | None = None) -> DataFrame:
+def shift_candidates(series: DataFrame, window: int = 21, min_sigma: float | None = None, block: int = BLOCK) -> DataFrame:
     """(series_id, index, magnitude, threshold, iqr) of steps that may be lasting jumps.
 
     A step counts if it exceeds a multiple of the robust noise of steps that grows with their kurtosis, if the
     last step that counted is at least half a window back; its magnitude is the difference of the medians
-    beside it. Series shorter than two windows have none.
+    beside it. Series shorter than two windows have none. Which of two near steps counts is settled within
+    a run of excesses closer than that; a step with none so close before it always counts and starts a run.
     """
     window += window % 2 == 0
-    in_order = Window.partitionBy("series_id").orderBy("t")
-    steps = series.withColumn("step", F.lead("y").over(in_order) - F.col("y")).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("series_id"))).where((F.col("n") >= 2 * window) & F.col("step").isNotNull())
+    gap = max(window // 2, 3)
+    steps = with_previous(series).select("series_id", (F.col("t") - 1).alias("t"), (F.col("y") - F.col("before")).alias("step"))
+    steps = steps.join(lengths(series), "series_id").where(F.col("n") >= 2 * window)
     noise = robust_noise(steps, ["series_id"], "step").where(F.col("mad") >= 1e-10)
     sigma = F.lit(float(min_sigma)) if min_sigma is not None else F.least(3.0 + F.sqrt("excess_kurtosis"), F.lit(10.0))
-    over = steps.join(noise.select("series_id", (sigma * F.col("mad") / 0.6745).alias("threshold")), "series_id").where(F.abs("step") > F.col("threshold"))
-    gap = max(window // 2, 3)
+    steps = steps.join(noise.select("series_id", (sigma * F.col("mad") / 0.6745).alias("threshold")), "series_id")
+    steps = steps.withColumn("over", F.when(F.abs("step") > F.col("threshold"), F.col("t")))
+    steps = framed(steps, ["series_id"], gap, 0, lambda frame: {"near": F.count("over").over(frame.rowsBetween(1 - gap, -1))}, block=block)
+    starts = steps.withColumn("start", F.when(F.col("over").isNotNull() & (F.col("near") == 0), F.col("t")))
+    over = running(starts, ["series_id"], "start", "run", "last", block=block).where("over is not null")
     last = F.struct(F.array().cast("array<int>").alias("kept"), F.lit(-gap - 1).alias("last"))
     kept = F.aggregate("places", last, lambda s, p: F.when(p - s["last"] >= gap, F.struct(F.concat(s["kept"], F.array(p)).alias("kept"), p.alias("last"))).otherwise(s))["kept"]
-    candidates = over.groupBy("series_id", "n", "threshold").agg(F.array_sort(F.collect_list("t")).alias("places")).select("series_id", "n", "threshold", F.explode(kept).alias("cp"))
+    candidates = over.groupBy("series_id", "n", "threshold", "run").agg(F.array_sort(F.collect_list("t")).alias("places")).select("series_id", "n", "threshold", F.explode(kept).alias("cp"))
     candidates = candidates.withColumn("win", F.least(F.lit(window), F.col("cp"), F.col("n") - F.col("cp") - 1).cast("int")).where("win >= 3")
     # each candidate meets the rows beside it by equality on the series and place, not by range
     beside = candidates.select("series_id", "cp", "threshold", F.explode(F.sequence(F.col("cp") - F.col("win"), F.col("cp") + F.col("win"))).alias("t")).where("t <> cp")
@@ -46,11 +52,11 @@ def level_shifts(series: DataFrame, window: int = 21, min_sigma: float | None =
     return found.where(F.abs("magnitude") >= F.greatest("threshold", "iqr")).select("series_id", "index", "magnitude")
 
 
-def without_shifts(series: DataFrame, shifts: DataFrame) -> DataFrame:
+def without_shifts(series: DataFrame, shifts: DataFrame, block: int = BLOCK) -> DataFrame:
     """Rows with the running sum of shifts as `shift` and y less it as `cleaned`."""
     at = shifts.select("series_id", F.col("index").alias("t"), "magnitude")
-    running = F.sum(F.coalesce("magnitude", F.lit(0.0))).over(Window.partitionBy("series_id").orderBy("t").rowsBetween(Window.unboundedPreceding, 0))
-    return series.join(at, ["series_id", "t"], "left").withColumn("shift", running).withColumn("cleaned", F.col("y") - F.col("shift")).drop("magnitude")
+    joined = running(series.join(at, ["series_id", "t"], "left"), ["series_id"], "magnitude", "shift", block=block)
+    return joined.withColumn("cleaned", F.col("y") - F.col("shift")).drop("magnitude")
 
 
 def first_shock(rows: DataFrame, keys: Sequence[str], noise: str, min_sigma: float = 2.0, lookback: int | None = None, at: str = "t", delta: str = "delta") -> DataFrame:

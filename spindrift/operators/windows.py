@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable, Sequence
+
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 KEY = ["series_id", "window_start"]
+#: Places of a long series that one task puts in order.
+BLOCK = 65_536
 
 
 def split_ends(n: int, train: float | int, val: float | int) -> tuple[int, int]:
@@ -82,6 +86,37 @@ def with_previous(rows: DataFrame, at: str = "t", value: str = "y") -> DataFrame
     return met.where(F.col(value).isNotNull() & F.col("before").isNotNull())
 
 
+def framed(rows: DataFrame, keys: Sequence[str], before: int, after: int, make: Callable[[WindowSpec], dict[str, Column]], at: str = "t", block: int = BLOCK) -> DataFrame:
+    """Rows with the columns that make(frame) gives, the frame being `before` rows back to `after` rows ahead.
+
+    For rows without gaps in `at`. A series is put in order block by block: a row also goes to the neighbouring
+    blocks whose frames reach it.
+    """
+    place = F.floor(F.col(at) / block)
+    blocks = F.sequence(F.floor((F.col(at) - after) / block), F.floor((F.col(at) + before) / block))
+    sent = rows.withColumn("__block", F.explode(blocks))
+    frame = Window.partitionBy(*keys, "__block").orderBy(at).rowsBetween(-before, after)
+    return sent.withColumns(make(frame)).where(F.col("__block") == place).drop("__block")
+
+
+def running(rows: DataFrame, keys: Sequence[str], column: str, out: str, how: str = "sum", at: str = "t", block: int = BLOCK) -> DataFrame:
+    """Rows with the sum (0 where there is nothing) or the last value (`how` is `last`) of a column up to each row, nulls left out.
+
+    Blocks are put in order apart, and what is before a block comes from one row for each block.
+    """
+    place = F.floor(F.col(at) / block)
+    sums = how == "sum"
+    inside = (F.sum(column) if sums else F.last(column, ignorenulls=True)).over(Window.partitionBy(*keys, "__block").orderBy(at).rowsBetween(Window.unboundedPreceding, 0))
+    end = F.sum(column) if sums else F.max_by(column, F.when(F.col(column).isNotNull(), F.col(at)))
+    earlier = Window.partitionBy(*keys).orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
+    ends = rows.groupBy(*keys, place.alias("__block")).agg(end.alias("__end"))
+    carried = ends.select(*keys, "__block", (F.sum("__end") if sums else F.last("__end", ignorenulls=True)).over(earlier).alias("__before"))
+    zero = F.lit(0.0)
+    value = F.coalesce("__inside", zero) + F.coalesce("__before", zero) if sums else F.coalesce("__inside", "__before")
+    parts = rows.withColumn("__block", place).withColumn("__inside", inside).join(carried, [*keys, "__block"], "left")
+    return parts.withColumn(out, value).drop("__block", "__inside", "__before")
+
+
 def finite(y: Column) -> Column:
     return y.isNotNull() & ~F.isnan(y) & (F.abs(y) != float("inf"))
 

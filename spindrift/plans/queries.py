@@ -16,6 +16,7 @@ from ..operators import windows as W
 from ..sources import csv_files
 from ..sources import series as S
 from ..sources.scratch import new_path, stored
+from ..streaming import ensemble as streaming
 from ..streaming import observe
 from . import backtest, decompose, workers
 
@@ -177,8 +178,7 @@ def residual_quantiles(spark, sf_dir):
 
 @registered
 def robust_noise(spark, sf_dir):
-    in_order = Window.partitionBy("series_id").orderBy("t")
-    steps = S.hourly_events(spark, sf_dir).withColumn("step", F.lead("y").over(in_order) - F.col("y")).where("step is not null")
+    steps = W.with_previous(S.hourly_events(spark, sf_dir)).withColumn("step", F.col("y") - F.col("before"))
     return rounded(statistics.robust_noise(steps, ["series_id"], "step"), middle=6, mad=6, excess_kurtosis=6)
 
 
@@ -302,8 +302,8 @@ def classical_decomposition(spark, sf_dir):
 @registered
 def trend_tail(spark, sf_dir):
     rows = seasonal.moving_average(S.hourly_events(spark, sf_dir), ["series_id"], 24).where("trend is not null")
-    by = Window.partitionBy("series_id")
-    tail = rows.withColumn("rk", F.row_number().over(by.orderBy(F.desc("t")))).withColumn("m", F.count(F.lit(1)).over(by)).where(F.col("rk") <= F.greatest(F.lit(20), F.floor(F.col("m") / 4)))
+    ends = rows.groupBy("series_id").agg(F.max("t").alias("end"), F.count(F.lit(1)).alias("m"))
+    tail = rows.join(ends, "series_id").where(F.col("t") > F.col("end") - F.greatest(F.lit(20), F.floor(F.col("m") / 4)))
     return rounded(tail.groupBy("series_id").agg(F.regr_slope("trend", "t").alias("slope"), F.regr_intercept("trend", "t").alias("intercept"), F.count(F.lit(1)).alias("n")), slope=6, intercept=3)
 
 
@@ -389,8 +389,8 @@ def ewma_error(spark, sf_dir):
 
 @registered
 def recent_errors(spark, sf_dir):
-    last = Window.partitionBy("series_id").orderBy("t").rowsBetween(-49, 0)
-    return rounded(one_step_errors(spark, sf_dir).select("series_id", "t", F.sqrt(F.avg(F.col("error") * F.col("error")).over(last)).alias("rmse50")), rmse50=5)
+    mean = lambda frame: {"rmse50": F.sqrt(F.avg(F.col("error") * F.col("error")).over(frame))}
+    return rounded(W.framed(one_step_errors(spark, sf_dir), ["series_id"], 49, 0, mean).select("series_id", "t", "rmse50"), rmse50=5)
 
 
 @registered
@@ -602,17 +602,25 @@ def streaming_observation(spark, sf_dir):
     """The streaming operator itself over the stored hourly series, run until it has read them all."""
     source, out, state = (new_path(spark, f"observe-{x}") for x in ("in", "out", "state"))
     S.hourly_events(spark, sf_dir).write.parquet(source)
-    provider = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(provider)
-    spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    try:
-        stream = observe.observe(spark.readStream.schema("series_id string, t int, y double").parquet(source))
-        stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
-    finally:
-        spark.conf.set(provider, before)
+    stream = observe.observe(streaming.stateful_session(spark).readStream.schema("series_id string, t int, y double").parquet(source))
+    stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(observe.OUTPUT).parquet(out)
 
 
+@registered
+def streaming_ensemble(spark, sf_dir):
+    """The blend of all workers behind each of two micro-batches, which hold the halves of every hourly series."""
+    source, out = (new_path(spark, f"ensemble-{x}") for x in ("in", "out"))
+    series = S.hourly_events(spark, sf_dir)
+    half = series.join(W.lengths(series), "series_id").withColumn("first", F.col("t") < F.col("n") / 2)
+    for first in (True, False):
+        # one file is one micro-batch here; a stream takes as many as there are
+        half.where(F.col("first") == first).select("series_id", "t", "y").coalesce(1).write.mode("append").parquet(source)
+    stream = streaming.stateful_session(spark).readStream.schema("series_id string, t int, y double").option("maxFilesPerTrigger", 1).parquet(source)
+    streaming.start(stream, out, H).awaitTermination()
+    return streaming.forecasts(spark, out)
+
+
 @registered
 def nation_ensemble(spark, sf_dir):
     """Blended forecasts of every rolling window of every nation's daily orders, by AR, decomposition and resonance."""

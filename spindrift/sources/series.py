@@ -6,10 +6,12 @@ aggregate, which combines on the map side first, and of the join to the grid; no
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.windows import running
+
 HOUR, DAY = 3600, 86400
 FILLS = ("zero", "forward", "none")
 
@@ -38,8 +40,7 @@ def from_events(df: DataFrame, series: Column, bucket: Column, value: Column, ag
     if fill == "zero":
         return out.withColumn("y", F.coalesce("y", F.lit(0.0)))
     if fill == "forward":
-        before = Window.partitionBy("series_id").orderBy("t").rowsBetween(Window.unboundedPreceding, 0)
-        return out.withColumn("y", F.last("y", ignorenulls=True).over(before))
+        return running(out, ["series_id"], "y", "filled", "last").select("series_id", "t", F.col("filled").alias("y"))
     return out
 
 
