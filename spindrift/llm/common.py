@@ -100,6 +100,26 @@ def join_hot(left: DataFrame, right: DataFrame, key: str, weight: str) -> DataFr
     return done.unionByName(rest)
 
 
+#: Parts that join_salted() deals a hot key of its left side to, at most.
+SALTS = 256
+
+
+def join_salted(left: DataFrame, right: DataFrame, key: str, counts: DataFrame) -> DataFrame:
+    """Left join on `key` where `right` has one row for each key; `counts` has (key, n) with the rows of `left`.
+
+    The rows of the HOT_KEYS commonest keys are dealt to up to SALTS parts, to each of which the one row of
+    `right` is sent as well. Both sides are read once, and what is broadcast is HOT_KEYS keys.
+    """
+    salts = min(SALTS, shuffle_partitions(left.sparkSession))
+    hot = F.broadcast(counts.where("n > 1").orderBy(F.desc("n"), key).limit(HOT_KEYS).select(key, F.lit(True).alias("__sd_hot")))
+    some = left.join(hot, key, "left")
+    # the place within a salt follows from the row itself, so that a task that runs again deals alike
+    some = some.withColumn("__sd_salt", F.when(F.col("__sd_hot"), F.pmod(F.xxhash64(*left.columns), F.lit(salts))).otherwise(F.lit(0)).cast("int"))
+    each = F.when(F.col("__sd_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+    dealt = right.join(hot, key, "left").withColumn("__sd_salt", F.explode(each)).drop("__sd_hot")
+    return some.drop("__sd_hot").join(dealt, [key, "__sd_salt"], "left").drop("__sd_salt")
+
+
 #: Rows of a few numbers that few() lets be sent to every executor: a few MB.
 FEW_ROWS = 200_000
 

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import tokens
-from .common import shuffle_partitions, slices
+from .common import join_salted, shuffle_partitions, slices
 
 END_ID = 2
 #: Chunks: ids that the rolling hash sees, ids in the mean, at least and at most.
@@ -252,7 +252,9 @@ def read_store(spark: SparkSession, path: str) -> DataFrame:
     # the manifest has one row for each part, as many as there were shuffle partitions
     placed = recipes.join(F.broadcast(manifest.select("part", "first_id")), "part")
     wanted = placed.select("part", "place", "doc_id", (F.col("first_id") + F.col("local_start")).alias("start"), "n_tokens", "root", "chunks", "sizes").mapInArrow(refs, REF_SCHEMA)
-    joined = wanted.join(checked_chunks(spark, path), "digest", "left")
+    # the chunk of empty texts, or of a passage in a third of all documents, is wanted very often
+    uses = recipes.select(F.explode("chunks").alias("digest")).groupBy("digest").agg(F.count(F.lit(1)).alias("n"))
+    joined = join_salted(wanted, checked_chunks(spark, path), "digest", uses)
 
     def contribute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

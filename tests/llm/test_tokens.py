@@ -3,9 +3,10 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from spindrift.llm import packing, token_counts, token_store, tokens
+from spindrift.llm import common, packing, token_counts, token_store, tokens
 
 
 @pytest.fixture(scope="module")
@@ -163,6 +164,28 @@ def test_store_finds_damage(spark, tmp_path):
         token_store.read_store(spark, path).collect()
 
 
+def test_join_of_hot_keys(spark):
+    """Every row once and with its match, though one key has two thirds of the rows; keys without a match stay."""
+    keys = ["hot"] * 600 + [f"k{i % 50}" for i in range(300)] + [None] * 5
+    left = spark.createDataFrame([(k, i) for i, k in enumerate(keys)], "key string, i int")
+    right = spark.createDataFrame([("hot", 7)] + [(f"k{i}", i) for i in range(40)], "key string, value int")
+    counts = left.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    got = sorted(map(tuple, common.join_salted(left, right, "key", counts).select("i", "key", "value").collect()))
+    assert got == [(i, k, 7 if k == "hot" else int(k[1:]) if k and int(k[1:]) < 40 else None) for i, k in enumerate(keys)]
+
+
+def test_store_of_one_chunk_in_most_documents(spark, library, tmp_path):
+    df = spark.createDataFrame([(i, "" if i % 3 else f"text {i}") for i in range(300)], "doc_id long, text string")
+    token_store.write_store(df, str(tmp_path / "store"))
+    got = sorted((r.doc_id, r.start, r.n_tokens, r.ids_crc32) for r in token_store.read_store(spark, str(tmp_path / "store")).collect())
+    start, want = 0, []
+    for i in range(300):
+        ids = np.array([*library("" if i % 3 else f"text {i}").ids, 2], "<u4")
+        want.append((i, start, len(ids), zlib.crc32(ids.tobytes())))
+        start += len(ids)
+    assert got == want
+
+
 def test_store_of_nothing(spark, empty, tmp_path):
     token_store.write_store(empty, str(tmp_path / "store"))
     assert token_store.read_store(spark, str(tmp_path / "store")).count() == 0
