@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from ..functions.kernels import DB4
+
 
 def series_sql(table: str, key: str, bucket: str, value: str) -> str:
     return f"""
@@ -127,6 +129,22 @@ TRENDS = f"""
             UNION ALL SELECT {KEY}, 'linear', 1, l1/255.5, l0 - l1, 0.0, r1, 512*ln(r1/512) + 2*ln(512) FROM r
             UNION ALL SELECT {KEY}, 'quadratic', 2, q2/255.5**2, (q1 - 2*q2)/255.5, q0 - q1 + q2, r2, 512*ln(r2/512) + 3*ln(512) FROM r)"""
 
+def wavelet_energy(n: int = 64, levels: int = 3) -> str:
+    """Sums of products with the filters of each level, whose ends are mirrored; the coarsest scale comes first."""
+    low = DB4.tolist()
+    taps = ", ".join(f"({j}, {low[j]!r}, {(-1) ** (j + 1) * low[7 - j]!r})" for j in range(8))
+    steps = [f"taps(j, low, high) AS (VALUES {taps})", "x0 AS (SELECT CAST(vec_id AS VARCHAR) AS series_id, u.i, CAST(embedding[u.i + 1] AS DOUBLE) AS v FROM embeddings, (SELECT unnest(range(0, 64)) AS i) u)"]
+    for k in range(1, levels + 1):
+        size = (n + 7) // 2
+        mirrored = f"CASE WHEN 2*o.i + j < 6 THEN 5 - 2*o.i - j WHEN 2*o.i + j - 6 >= {n} THEN {2 * n + 5} - 2*o.i - j ELSE 2*o.i + j - 6 END"
+        steps.append(f"x{k} AS (SELECT series_id, o.i, sum(low * v) AS v, sum(high * v) AS d FROM (SELECT unnest(range(0, {size})) AS i) o, taps, x{k - 1} WHERE x{k - 1}.i = {mirrored} GROUP BY series_id, o.i)")
+        n = size
+    scales = [f"SELECT series_id, 0 AS scale, sum(v * v) AS e FROM x{levels} GROUP BY 1"]
+    scales += [f"SELECT series_id, {levels + 1 - k}, sum(d * d) FROM x{k} GROUP BY 1" for k in range(levels, 0, -1)]
+    steps += [f"energy AS ({' UNION ALL '.join(scales)})", "whole AS (SELECT series_id, sum(v * v) AS total FROM x0 GROUP BY 1)"]
+    return f"WITH {', '.join(steps)} SELECT series_id, CAST(scale AS INTEGER) AS scale, round(e / CASE WHEN total = 0 THEN 1.0 ELSE total END, 7) AS energy_fraction FROM energy JOIN whole USING (series_id)"
+
+
 ORACLES: dict[str, str] = {
     "hourly_series": query("SELECT series_id, t, round(y, 6) AS y FROM series"),
     "daily_series": query("SELECT series_id, t, round(y, 4) AS y FROM series", DAILY),
@@ -182,4 +200,5 @@ ORACLES: dict[str, str] = {
         FROM (SELECT *, greatest((d + 0.5 * md) * sqrt(1 + h / 512.0) * 1.28, 0.05 * signal_std * sqrt(1 + h / 512.0)) AS b FROM step JOIN spread USING ({KEY}, h) JOIN md USING ({KEY}) JOIN stat USING ({KEY}) JOIN top USING ({KEY})) s""", HOURLY, W, plain_workers()),
     "collapse_rate": query("SELECT series_id, count(*) AS n_windows, round(avg(CASE WHEN second IS NULL OR best / second > 2 THEN 1.0 ELSE 0.0 END), 6) AS collapse_rate FROM top GROUP BY 1", DAILY, W, plain_workers()),
     "forecast_report": query(f"SELECT {KEY}, printf('t+%3d: %.2f [%.2f, %.2f]', h, round(l.y, 6), round(l.y - sd, 6), round(l.y + sd, 6)) AS line FROM (SELECT {KEY}, h, any_value(predicted) AS y FROM pred GROUP BY ALL) l JOIN (SELECT {KEY}, stddev_pop(y) AS sd FROM ctx GROUP BY ALL) USING ({KEY}) WHERE h < 24", HOURLY, W, NAIVE),
+    "wavelet_energy": wavelet_energy(),
 }

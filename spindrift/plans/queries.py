@@ -424,6 +424,14 @@ def forecast_report(spark, sf_dir):
     return rows.select(*KEY, F.format_string("t+%3d: %.2f [%.2f, %.2f]", "h", y, F.round(F.col("predicted") - s, 6), F.round(F.col("predicted") + s, 6)).alias("line"))
 
 
+@registered
+def wavelet_energy(spark, sf_dir):
+    """Energy of each scale of the embedding vectors."""
+    vectors = S.embedding_series(spark, sf_dir).groupBy("series_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("t", "y"))), lambda x: x["y"]).alias("y"))
+    done = decompose.per_window(vectors, ["y"], "shares array<double>", lambda y: {"shares": K.wavelet(np.asarray(y, float))[1]})
+    return rounded(done.select("series_id", F.posexplode("shares").alias("scale", "energy_fraction")), energy_fraction=7)
+
+
 # What SQL cannot express: iterative fits, filter banks, seeded noise. Tests hold these against their definitions.
 
 
@@ -462,14 +470,6 @@ def local_ar(spark, sf_dir):
     return decompose.per_window(packed(spark, sf_dir), ["y"], "order int, coefficients array<double>, intercept double, aic double, residual_std double, window_size int", fitted).drop("y", "actual")
 
 
-@registered
-def wavelet_energy(spark, sf_dir):
-    """Energy of each scale of the embedding vectors."""
-    vectors = S.embedding_series(spark, sf_dir).groupBy("series_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("t", "y"))), lambda x: x["y"]).alias("y"))
-    done = decompose.per_window(vectors, ["y"], "shares array<double>", lambda y: {"shares": K.wavelet(np.asarray(y, float))[1]})
-    return done.select("series_id", F.posexplode("shares").alias("scale", "energy_fraction"))
-
-
 @registered
 def spectral_decompose(spark, sf_dir):
     """The whole decomposition of each window, summed up."""
