@@ -613,11 +613,12 @@ def streaming_ensemble(spark, sf_dir):
     source, out = (new_path(spark, f"ensemble-{x}") for x in ("in", "out"))
     series = S.hourly_events(spark, sf_dir)
     half = series.join(W.lengths(series), "series_id").withColumn("first", F.col("t") < F.col("n") / 2)
+    session = streaming.stateful_session(spark)
     for first in (True, False):
-        # one file is one micro-batch here; a stream takes as many as there are
-        half.where(F.col("first") == first).select("series_id", "t", "y").coalesce(1).write.mode("append").parquet(source)
-    stream = streaming.stateful_session(spark).readStream.schema("series_id string, t int, y double").option("maxFilesPerTrigger", 1).parquet(source)
-    streaming.start(stream, out, H).awaitTermination()
+        half.where(F.col("first") == first).select("series_id", "t", "y").write.mode("append").parquet(source)
+        # started again, the stream goes on from its checkpoint with the files that are new
+        stream = session.readStream.schema("series_id string, t int, y double").parquet(source)
+        streaming.start(stream, out, H).awaitTermination()
     return streaming.forecasts(spark, out)
 
 
