@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import string
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -77,6 +78,11 @@ def fresh_names(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def lowered(text: Column) -> Column:
+    """A-Z in lower case, nothing else."""
+    return F.translate(text, string.ascii_uppercase, string.ascii_lowercase)
+
+
 def crc_bucket(id_col: str, modulus: int) -> Column:
     """crc32 of the id written as text, modulo `modulus`; null ids count as the empty text."""
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % modulus

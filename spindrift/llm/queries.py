@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, exact_dedup, html_text, language_id, packing, quality, simhash, token_counts, token_store, toxicity
-from .common import crc_bucket, new_path, table
+from . import decontam, exact_dedup, html_text, language_id, merkle, packing, quality, simhash, token_counts, token_store, toxicity, url_filters, whitening
+from .common import crc_bucket, lowered, new_path, table
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,6 +66,28 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document a leaf, trees by language; every third id is verified with its text's A-Z in lower case."""
+    fields = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars")]
+    text = F.col("text")
+    forged = F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0, lowered(text)).otherwise(text)
+    return merkle.manifest(table(spark, sf_dir, "documents"), "doc_id", "lang", [*fields, text], [*fields, forged])
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Deviations are 64 bits wide in the contract: null where one is beyond them."""
+    return whitening.whitened(table(spark, sf_dir, "embeddings")).withColumn("deviation", F.col("deviation").try_cast("long"))
+
+
+#: Rules of op13: (host, beginning of the path, verdict).
+URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
+
+
+def op13_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.range(1).select(F.inline(F.array(*[F.struct(*[F.lit(x).alias(c) for c, x in zip(("host", "path", "verdict"), r, strict=True)]) for r in URL_RULES])))
+    return url_filters.judge(table(spark, sf_dir, "pages"), rules, keep=["page_id"])
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_simhash": op2_simhash,
@@ -77,4 +99,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_packing": op8_packing,
     "op9_html_text": op9_html_text,
     "op10_exact_dedup": op10_exact_dedup,
+    "op11_merkle": op11_merkle,
+    "op12_whitening": op12_whitening,
+    "op13_url_filters": op13_url_filters,
 }
