@@ -134,7 +134,8 @@ def manifest(df: DataFrame, id_col: str, group_col: str, leaf_values: Sequence[C
     """
     own = leaf(leaf_values)
     rows = df.select(group_key(F.col(group_col)).alias("g"), F.col(id_col).alias("id"), own.alias("digest"), (leaf(forged_values) if forged_values is not None else own).alias("forged"))
-    leaves = stored(numbered(rows, "g", ["id", "digest"], "merkle-rows"), "merkle-leaves")
+    # range partitioning reads its input twice: texts are hashed once, before it
+    leaves = stored(numbered(stored(rows, "merkle-hashes"), "g", ["id", "digest"], "merkle-rows"), "merkle-leaves")
     levels = grown(leaves.select("g", "idx", "n", "digest"), arity, "merkle")
     # the roots of the groups are the leaves of one more tree, whose only group is the empty text
     subroots = tops(levels).select(F.lit("").alias("g"), F.col("g").alias("group"), "digest")
