@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.expressions import aic
+from ..functions.expressions import aic, shock_value
+from ..sources.scratch import stored
+from .quantiles import exact_quantiles
 from .statistics import robust_noise
 from .windows import BLOCK, framed, lengths, running, with_previous
 
@@ -21,6 +23,7 @@ def shift_candidates(series: DataFrame, window: int = 21, min_sigma: float | Non
     a run of excesses closer than that; a step with none so close before it always counts and starts a run.
     """
     window += window % 2 == 0
+    series = stored(series.select("series_id", "t", "y"), "shift-series")
     gap = max(window // 2, 3)
     steps = with_previous(series).select("series_id", (F.col("t") - 1).alias("t"), (F.col("y") - F.col("before")).alias("step"))
     steps = steps.join(lengths(series), "series_id").where(F.col("n") >= 2 * window)
@@ -42,7 +45,7 @@ def shift_candidates(series: DataFrame, window: int = 21, min_sigma: float | Non
         .groupBy("series_id", "cp", "threshold")
         .agg(F.median(F.when(F.col("t") < F.col("cp"), F.col("y"))).alias("before"), F.median(F.when(F.col("t") > F.col("cp"), F.col("y"))).alias("after"))
     )
-    spread = series.groupBy("series_id").agg((F.percentile("y", 0.75) - F.percentile("y", 0.25)).alias("iqr"))
+    spread = exact_quantiles(series, ["series_id"], "y", {"q1": 0.25, "q3": 0.75}).select("series_id", (F.col("q3") - F.col("q1")).alias("iqr"))
     return medians.join(spread, "series_id").select("series_id", (F.col("cp") + 1).alias("index"), (F.col("after") - F.col("before")).alias("magnitude"), "threshold", "iqr")
 
 
@@ -60,17 +63,19 @@ def without_shifts(series: DataFrame, shifts: DataFrame, block: int = BLOCK) ->
 
 
 def first_shock(rows: DataFrame, keys: Sequence[str], noise: str, min_sigma: float = 2.0, lookback: int | None = None, at: str = "t", delta: str = "delta") -> DataFrame:
-    """(keys, onset, shape, magnitude, rate, aic): the shape of least AIC from the first excess on, if there is one."""
-    n = F.count(F.lit(1)).over(Window.partitionBy(*keys))
-    x = rows.select(*keys, F.col(at).alias("t"), F.col(delta).alias("d"), (min_sigma * F.greatest(F.col(noise), F.lit(1e-10))).alias("threshold")).withColumn("n", n)
+    """(keys, onset, shape, magnitude, rate, aic): the shape of least AIC from the first excess on, if there is one.
+
+    Sums and joins by key only, so a long series is neither gathered nor put in order.
+    """
+    x = rows.select(*keys, F.col(at).alias("t"), F.col(delta).alias("d"), (min_sigma * F.greatest(F.col(noise), F.lit(1e-10))).alias("threshold"))
+    x = x.join(x.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")), list(keys))
     inside = F.col("t") >= F.col("n") - lookback if lookback is not None else F.lit(True)
     size = F.when(inside, F.abs("d"))
     onset = x.groupBy(*keys, "n", "threshold").agg(F.min(F.when(size > F.col("threshold"), F.col("t"))).alias("over"), F.max(size).alias("most"), F.max(F.struct(size.alias("s"), (-F.col("t")).alias("t"))).alias("top"))
     onset = onset.where(F.col("most") >= F.col("threshold")).select(*keys, "n", F.coalesce("over", -F.col("top.t")).alias("onset"))
-    x = x.drop("n", "threshold").join(onset, list(keys)).withColumn("dt", (F.col("t") - F.col("onset")).cast("double"))
+    started = x.select(*keys, "t", "d").join(onset, list(keys)).where(F.col("t") == F.col("onset")).select(*keys, "n", "onset", F.col("d").alias("first"))
+    x = x.drop("n", "threshold").join(started, list(keys)).withColumn("dt", (F.col("t") - F.col("onset")).cast("double"))
     active = F.col("dt") >= 0
-    first = F.max(F.when(F.col("dt") == 0, F.col("d"))).over(Window.partitionBy(*keys))
-    x = x.withColumn("first", first)
     same = active & (F.signum("first") * F.col("d") > F.abs("first") * 0.01)
     log_d = F.when(same, F.log(F.greatest(F.abs("d"), F.lit(1e-30))))
     fits = x.groupBy(*keys, "n", "onset", "first").agg(
@@ -94,3 +99,23 @@ def first_shock(rows: DataFrame, keys: Sequence[str], noise: str, min_sigma: flo
     )
     best = F.array_min(options)
     return scored.select(*keys, "onset", best["shape"].alias("shape"), best["magnitude"].alias("magnitude"), best["rate"].alias("rate"), best["aic"].alias("aic"))
+
+
+def shock_passes(rows: DataFrame, keys: Sequence[str], noise: str, min_sigma: float = 2.0, lookback: int | None = None, at: str = "t", delta: str = "delta", most: int = 3) -> tuple[DataFrame, DataFrame]:
+    """(keys, rank, onset, shape, magnitude, rate, aic) of up to `most` shocks, and the rows less them.
+
+    Each pass takes the shock of least AIC out of what the passes before it left, whose noise stays that of the first; series without
+    one drop out. What is left is a written table for each pass.
+    """
+    keys = list(keys)
+    left = stored(rows.select(*keys, F.col(at).alias(at), F.col(delta).alias(delta), F.col(noise).alias(noise)), "shock-rows")
+    out = None
+    for rank in range(most):
+        found = stored(first_shock(left, keys, noise, min_sigma, lookback, at, delta), "shocks")
+        if out is not None and found.isEmpty():
+            break
+        part = found.select(*keys, F.lit(rank).alias("rank"), "onset", "shape", "magnitude", "rate", "aic")
+        out = part if out is None else out.unionByName(part)
+        gone = F.coalesce(shock_value(F.col("shape"), F.col("onset"), F.col("magnitude"), F.col("rate"), F.col(at).cast("double")), F.lit(0.0))
+        left = stored(left.join(found.select(*keys, "onset", "shape", "magnitude", "rate"), keys, "left").select(*keys, at, (F.col(delta) - gone).alias(delta), noise), "shock-rows")
+    return out, left

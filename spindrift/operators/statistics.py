@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expressions import recency_weight
+from ..sources.scratch import stored
+from .quantiles import exact_quantiles
 
 
 def detrend(rows: DataFrame, keys: Sequence[str], at: str = "t", value: str = "y") -> DataFrame:
@@ -41,9 +43,15 @@ def ewma_last(rows: DataFrame, keys: Sequence[str], value: str, at: str = "t", a
 
 
 def robust_noise(rows: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
-    """Median, median absolute deviation (or 0.6745 deviations where that vanishes), excess kurtosis floored at 0."""
-    middle = rows.groupBy(*keys).agg(F.median(value).alias("middle"), F.stddev_pop(value).alias("sd"), F.kurtosis(value).alias("kurt"))
-    mad = rows.join(middle, list(keys)).groupBy(*keys, "middle", "sd", "kurt").agg(F.median(F.abs(F.col(value) - F.col("middle"))).alias("mad"))
+    """Median, median absolute deviation (or 0.6745 deviations where that vanishes), excess kurtosis floored at 0.
+
+    The medians are exact and need no group in one task; `rows` is stored for that.
+    """
+    x = stored(rows.select(*keys, F.col(value).cast("double").alias("x")), "noise")
+    spread = x.groupBy(*keys).agg(F.stddev_pop("x").alias("sd"), F.kurtosis("x").alias("kurt"))
+    middle = stored(exact_quantiles(x, keys, "x", {"middle": 0.5}), "medians")
+    away = x.join(middle, list(keys)).select(*keys, F.abs(F.col("x") - F.col("middle")).alias("away"))
+    mad = spread.join(middle, list(keys)).join(exact_quantiles(away, keys, "away", {"mad": 0.5}), list(keys))
     return mad.select(*keys, "middle", F.when(F.col("mad") < 1e-10, F.col("sd") * 0.6745).otherwise(F.col("mad")).alias("mad"), F.greatest(F.coalesce("kurt", F.lit(0.0)), F.lit(0.0)).alias("excess_kurtosis"))
 
 

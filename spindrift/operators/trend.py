@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expressions import bic, recency_weight
+from ..sources.scratch import stored
 
 
 def weighted_trends(rows: DataFrame, keys: Sequence[str], n: int, halflife: float | None = None, at: str = "i", value: str = "y") -> DataFrame:
@@ -48,6 +49,52 @@ def weighted_trends(rows: DataFrame, keys: Sequence[str], n: int, halflife: floa
     return rss.select(*keys, F.inline(options))
 
 
+#: Rates of the exponential over the whole of a series: the first grid, the places of each later one, and rounds.
+RATES, FIRST_STEP, LATER, ROUNDS = 41, 0.5, 21, 5
+
+
+def exponential_trend(rows: DataFrame, keys: Sequence[str], n: int, halflife: float | None = None, at: str = "i", value: str = "y") -> DataFrame:
+    """(keys, trend_type, ord, a, b, c, rss, bic) of the weighted exponential a * exp(b * t) + c.
+
+    For a given rate the rest is a line in (exp(b * x) - 1) / b, so a grid of rates needs one pass of weighted sums; each round
+    lays a finer grid around the best rate, of equally good ones the one nearest to zero. Rates are within 10 over the whole series.
+    """
+    keys, scale = list(keys), max(n - 1.0, 1.0)
+    norm = sum(2.0 ** (-(n - 1 - t) / max(halflife or n / 2, 1.0)) for t in range(n)) / n
+    w = recency_weight(F.lit(n), F.col(at), F.lit(float(halflife or n / 2))) / norm
+    x = stored(rows.select(*keys, (F.col(at) / scale).alias("x"), w.alias("w"), F.col(value).cast("double").alias("y")), "trend-rows")
+    middle = x.groupBy(*keys).agg((F.sum(F.col("w") * F.col("y")) / F.sum("w")).alias("middle"))
+    x = x.join(middle, keys).withColumn("d", F.col("y") - F.col("middle"))
+    rate, step = F.col("rate"), FIRST_STEP
+    curve = F.when(F.abs(rate) > 1e-9, F.expm1(rate * F.col("x")) / F.when(F.abs(rate) > 1e-9, rate)).otherwise(F.col("x"))
+
+    def sums(rated: DataFrame) -> DataFrame:
+        g, u, d = F.col("g"), F.col("w"), F.col("d")
+        each = rated.withColumn("g", curve).groupBy(*keys, "rate").agg(F.sum(u).alias("s"), F.sum(u * g).alias("g1"), F.sum(u * g * g).alias("g2"), F.sum(u * d).alias("d1"), F.sum(u * d * d).alias("d2"), F.sum(u * g * d).alias("gd"))
+        var, cov = F.col("g2") - F.col("g1") * F.col("g1") / F.col("s"), F.col("gd") - F.col("g1") * F.col("d1") / F.col("s")
+        slope = F.when(var > 0, cov / F.when(var > 0, var)).otherwise(0.0)
+        left = F.col("d2") - F.col("d1") * F.col("d1") / F.col("s") - slope * cov
+        return each.select(*keys, "rate", slope.alias("slope"), ((F.col("d1") - slope * F.col("g1")) / F.col("s")).alias("level"), left.alias("left"))
+
+    def least(found: DataFrame) -> DataFrame:
+        best = found.groupBy(*keys).agg(F.min(F.struct("left", F.abs("rate").alias("size"), "rate", "slope", "level")).alias("x"))
+        return stored(best.select(*keys, "x.rate", "x.slope", "x.level"), "trend-rates")
+
+    first = F.transform(F.sequence(F.lit(0), F.lit(RATES - 1)), lambda k: k * FIRST_STEP - (RATES // 2) * FIRST_STEP)
+    best = least(sums(x.withColumn("rate", F.explode(first))))
+    for _ in range(ROUNDS - 1):
+        step = step / (LATER // 2)
+        near = F.array(*[F.least(F.greatest(F.col("rate") + k * step, F.lit(-10.0)), F.lit(10.0)) for k in range(-(LATER // 2), LATER // 2 + 1)])
+        best = least(sums(x.join(best.select(*keys, F.array_distinct(near).alias("rates")), keys).withColumn("rate", F.explode("rates"))))
+    # the residual comes from a second pass, not from differences of sums
+    fitted = x.join(best, keys)
+    miss = F.col("d") - F.col("level") - F.col("slope") * curve
+    rss = fitted.groupBy(*keys, "middle", "rate", "slope", "level").agg(F.sum(F.col("w") * miss * miss).alias("rss"))
+    b = F.when(F.abs(rate) > 1e-9, rate).otherwise(1e-9)
+    a, size = F.col("slope") / b, F.lit(float(n))
+    return rss.select(*keys, F.lit("exponential").alias("trend_type"), F.lit(3).alias("ord"), a.alias("a"), (b / scale).alias("b"), (F.col("middle") + F.col("level") - a).alias("c"), "rss", bic(size, 3, F.col("rss")).alias("bic"))
+
+
 def best_trend(candidates: DataFrame, keys: Sequence[str]) -> DataFrame:
     """The candidate with the least BIC, of equals the simplest."""
     best = candidates.groupBy(*keys).agg(F.min(F.struct("bic", "ord", "trend_type", "a", "b", "c", "rss")).alias("best"))

@@ -7,6 +7,8 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from ..sources.scratch import stored
+
 KEY = ["series_id", "window_start"]
 #: Places of a long series that one task puts in order.
 BLOCK = 65_536
@@ -117,13 +119,30 @@ def running(rows: DataFrame, keys: Sequence[str], column: str, out: str, how: st
     return parts.withColumn(out, value).drop("__block", "__inside", "__before")
 
 
+def numbered(rows: DataFrame, group: str, order: str, out: str = "t") -> DataFrame:
+    """Rows with their place in their group, from 0, in the order of a column.
+
+    Rows are range partitioned by group and order and numbered where they lie; what is before a partition comes from one row
+    for each group and partition, so a long group is never put in order in one task.
+    """
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.repartitionByRange(parts, group, order).sortWithinPartitions(group, order)
+    # the upper bits of a row's number are its partition, the lower ones its place there
+    table = stored(dealt.withColumns({"__row": F.monotonically_increasing_id(), "__part": F.spark_partition_id()}), "numbered")
+    ends = table.groupBy(group, "__part").agg(F.min("__row").alias("__first"), F.count(F.lit(1)).alias("__size"))
+    earlier = Window.partitionBy(group).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.withColumn("__before", F.coalesce(F.sum("__size").over(earlier), F.lit(0))).drop("__size")
+    place = F.col("__row") - F.col("__first") + F.col("__before")
+    return table.join(ends, [group, "__part"]).withColumn(out, place.cast("int")).drop("__row", "__part", "__first", "__before")
+
+
 def finite(y: Column) -> Column:
     return y.isNotNull() & ~F.isnan(y) & (F.abs(y) != float("inf"))
 
 
 def check_finite(series: DataFrame) -> DataFrame:
     """The series; reading a NaN or an infinity is an error."""
-    bad = F.raise_error(F.lit("Input signal contains NaN or Inf values")).cast("double")
+    bad = F.raise_error(F.lit("the series holds NaN or Inf values")).cast("double")
     return series.withColumn("y", F.when(finite(F.col("y")), F.col("y")).otherwise(bad))
 
 

@@ -50,7 +50,7 @@ AC1_GATE = 0.1
 def fit_window(y: np.ndarray, horizon: int, o: Options) -> dict:
     """All layers of one window; the wavelet layer is continued for `horizon` steps."""
     if not np.isfinite(y).all():
-        raise ValueError("Input signal contains NaN or Inf values. Clean the data before forecasting.")
+        raise ValueError("a window holds NaN or Inf values, and a fit takes finite ones only")
     n, t, deviation = len(y), np.arange(len(y), dtype=float), float(y.std())
     line = np.polyval(np.polyfit(t, y, 1), t)
     found, rest = K.waves(y - line, o.max_components, o.min_snr, o.noise_threshold_ratio)
@@ -86,6 +86,33 @@ def fit_window(y: np.ndarray, horizon: int, o: Options) -> dict:
     }
 
 
+def ahead(fit: dict, horizon: int, o: Options) -> np.ndarray:
+    """The point forecast of one fit: what forecast() unfolds in columns, for callers that hold a single series."""
+    n, h = fit["n"], np.arange(float(horizon))
+    t = n + h
+    periodic = np.zeros(horizon)
+    for c in fit["components"]:
+        sigma = 2 * (h + 1) / (n * np.sqrt(max(2 * c["snr"] / 3, 1e-10)))
+        keep = np.exp(-0.5 * sigma**2) if o.amplitude_damping and c["snr"] > 0 else 1.0
+        periodic += keep * c["amplitude"] * np.cos(2 * np.pi * c["frequency"] * t + c["phase"])
+    g, end = fit["trend"], n - 1.0
+    at = lambda x: K.trend_at(g["trend_type"], (g["a"], g["b"], g["c"]), x)
+    trend = at(t)
+    if g["trend_type"] in ("quadratic", "exponential"):
+        halflife = o.trend_damping_halflife if o.trend_damping_halflife is not None else n * o.trend_damping_share
+        fade = np.exp2(-(t - end) / max(halflife, 1.0))
+        edge = at(np.array([end, end + 0.5, end - 0.5]))
+        trend = fade * trend + (1 - fade) * (edge[0] + (edge[1] - edge[2]) * (t - end))
+    shock = sum((K.shock_at(x["shape"], x["onset_idx"], x["magnitude"], x["decay_rate"], t) for x in fit["shocks"]), np.zeros(horizon))
+    local, wave = fit["local"], np.zeros(horizon)
+    rest = K.ar_ahead(np.array(fit["recent"]), np.array([local["intercept"], *local["coefficients"]]), horizon) * np.exp2(-h / max(2.0 * local["order"], 4.0))
+    if fit["wavelet"]:
+        parts = [np.array(c["coefficients"]) for c in fit["wavelet"]["components"]]
+        wave = K.wavelet_ahead(parts, n, horizon) * np.exp2(-h / max(n / 8, 16.0))
+    total = np.clip(periodic, fit["periodic_lo"], fit["periodic_hi"]) + trend + shock + rest + wave
+    return np.clip(total, fit["range_lo"], fit["range_hi"])
+
+
 def arrow_type(kind: T.DataType) -> pa.DataType:
     if isinstance(kind, T.ArrayType):
         return pa.list_(arrow_type(kind.elementType))
@@ -154,15 +181,19 @@ def forecast(fits: DataFrame, keys: list[str], options: Options | None = None) -
     return parts.withColumn("point", point).select(*keys, "h", "point", (F.col("point") + F.col("q_lo") * growth).alias("lower"), (F.col("point") + F.col("q_hi") * growth).alias("upper"))
 
 
-def describe(fits: DataFrame, keys: list[str]) -> DataFrame:
+def describe(fits: DataFrame, keys: list[str], options: Options | None = None) -> DataFrame:
     """(keys, description): each fit as text."""
     g, local = F.col("trend"), F.col("local")
     mean = F.aggregate("residual", F.lit(0.0), lambda s, x: s + x) / F.size("residual")
     each = F.transform("components", lambda c: F.format_string("  freq=%.6f amp=%.4f phase=%.4f snr=%.1f", c["frequency"], c["amplitude"], c["phase"], c["snr"]))
     shocks = F.transform("shocks", lambda s: F.format_string("  %s at t=%d mag=%.4f", s["shape"], s["onset_idx"], s["magnitude"]))
+    w = F.col("wavelet")
+    scales = F.transform(w["components"], lambda c: F.format_string("  level %d %s: %.2f%% of the energy", c["level"], c["kind"], 100 * c["energy_fraction"]))
+    wavelet = F.when(w.isNull(), F.array(F.lit("Wavelet: none"))).otherwise(F.concat(F.array(F.format_string("Wavelet: %s, %d levels", w["wavelet_name"], w["n_levels"])), scales))
     lines = F.concat(
         F.array(F.format_string("Periodic components: %d", F.size("components"))), each,
         F.array(F.format_string("Trend: %s a=%.6g b=%.6g c=%.6g", g["trend_type"], g["a"], g["b"], g["c"]), F.format_string("Shocks: %d", F.size("shocks"))), shocks,
         F.array(F.format_string("Local: AR(%d) intercept=%.6g", local["order"], local["intercept"]), F.format_string("Residual: mode=%s AC(1)=%.4f mean=%.6g std=%.6g", "residual_mode", "residual_ac1", mean, "noise_std")),
+        wavelet, F.array(F.format_string("Bounds: %.0f%% of the residuals lie in [%.4g, %.4g]; range [%.6g, %.6g]", 100 * F.lit((options or Options()).confidence_level), "q_lo", "q_hi", "range_lo", "range_hi")),
     )
     return fits.select(*keys, F.concat_ws("\n", lines).alias("description"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from ..functions.kernels import DB4
 
 
@@ -145,6 +147,115 @@ def wavelet_energy(n: int = 64, levels: int = 3) -> str:
     return f"WITH {', '.join(steps)} SELECT series_id, CAST(scale AS INTEGER) AS scale, round(e / CASE WHEN total = 0 THEN 1.0 ELSE total END, 7) AS energy_fraction FROM energy JOIN whole USING (series_id)"
 
 
+def exponential(n: int = 512) -> str:
+    """The exponential candidate by the same grids of rates, as the tables ex, b0 to b4 and ropt."""
+    steps = [f"ex AS MATERIALIZED (SELECT {KEY}, i / {n - 1}.0 AS x, w, y, sum(w * y) OVER k / sum(w) OVER k AS middle, y - sum(w * y) OVER k / sum(w) OVER k AS d FROM wx WINDOW k AS (PARTITION BY {KEY}))"]
+    steps.append(f"n0 AS (SELECT DISTINCT {KEY}, k * 0.5::DOUBLE - 10 AS rate FROM ex, (SELECT unnest(range(0, 41)) AS k))")
+    step = 0.5
+    for r in range(5):
+        if r:
+            step /= 10
+            steps.append(f"n{r} AS (SELECT DISTINCT {KEY}, least(greatest(rate + k * {step!r}::DOUBLE, -10.0), 10.0) AS rate FROM b{r - 1}, (SELECT unnest(range(-10, 11)) AS k))")
+        steps.append(f"""
+            q{r} AS (SELECT {KEY}, rate, sum(w) AS s, sum(w * g) AS g1, sum(w * g * g) AS g2, sum(w * d) AS d1, sum(w * d * d) AS d2, sum(w * g * d) AS gd
+                     FROM (SELECT *, CASE WHEN abs(rate) > 1e-9 THEN (exp(rate * x) - 1) / rate ELSE x END AS g FROM ex JOIN n{r} USING ({KEY})) GROUP BY ALL),
+            s{r} AS (SELECT {KEY}, rate, (gd - g1 * d1 / s) / (g2 - g1 * g1 / s) AS slope, (d1 - (gd - g1 * d1 / s) / (g2 - g1 * g1 / s) * g1) / s AS level, d2 - d1 * d1 / s - (gd - g1 * d1 / s) ** 2 / (g2 - g1 * g1 / s) AS left_over FROM q{r}),
+            b{r} AS MATERIALIZED (SELECT {KEY}, rate, slope, level FROM (SELECT *, row_number() OVER (PARTITION BY {KEY} ORDER BY left_over, abs(rate), rate) AS rk FROM s{r}) WHERE rk = 1)""")
+    steps.append(f"""
+        ropt AS (SELECT {KEY}, any_value(rate) AS rate, any_value(slope) AS slope, any_value(level + middle) AS level, sum(w * (d - level - slope * CASE WHEN abs(rate) > 1e-9 THEN (exp(rate * x) - 1) / rate ELSE x END) ** 2) AS rss FROM ex JOIN b4 USING ({KEY}) GROUP BY ALL),
+        eopt AS (SELECT {KEY}, 'exponential' AS trend_type, 3 AS ord, slope / v AS a, v / {n - 1} AS b, level - slope / v AS c, rss, {n} * ln(rss / {n}) + 3 * ln({n}) AS bic FROM (SELECT *, CASE WHEN abs(rate) > 1e-9 THEN rate ELSE 1e-9 END AS v FROM ropt))""")
+    return ", ".join(steps)
+
+
+BEST_OF_FOUR = f"SELECT {KEY}, trend_type, round(bic, {{}}) AS bic FROM (SELECT *, row_number() OVER (PARTITION BY {KEY} ORDER BY bic, ord) AS rk FROM (FROM opt UNION ALL FROM eopt)) WHERE rk = 1"
+#: z-scores of the hourly series over their first 70 %, and what is made of their running sums.
+SCORES = HOURLY.replace("series AS (", "base AS (") + """,
+    stat AS (SELECT series_id, avg(y) AS mu, stddev_pop(y) AS sd FROM base JOIN (SELECT series_id, floor((max(t) + 1) * CAST(0.7 AS DOUBLE)) AS e FROM base GROUP BY 1) USING (series_id) WHERE t < e GROUP BY 1),
+    score AS (SELECT b.series_id, b.t, (y - mu) / CASE WHEN sd < 1e-10 THEN 1.0 ELSE sd END AS z FROM base b JOIN stat USING (series_id))"""
+GROWN = SCORES + ", series AS (SELECT series_id, t, exp(sum(z / 24) OVER (PARTITION BY series_id ORDER BY t)) AS y FROM score)"
+WALK = SCORES + ", walk AS (SELECT series_id, t, sum(z) OVER (PARTITION BY series_id ORDER BY t) AS y FROM score)"
+
+
+def sinusoids_sql(most: int = 4) -> str:
+    """`most` sinusoids of each walk less its line: power by the defining sums, Goertzel sums over the same grids of frequencies."""
+    steps = [WALK, """
+        line AS (SELECT series_id, regr_slope(y, t) AS slope, regr_intercept(y, t) AS level, count(*) AS n FROM walk GROUP BY 1),
+        r0 AS MATERIALIZED (SELECT w.series_id, t, n, y - (slope * t + level) AS rest FROM walk w JOIN line USING (series_id)),
+        e0 AS (SELECT DISTINCT series_id, NULL::DOUBLE AS error FROM r0)"""]
+    power = """
+        p{c} AS MATERIALIZED (SELECT series_id, n, k, sum(rest * cos(2 * pi() * ((k * t) % n) / n)) ** 2 + sum(rest * sin(2 * pi() * ((k * t) % n) / n)) ** 2 AS power
+                 FROM (SELECT *, unnest(range(1, n // 2 + 1)) AS k FROM r{c}) GROUP BY ALL)"""
+    steps.append(power.format(c=0))
+    for c in range(most):
+        steps.append(f"""
+        c{c} AS MATERIALIZED (SELECT *, top / greatest(low, 1e-30) AS snr, least(2 + greatest(1, ceil(2 / sqrt(greatest(top / greatest(low, 1e-30), 0.01)))), (n // 2 + 1) // 4) AS width
+                FROM (SELECT series_id, n, median(power) AS low, count(*) AS bins, max(power) AS top, arg_max(k, power) AS k FROM p{c} WHERE k >= 2 GROUP BY ALL) JOIN e{c} USING (series_id)
+                WHERE top >= 2 * low * (1 + ln(bins)) AND (error IS NULL OR top >= 0.5 * error)),
+        a{c}_0 AS (SELECT *, greatest((k - 2)::DOUBLE / n, 0.5::DOUBLE / n) AS lo, (k + 2)::DOUBLE / n AS hi FROM c{c}),
+        g{c}_0 AS (SELECT series_id, lo + i * ((hi - lo) / 32) AS f FROM a{c}_0, (SELECT unnest(range(0, 33)) AS i))""")
+        for r in range(5):
+            if r:
+                near = f"least(greatest(f + i * ((hi - lo) / 32 * {8.0**-r!r}::DOUBLE), lo), hi)"
+                steps.append(f"g{c}_{r} AS (SELECT DISTINCT b.series_id, {near} AS f FROM b{c}_{r - 1} b JOIN a{c}_0 USING (series_id), (SELECT unnest(range(-8, 9)) AS i))")
+            steps.append(f"""
+            s{c}_{r} AS (SELECT series_id, f, sum(co * co) AS cc, sum(si * si) AS ss, sum(co * si) AS cs, sum(co * rest) AS cy, sum(si * rest) AS sy
+                         FROM (SELECT *, cos(2 * pi() * f * t) AS co, sin(2 * pi() * f * t) AS si FROM r{c} JOIN g{c}_{r} USING (series_id)) GROUP BY ALL),
+            b{c}_{r} AS MATERIALIZED (SELECT series_id, f, a, b FROM (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY a * cy + b * sy DESC, f) AS rk
+                         FROM (SELECT *, (cy * ss - sy * cs) / (cc * ss - cs * cs) AS a, (sy * cc - cy * cs) / (cc * ss - cs * cs) AS b FROM s{c}_{r})) WHERE rk = 1)""")
+        steps.append(f"r{c + 1} AS MATERIALIZED (SELECT series_id, t, n, rest - a * cos(2 * pi() * f * t) - b * sin(2 * pi() * f * t) AS rest FROM r{c} JOIN b{c}_4 USING (series_id))")
+        steps.append(power.format(c=c + 1))
+        steps.append(f"""
+        e{c + 1} AS (SELECT x.series_id, coalesce(any_value(x.error), 0) + greatest(0, sum(p.power - q.power) - (any_value(a) ** 2 + any_value(b) ** 2) * any_value(x.n) ** 2 / 4) AS error
+                     FROM c{c} x JOIN b{c}_4 USING (series_id) JOIN p{c} p ON p.series_id = x.series_id AND p.k >= greatest(1, x.k - width) AND p.k <= x.k + width JOIN p{c + 1} q ON q.series_id = p.series_id AND q.k = p.k GROUP BY 1)""")
+    every = " UNION ALL ".join(f"SELECT series_id, {c} AS rank, f AS frequency, sqrt(a * a + b * b) AS amplitude, atan2(-b, a) AS phase, snr FROM c{c} JOIN b{c}_4 USING (series_id)" for c in range(most))
+    return query(f"SELECT series_id, CAST(rank AS INTEGER) AS rank, round(frequency, 6) AS frequency, round(amplitude, 3) AS amplitude, round(phase, 2) AS phase, round(snr, 2) AS snr FROM ({every})", *steps)
+
+
+def shock_passes_sql(most: int = 3) -> str:
+    """SHOCK on what each pass leaves, with tables numbered by pass."""
+    steps, every = [], []
+    for c in range(most):
+        body = re.sub(r"\b(x|ons|z|fit|f2|rss|opt)\b", rf"\g<1>_{c}", SHOCK)
+        if c:
+            body = body[body.index("x_") :].replace("FROM rest r JOIN sd", f"FROM left_{c} r JOIN sd")
+        gone = "CASE WHEN r.i >= onset THEN CASE shape WHEN 'spike_decay' THEN magnitude * exp(-rate * (r.i - onset)) WHEN 'ramp' THEN magnitude + rate * (r.i - onset) ELSE magnitude END ELSE 0 END"
+        steps += [body, f"best_{c} AS MATERIALIZED (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY {KEY} ORDER BY aic, ord) AS rk FROM opt_{c}) WHERE rk = 1)"]
+        steps.append(f"left_{c + 1} AS MATERIALIZED (SELECT r.series_id, r.window_start, r.i, r.rest - coalesce({gone}, 0) AS rest FROM {'left_' + str(c) if c else 'rest'} r LEFT JOIN best_{c} USING ({KEY}))")
+        every.append(f"SELECT {KEY}, {c} AS rank, onset, shape, magnitude, rate, aic FROM best_{c}")
+    return query(f"SELECT {KEY}, CAST(rank AS INTEGER) AS rank, CAST(onset AS INTEGER) AS onset, shape, round(magnitude, 5) AS magnitude, round(rate, 7) AS rate, round(aic, 5) AS aic FROM ({' UNION ALL '.join(every)})", HOURLY, W, LINE, *steps)
+
+
+def least_squares_sql(p: int = 24) -> str:
+    """AR(p) of each nation's series: the normal equations of centred values, eliminated one unknown at a time."""
+    lags = ", ".join(f"lag(y, {k}) OVER o" for k in range(1, p + 1))
+    steps = [NATION, f"""
+        mid AS (SELECT series_id, avg(y) AS mean FROM series GROUP BY 1),
+        cen AS (SELECT series_id, t, y - mean AS y FROM series JOIN mid USING (series_id)),
+        lagged AS (SELECT * FROM (SELECT series_id, t, [1.0, {lags}, y] AS x FROM cen WINDOW o AS (PARTITION BY series_id ORDER BY t)) WHERE t >= {p}),
+        m0 AS MATERIALIZED (SELECT series_id, a.i, b.j, sum(x[a.i + 1] * x[b.j + 1]) AS v FROM lagged, (SELECT unnest(range(0, {p + 1})) AS i) a, (SELECT unnest(range(0, {p + 2})) AS j) b GROUP BY ALL)"""]
+    for k in range(p + 1):
+        steps.append(f"""m{k + 1} AS MATERIALIZED (SELECT r.series_id, r.i, r.j, CASE WHEN r.i = {k} THEN r.v / d.v ELSE r.v - c.v * q.v / d.v END AS v
+            FROM m{k} r JOIN m{k} d ON d.series_id = r.series_id AND d.i = {k} AND d.j = {k} JOIN m{k} c ON c.series_id = r.series_id AND c.i = r.i AND c.j = {k} JOIN m{k} q ON q.series_id = r.series_id AND q.i = {k} AND q.j = r.j)""")
+    steps.append(f"coefs AS (SELECT series_id, i, v, sum(CASE WHEN i > 0 THEN v ELSE 0 END) OVER (PARTITION BY series_id) AS total FROM m{p + 1} WHERE j = {p + 1})")
+    return query("SELECT c.series_id, CAST(i AS INTEGER) AS lag, round(CASE WHEN i = 0 THEN (v + mean * (1 - total)) / 1e6 ELSE v END, 6) AS coef FROM coefs c JOIN mid USING (series_id)", *steps)
+
+
+def series_wavelet_sql(levels: int = 8) -> str:
+    """wavelet_energy for series of any length: ends are mirrored by each series' own length."""
+    low = DB4.tolist()
+    taps = ", ".join(f"({j}, {low[j]!r}, {(-1) ** (j + 1) * low[7 - j]!r})" for j in range(8))
+    steps = [DAILY, f"taps(j, low, high) AS (VALUES {taps})", "x0 AS (SELECT series_id, t AS i, y AS v, count(*) OVER (PARTITION BY series_id) AS n FROM series)"]
+    for k in range(1, levels + 1):
+        place = "2 * o + j - 6"
+        steps.append(f"""
+            o{k} AS (SELECT DISTINCT series_id, n, unnest(range(0, (n + 7) // 2)) AS o FROM x{k - 1}),
+            x{k} AS MATERIALIZED (SELECT a.series_id, a.o AS i, (a.n + 7) // 2 AS n, sum(low * v) AS v, sum(high * v) AS d FROM o{k} a, taps JOIN x{k - 1} b
+                    ON b.series_id = a.series_id AND b.i = CASE WHEN {place} < 0 THEN -1 - ({place}) WHEN {place} >= a.n THEN 2 * a.n - 1 - ({place}) ELSE {place} END GROUP BY ALL)""")
+    every = " UNION ALL ".join([f"SELECT series_id, 0 AS scale, sum(v * v) AS e FROM x{levels} GROUP BY 1", *(f"SELECT series_id, {levels + 1 - k}, sum(d * d) FROM x{k} GROUP BY 1" for k in range(levels, 0, -1))])
+    steps.append("whole AS (SELECT series_id, sum(y * y) AS total FROM series GROUP BY 1)")
+    return query(f"SELECT series_id, CAST(scale AS INTEGER) AS scale, round(e / total, 7) AS energy_fraction FROM ({every}) JOIN whole USING (series_id)", *steps)
+
+
 ORACLES: dict[str, str] = {
     "hourly_series": query("SELECT series_id, t, round(y, 6) AS y FROM series"),
     "daily_series": query("SELECT series_id, t, round(y, 4) AS y FROM series", DAILY),
@@ -176,7 +287,14 @@ ORACLES: dict[str, str] = {
     "amplitude_damping": query(f"SELECT {KEY}, CAST(h AS INTEGER) AS h, round(exp(-0.5 * (2 * h / (512 * sqrt(greatest(2 * snr / 3, 1e-10)))) ** 2), 7) AS damping FROM (SELECT {KEY}, max(power) / median(power) AS snr FROM bins GROUP BY ALL), (SELECT unnest(range(1, 97)) AS h)", HOURLY, W, LINE, POWER),
     "spectral_profile": query(f"SELECT {KEY}, round(sum(p) FILTER (rk <= 5), 6) AS top5_share, round(sum(p) FILTER (rk <= 10), 6) AS top10_share, round(sum(p) FILTER (rk <= 20), 6) AS top20_share, round(-sum(p * ln(p)) / ln(count(*)), 6) AS entropy, round(max(power) / median(power), 5) AS peak_ratio FROM (SELECT *, power / sum(power) OVER (PARTITION BY {KEY}) AS p, row_number() OVER (PARTITION BY {KEY} ORDER BY power DESC, k) AS rk FROM bins) GROUP BY ALL", HOURLY, W, LINE, POWER),
     "trend_candidates": query(f"SELECT {KEY}, trend_type, round(a, 8) AS a, round(b, 6) AS b, round(c, 5) AS c, round(rss, 2) AS rss, round(bic, 5) AS bic FROM opt", HOURLY, W, WEIGHTED, TRENDS),
-    "weighted_trend_bic": query(f"SELECT {KEY}, trend_type, round(bic, 5) AS bic FROM (SELECT *, row_number() OVER (PARTITION BY {KEY} ORDER BY bic, ord) AS rk FROM opt) WHERE rk = 1", HOURLY, W, WEIGHTED, TRENDS),
+    "weighted_trend_bic": query(BEST_OF_FOUR.format(5), HOURLY, W, WEIGHTED, TRENDS, exponential()),
+    "curved_trend_bic": query(BEST_OF_FOUR.format(4), GROWN, W, WEIGHTED, TRENDS, exponential()),
+    "trend_exponential": query(f"SELECT {KEY}, round(a, 6) AS a, round(b, 8) AS b, round(c, 5) AS c, round(rss, 2) AS rss FROM eopt", HOURLY, W, WEIGHTED, exponential()),
+    "shock_passes": shock_passes_sql(),
+    "strongest_sinusoids": sinusoids_sql(),
+    "nation_ar24": least_squares_sql(),
+    "series_wavelet_energy": series_wavelet_sql(),
+    "streaming_series": query("SELECT series_id, t, round(y, 6) AS y FROM series"),
     "damped_trend": query(f"SELECT {KEY}, h, round(exp(-ln(2) / 128 * (h + 1)) * (a*(512+h)**2 + b*(512+h) + c) + (1 - exp(-ln(2) / 128 * (h + 1))) * ((a*511**2 + b*511 + c) + (((a*511.5**2 + b*511.5 + c) - (a*510.5**2 + b*510.5 + c))) * (h + 1)), 4) AS trend FROM opt, (SELECT CAST(unnest(range(0, 96)) AS INTEGER) AS h) WHERE trend_type = 'quadratic'", HOURLY, W, WEIGHTED, TRENDS),
     "moving_average": query("SELECT series_id, t, CASE WHEN count(*) OVER f = 25 THEN round(avg(y) OVER f, 6) END AS trend FROM series WINDOW f AS (PARTITION BY series_id ORDER BY t ROWS BETWEEN 12 PRECEDING AND 12 FOLLOWING)"),
     "seasonal_profile": query("SELECT series_id, CAST(t % 24 AS INTEGER) AS phase, round(avg(y), 6) AS seasonal FROM series GROUP BY ALL"),

@@ -11,14 +11,14 @@ from pyspark.sql import functions as F
 
 from ..functions import expressions as E
 from ..functions import kernels as K
-from ..operators import seasonal, shocks, spectrum, statistics, trend
+from ..operators import autoregression, seasonal, shocks, sinusoids, spectrum, statistics, trend, wavelet
 from ..operators import windows as W
 from ..sources import csv_files
 from ..sources import series as S
 from ..sources.scratch import new_path, stored
+from ..streaming import buckets, engine, observe
 from ..streaming import ensemble as streaming
-from ..streaming import observe
-from . import backtest, decompose, workers
+from . import backtest, decompose, table_function, workers
 
 C, H = 512, 96
 KEY = W.KEY
@@ -274,7 +274,30 @@ def trend_candidates(spark, sf_dir):
 
 @registered
 def weighted_trend_bic(spark, sf_dir):
-    return rounded(trend.best_trend(trends(spark, sf_dir), KEY).select(*KEY, "trend_type", "bic"), bic=5)
+    """The best of all four trends of each window."""
+    rows = context(S.hourly_events(spark, sf_dir))
+    four = trend.weighted_trends(rows, KEY, C).unionByName(trend.exponential_trend(rows, KEY, C))
+    return rounded(trend.best_trend(four, KEY).select(*KEY, "trend_type", "bic"), bic=5)
+
+
+@registered
+def curved_trend_bic(spark, sf_dir):
+    """The same for series that grow and shrink, so that most windows are curved."""
+    four = trend.weighted_trends(grown(spark, sf_dir), KEY, C).unionByName(trend.exponential_trend(grown(spark, sf_dir), KEY, C))
+    return rounded(trend.best_trend(four, KEY).select(*KEY, "trend_type", "bic"), bic=4)
+
+
+def grown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows of the exponential of the running sum of each hourly series' z-scores, a day's worth of them counting as one."""
+    z = W.running(W.zscore(S.hourly_events(spark, sf_dir)).withColumn("y", F.col("y") / 24), ["series_id"], "y", "level").select("series_id", "t", F.exp("level").alias("y"))
+    return context(z)
+
+
+@registered
+def trend_exponential(spark, sf_dir):
+    """The exponential candidate of each window."""
+    found = trend.exponential_trend(context(S.hourly_events(spark, sf_dir)), KEY, C)
+    return rounded(found.select(*KEY, "a", "b", "c", "rss"), a=6, b=8, c=5, rss=2)
 
 
 @registered
@@ -340,6 +363,41 @@ def shock_select(spark, sf_dir):
     return rounded(shocks.first_shock(rest.join(noise, KEY), KEY, "noise", lookback=C // 4, at="i", delta="rest"), magnitude=5, rate=7, aic=5)
 
 
+@registered
+def shock_passes(spark, sf_dir):
+    """Up to three shocks of each window, each taken out of what the ones before it left."""
+    rest = detrended(spark, sf_dir)
+    noise = rest.groupBy(*KEY).agg(F.stddev_pop("rest").alias("noise"))
+    found = shocks.shock_passes(rest.join(noise, KEY), KEY, "noise", lookback=C // 4, at="i", delta="rest")[0]
+    return rounded(found, magnitude=5, rate=7, aic=5)
+
+
+@registered
+def strongest_sinusoids(spark, sf_dir):
+    """The four strongest sinusoids of the running sum of each whole hourly series less its mean and line."""
+    found = sinusoids.extract(wandering(spark, sf_dir), ["series_id"], most=4)[0]
+    return rounded(found, frequency=6, amplitude=3, phase=2, snr=2)
+
+
+def wandering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The running sums of the z-scores of each hourly series less their line: a series with slow cycles."""
+    walk = W.running(W.zscore(S.hourly_events(spark, sf_dir)), ["series_id"], "y", "level").select("series_id", "t", F.col("level").alias("y"))
+    return statistics.detrend(walk, ["series_id"])
+
+
+@registered
+def nation_ar24(spark, sf_dir):
+    """Least-squares AR(24) of each nation's whole daily series."""
+    fitted = autoregression.least_squares(S.daily_nation_orders(spark, sf_dir), ["series_id"], 24)
+    return rounded(fitted.select("series_id", F.posexplode("coef").alias("lag", "coef")).withColumn("coef", F.when(F.col("lag") == 0, F.col("coef") / 1e6).otherwise(F.col("coef"))), coef=6)
+
+
+@registered
+def series_wavelet_energy(spark, sf_dir):
+    """Energy of eight scales of each whole daily series."""
+    return rounded(wavelet.energies(S.daily_orders(spark, sf_dir), ["series_id"], 8), energy_fraction=7)
+
+
 @registered
 def weighted_autocov(spark, sf_dir):
     return rounded(statistics.weighted_autocovariance(local_rows(spark, sf_dir), KEY, 256, 12, 256 / 3), cov=4)
@@ -437,28 +495,17 @@ def wavelet_energy(spark, sf_dir):
 
 @registered
 def fourier_extract(spark, sf_dir):
-    """Sinusoids of each detrended window."""
+    """Sinusoids of each detrended window of the running sums of hourly series."""
 
     def found(y: list[float]) -> dict:
         y = np.asarray(y, float)
         t = np.arange(len(y))
         return {"components": [dict(zip(("frequency", "amplitude", "phase", "snr"), c, strict=True)) for c in K.waves(y - np.polyval(np.polyfit(t, y, 1), t))[0]]}
 
-    p = decompose.per_window(packed(spark, sf_dir), ["y"], "components array<struct<frequency:double,amplitude:double,phase:double,snr:double>>", found)
+    p = decompose.per_window(W.packed(windows(wandering(spark, sf_dir).select("series_id", "t", "y")), C), ["y"], "components array<struct<frequency:double,amplitude:double,phase:double,snr:double>>", found)
     return p.select(*KEY, F.posexplode("components").alias("rank", "c")).select(*KEY, "rank", "c.*")
 
 
-@registered
-def trend_exponential(spark, sf_dir):
-    """The exponential candidate of each window."""
-
-    def fitted(y: list[float]) -> dict:
-        a, b, c, rss = K.fit_exponential(np.asarray(y, float), K.recency(len(y), len(y) / 2))
-        return {"a": float(a), "b": float(b), "c": float(c), "rss": rss}
-
-    return decompose.per_window(packed(spark, sf_dir), ["y"], "a double, b double, c double, rss double", fitted).drop("y", "actual")
-
-
 @registered
 def local_ar(spark, sf_dir):
     """The AR model of least AIC of each window."""
@@ -496,6 +543,14 @@ def spectral_forecast(spark, sf_dir):
     return decompose.forecast(decompose.fit(packed(spark, sf_dir).select(*KEY, "y"), H), KEY)
 
 
+@registered
+def sql_forecast(spark, sf_dir):
+    """spectral_forecast by the table function."""
+    table_function.register(spark)
+    context(S.hourly_events(spark, sf_dir)).createOrReplaceTempView("spindrift_rows")
+    return spark.sql(f"SELECT * FROM fit_forecast({H}, TABLE(spindrift_rows) PARTITION BY (series_id, window_start) ORDER BY i)")
+
+
 @registered
 def forecast_layers(spark, sf_dir):
     return decompose.layers(decompose.fit(packed(spark, sf_dir).select(*KEY, "y"), H), KEY)
@@ -622,6 +677,60 @@ def streaming_ensemble(spark, sf_dir):
     return streaming.forecasts(spark, out)
 
 
+def event_stream(spark: SparkSession, sf_dir: str, source: str) -> DataFrame:
+    """The stored events as a stream, of a session with the state store that the streaming operators need."""
+    kind = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+    return streaming.stateful_session(spark).readStream.schema(kind).parquet(source)
+
+
+def clock(events: DataFrame) -> DataFrame:
+    """A row of no series far behind the last event, which closes all buckets."""
+    last = events.agg(F.max("ts").alias("last"))
+    return last.select(*[(F.col("last") + F.expr("INTERVAL 30 DAYS")).alias(c) if c == "ts" else F.lit(None).cast(t).alias(c) for c, t in events.dtypes])
+
+
+@registered
+def streaming_series(spark, sf_dir):
+    """The hourly series of events, as they leave a stream that is stopped in between and started again."""
+    source, out, state = (new_path(spark, f"grid-{x}") for x in ("in", "out", "state"))
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    middle = events.agg(F.percentile(F.unix_micros(F.col("ts").cast("timestamp")), 0.5).alias("middle"))
+    first = F.unix_micros(F.col("ts").cast("timestamp")) < F.col("middle")
+    for part in (events.crossJoin(F.broadcast(middle)).where(first).drop("middle"), events.crossJoin(F.broadcast(middle)).where(~first).drop("middle"), clock(events)):
+        part.write.mode("append").parquet(source)
+        series = buckets.dense(event_stream(spark, sf_dir, source), "event_type", "ts", "value")
+        series.writeStream.format("parquet").option("path", out).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+    return rounded(spark.read.schema(buckets.DENSE).parquet(out).select("series_id", "t", "y"), y=6)
+
+
+@registered
+def streaming_events_ensemble(spark, sf_dir):
+    """From raw events to blended forecasts in one stream: buckets, the gaps between them, all workers, the blend."""
+    source, out = (new_path(spark, f"events-{x}") for x in ("in", "out"))
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    events.unionByName(clock(events)).write.parquet(source)
+    series = buckets.dense(event_stream(spark, sf_dir, source), "event_type", "ts", "value")
+    streaming.start(series, out, H).awaitTermination()
+    return streaming.forecasts(spark, out).where("value is not null and not isnan(value)").drop("batch")
+
+
+@registered
+def streaming_commands(spark, sf_dir):
+    """A batch of half of each hourly series, its next values one at a time, a forecast, another batch, one more value and a forecast."""
+    source, out, state = (new_path(spark, f"commands-{x}") for x in ("in", "out", "state"))
+    series = S.hourly_events(spark, sf_dir)
+    n = F.col("n")
+    kind = F.when(F.col("t") < F.floor(n / 2), 0).when(F.col("t") < F.floor(n / 2) + 24, 1).when(F.col("t") < n - 1, 3).otherwise(4)
+    rows = series.join(W.lengths(series), "series_id").groupBy("series_id", kind.alias("seq")).agg(F.transform(F.array_sort(F.collect_list(F.struct("t", "y"))), lambda x: x["y"]).alias("values"))
+    command = F.when(F.col("seq").isin(0, 3), "batch").otherwise("value")
+    given = rows.select("series_id", F.col("seq").cast("long").alias("seq"), command.alias("command"), "values", F.lit(0).alias("horizon"))
+    asked = given.select("series_id").distinct().select("series_id", F.explode(F.array(F.lit(2), F.lit(5)).cast("array<long>")).alias("seq"), F.lit("predict").alias("command"), F.lit(None).cast("array<double>").alias("values"), F.lit(H).alias("horizon"))
+    given.unionByName(asked).write.parquet(source)
+    stream = streaming.stateful_session(spark).readStream.schema(engine.INPUT).parquet(source)
+    engine.ensembles(stream).writeStream.format("parquet").option("path", out).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(engine.FORECASTS).parquet(out)
+
+
 @registered
 def nation_ensemble(spark, sf_dir):
     """Blended forecasts of every rolling window of every nation's daily orders, by AR, decomposition and resonance."""
@@ -640,7 +749,6 @@ def confidence_profile(spark, sf_dir):
 @registered
 def trend_divergence(spark, sf_dir):
     """How far each window's trend has moved away at the end of the horizon, in deviations of the window."""
-    fits = decompose.fit(packed(spark, sf_dir).select(*KEY, "y"), H)
-    end = decompose.layers(fits, KEY).where(F.col("h") == H - 1).select(*KEY, "trend")
-    deviation = F.sqrt(F.element_at("layer_variance", 1))
-    return fits.select(*KEY, "trend.trend_type", deviation.alias("deviation")).join(end.withColumnRenamed("trend", "trend_end"), KEY).withColumn("divergence", F.abs("trend_end") / F.col("deviation"))
+    fits = decompose.fit(packed(spark, sf_dir).select(*KEY, "y"), H).withColumn("deviation", F.sqrt(F.element_at("layer_variance", 1))).withColumn("trend_type", F.col("trend")["trend_type"])
+    end = decompose.layers(fits, [*KEY, "trend_type", "deviation"]).where(F.col("h") == H - 1)
+    return end.select(*KEY, "trend_type", "deviation", F.col("trend").alias("trend_end"), (F.abs("trend") / F.col("deviation")).alias("divergence"))

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.windows import numbered
+
 MODES = ("checked", "tolerant", "strict")
 
 
@@ -36,8 +38,7 @@ def read_column(spark: SparkSession, path: str, column: str = "OT", order_by: st
     kept = rows.select(key.alias("series_id"), place.alias("place"), number.alias("y")).where("y is not null")
     if mode == "checked" and kept.isEmpty():
         raise ValueError(f"No valid numeric data in column {column!r}")
-    in_order = Window.partitionBy("series_id").orderBy("place")
-    return kept.select("series_id", (F.row_number().over(in_order) - 1).cast("int").alias("t"), "y")
+    return numbered(kept, "series_id", "place").select("series_id", "t", "y")
 
 
 def first_series(df: DataFrame, by: str = "series_id") -> DataFrame:

@@ -1,35 +1,20 @@
-"""Blended forecasts of a stream of values (series_id, t, y).
+"""Blended forecasts of a stream of values (series_id, t, y), written behind every micro-batch.
 
 Every micro-batch is one batch of observations for each series in it: the workers are fitted anew to what the
 series has had so far, forecast the horizon, and are trusted by their latest held-out errors, those of earlier
-micro-batches included. The state store keeps each series' latest values; workers, confidence and blend are the
-DataFrame operators of batch forecasts, run over the series of the micro-batch.
-
-What a micro-batch leaves for the next (errors of each series and worker, LAST at most) is written to two folders
-in turn, so a micro-batch that is run again after a failure finds what it found before and writes the same.
-Rows without a series, time or value are left out.
+micro-batches included (see engine.py, which keeps all of it in the state store). A micro-batch that is run again after a
+failure starts from the state that it started from before and writes the same folder anew. Rows without a series, time or value are left out.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.query import StreamingQuery
 
-from ..functions import expressions as E
-from ..operators import ensemble
 from ..plans import workers as W
+from . import engine
 
-KEYS = ["series_id", "t"]
-WINDOWS = "series_id string, t int, n long, signal_std double, y array<double>"
-ERRORS = "series_id string, worker string, variance double, errors array<double>"
-FORECASTS = "series_id string, t int, h int, value double, lower double, upper double, confidence double, agreement double, batch long"
-#: Errors that a worker's confidence is made of, and values of a series that are kept unless told otherwise.
-LAST, MAX_HISTORY = 50, 4096
+FORECASTS = engine.FORECASTS + ", batch long"
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 
 
@@ -43,67 +28,19 @@ def stateful_session(spark: SparkSession) -> SparkSession:
     return own
 
 
-class Recent(StatefulProcessor):
-    """The latest values of a series, its number of values so far and the deviation of the new ones."""
-
-    def __init__(self, most: int):
-        self.most = most
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("recent", "seen long, y array<double>")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        new = pd.concat(list(rows)).sort_values("t", kind="stable")
-        seen, y = self.state.get() if self.state.exists() else (0, [])
-        seen, y = seen + len(new), [*y, *new["y"].tolist()][-self.most :]
-        self.state.update((seen, y))
-        yield pd.DataFrame({"series_id": [key[0]], "t": [int(new["t"].iloc[-1])], "n": [seen], "signal_std": [max(float(new["y"].std(ddof=0)), 1e-10)], "y": [y]})
-
-    def close(self) -> None:
-        pass
-
-
-def latest_errors(windows: DataFrame, before: DataFrame, workers: dict[str, W.Worker]) -> DataFrame:
-    """(series_id, worker, variance, errors): the last LAST held-out errors, the new ones behind those of `before`."""
-    known = F.when(F.col("error").isNotNull(), F.struct("h", "error"))
-    new = W.held_out(windows, KEYS, workers).groupBy("series_id", "worker", F.col("variance").alias("now"))
-    new = new.agg(F.transform(F.array_sort(F.collect_list(known)), lambda x: x["error"]).alias("new"))
-    none = F.array().cast("array<double>")
-    both = before.join(new, ["series_id", "worker"], "full").withColumn("all", F.concat(F.coalesce("errors", none), F.coalesce("new", none)))
-    last = F.slice("all", F.greatest(F.size("all") - LAST + 1, F.lit(1)), F.lit(LAST))
-    return both.select("series_id", "worker", F.coalesce("now", "variance").alias("variance"), last.alias("errors"))
-
-
-def blended(windows: DataFrame, errors: DataFrame, horizon: int, workers: dict[str, W.Worker], level: float) -> DataFrame:
-    """(series_id, t, h, value, lower, upper, confidence, agreement); a series without a ready worker gets one row of NaN."""
-    count = F.size("errors").cast("long")
-    mse = F.when(count > 0, F.aggregate("errors", F.lit(0.0), lambda s, x: s + x) / count).otherwise(0.0)
-    confidence = errors.select("series_id", "worker", E.confidence(mse, F.col("variance"), count).alias("confidence"))
-    forecasts = W.trusted(W.predictions(windows, KEYS, horizon, workers), confidence, ["series_id"])
-    return ensemble.blend(forecasts, windows.select(*KEYS, "n", "signal_std"), KEYS, level)
-
-
-def start(stream: DataFrame, path: str, horizon: int, workers: dict[str, W.Worker] | None = None, max_history: int = MAX_HISTORY, level: float = 0.8, **trigger) -> StreamingQuery:
+def start(stream: DataFrame, path: str, horizon: int, workers: dict[str, W.Worker] | None = None, max_history: int | None = None, level: float = 0.8, forget_after_ms: int | None = None, **trigger) -> StreamingQuery:
     """Start writing the forecasts behind every micro-batch to `path`, a folder that all executors share.
 
-    The stream belongs to a session with the RocksDB state store (see stateful_session). Series of more than
-    `max_history` values are forecast from their last ones.
+    The stream belongs to a session with the RocksDB state store (see stateful_session). All values of a series
+    count, unless `max_history` bounds them.
     """
-    chosen = W.DEFAULT if workers is None else workers
+    whole = stream.dropna(subset=["series_id", "t", "y"]).select("series_id", "t", "y")
+    found = engine.ensembles(whole, workers, horizon, max_history, level, forget_after_ms)
 
     def handle(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        here, there = (f"{path}/state-{k % 2}" for k in (number, number + 1))
-        batch.write.mode("overwrite").parquet(f"{here}/windows")
-        windows = spark.read.schema(WINDOWS).parquet(f"{here}/windows")
-        before = spark.read.schema(ERRORS).parquet(f"{there}/errors") if number else spark.createDataFrame([], ERRORS)
-        latest_errors(windows, before, chosen).write.mode("overwrite").parquet(f"{here}/errors")
-        errors = spark.read.schema(ERRORS).parquet(f"{here}/errors")
-        blended(windows, errors, horizon, chosen, level).write.mode("overwrite").parquet(f"{path}/forecasts/batch={number}")
+        batch.write.mode("overwrite").parquet(f"{path}/forecasts/batch={number}")
 
-    whole = stream.dropna(subset=["series_id", "t", "y"])
-    recent = whole.groupBy("series_id").transformWithStateInPandas(Recent(max_history), outputStructType=WINDOWS, outputMode="Append", timeMode="None")
-    return recent.writeStream.foreachBatch(handle).option("checkpointLocation", f"{path}/checkpoint").trigger(**(trigger or {"availableNow": True})).start()
+    return found.writeStream.foreachBatch(handle).option("checkpointLocation", f"{path}/checkpoint").trigger(**(trigger or {"availableNow": True})).start()
 
 
 def forecasts(spark: SparkSession, path: str) -> DataFrame:

@@ -15,9 +15,14 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..functions import kernels as K
+from ..functions.expressions import confidence
+from ..operators.autoregression import one_step, with_latest
+from ..operators.windows import BLOCK, lengths
+from ..plans.decompose import per_window
 
 OUTPUT = "series_id string, t int, y double, predicted double, confidence double, n long"
 ERRORS = 50
@@ -120,12 +125,21 @@ def observe(stream: DataFrame, noisy: bool = False, refit: str = "once", max_his
     return stream.groupBy("series_id").transformWithStateInPandas(Observer(noisy, refit, max_history), outputStructType=OUTPUT, outputMode="Append", timeMode="None")
 
 
-def replay(series: DataFrame, noisy: bool = False) -> DataFrame:
-    """What observe() gives for a whole series read at once, as a grouped map: for history and for tests."""
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows, m = rows.sort_values("t"), Model(noisy)
-        predicted = [m.observe(v) for v in rows["y"].tolist()]
-        return pd.DataFrame({"series_id": rows["series_id"], "t": rows["t"].astype("int32"), "y": rows["y"], "predicted": predicted, "confidence": m.confidence() if m.coef else 0.0, "n": m.seen})
-
-    return series.groupBy("series_id").applyInPandas(run, OUTPUT)
+def replay(series: DataFrame, block: int = BLOCK) -> DataFrame:
+    """What observe() gives for whole series read at once, for history: every series is put in order in blocks only.
+
+    The model is fitted to the first LEAST values; a prediction is a sum over the latest values of its row, and the confidence comes from the
+    last ERRORS rows of a series.
+    """
+    n = lengths(series)
+    first = series.where(F.col("t") < LEAST).groupBy("series_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("t", "y"))), lambda x: x["y"]).alias("first"))
+    known = per_window(first.where(F.size("first") == LEAST), ["first"], "coef array<double>, variance double", lambda y: {"coef": K.least_squares_ar(np.array(y), LAGS).tolist(), "variance": float(np.var(y))})
+    rows = with_latest(series.select("series_id", "t", "y"), ["series_id"], LAGS, block=block).join(n, "series_id").join(known.drop("first"), "series_id", "left")
+    ready = F.col("t") >= LEAST - 1
+    rows = rows.withColumn("predicted", F.when(ready, one_step(F.col("coef"), F.col("latest"))))
+    before = F.when(F.col("t") >= LEAST, one_step(F.col("coef"), F.slice("latest", F.lit(2), F.lit(LAGS))))
+    last = rows.where(F.col("t") >= F.col("n") - ERRORS).withColumn("error", F.pow(F.col("y") - before, F.lit(2)))
+    mean = last.groupBy("series_id", "variance").agg(F.avg("error").alias("mse"), F.count("error").alias("errors"))
+    trust = mean.where("variance is not null").select("series_id", confidence(F.col("mse"), F.col("variance"), F.col("errors")).alias("confidence"))
+    out = rows.join(trust, "series_id", "left")
+    return out.select("series_id", F.col("t").cast("int").alias("t"), "y", F.coalesce("predicted", F.lit(float("nan"))).alias("predicted"), F.coalesce("confidence", F.lit(0.0)).alias("confidence"), F.col("n").cast("long").alias("n"))

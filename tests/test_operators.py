@@ -132,8 +132,8 @@ def test_native_level_shifts_are_the_kernel(spark):
     df = frame(spark, a=y, short=y[:30], flat=np.zeros(100))
     found = shocks.level_shifts(df)
     got = shocks.without_shifts(df, found).where("series_id = 'a'").orderBy("t").collect()
-    assert np.allclose([r.shift for r in got], workers.level_shift(y))
-    assert sorted(r["index"] for r in found.collect()) == (np.flatnonzero(np.diff(workers.level_shift(y))) + 1).tolist() == [220] and {r.series_id for r in found.collect()} == {"a"}
+    assert np.allclose([r.shift for r in got], K.level_shift(y))
+    assert sorted(r["index"] for r in found.collect()) == (np.flatnonzero(np.diff(K.level_shift(y))) + 1).tolist() == [220] and {r.series_id for r in found.collect()} == {"a"}
 
 
 def test_native_classical_is_the_kernel(spark):
