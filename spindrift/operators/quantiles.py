@@ -22,9 +22,8 @@ BUCKETS, GATHERED = 256, 65_536
 FEW = 100_000
 
 
-def near(rows: DataFrame, ranges: DataFrame, keys: Sequence[str]) -> DataFrame:
+def near(rows: DataFrame, ranges: DataFrame, keys: Sequence[str], small: bool) -> DataFrame:
     """Rows with the ranges of their group that hold them."""
-    small = ranges.count() <= FEW
     met = rows.join(F.broadcast(ranges) if small else ranges, list(keys))
     return met.where((F.col("__v") >= F.col("__lo")) & (F.col("__v") <= F.col("__hi")))
 
@@ -34,7 +33,7 @@ def logarithm(x: Column) -> Column:
     return F.signum(x) * F.greatest(F.log(F.abs(x) + 1e-300) - math.log(1e-300), F.lit(0.0))
 
 
-def narrowed(rows: DataFrame, ranges: DataFrame, keys: Sequence[str]) -> DataFrame:
+def narrowed(rows: DataFrame, ranges: DataFrame, keys: Sequence[str], small: bool) -> DataFrame:
     """One round: for each range the part of it that holds its rank."""
     # halves, so that the width of a range is finite
     share = (F.col("__v") / 2 - F.col("__lo") / 2) / (F.col("__hi") / 2 - F.col("__lo") / 2)
@@ -43,7 +42,7 @@ def narrowed(rows: DataFrame, ranges: DataFrame, keys: Sequence[str]) -> DataFra
     # both shares rise with the value, and so does the sum of their parts
     bucket = F.least(F.floor(share * BUCKETS), F.lit(BUCKETS - 1)) + F.floor(tail * BUCKETS)
     of_range = [*keys, "__rank"]
-    counts = near(rows, ranges, keys).groupBy(*of_range, "__below", bucket.alias("__bucket")).agg(F.count(F.lit(1)).alias("__inside"), F.min("__v").alias("__lo"), F.max("__v").alias("__hi"))
+    counts = near(rows, ranges, keys, small).groupBy(*of_range, "__below", bucket.alias("__bucket")).agg(F.count(F.lit(1)).alias("__inside"), F.min("__v").alias("__lo"), F.max("__v").alias("__hi"))
     up_to = F.col("__below") + F.sum("__inside").over(Window.partitionBy(*of_range).orderBy("__bucket"))
     found = counts.withColumn("__end", up_to).withColumn("__below", F.col("__end") - F.col("__inside"))
     return found.where((F.col("__below") <= F.col("__rank")) & (F.col("__rank") < F.col("__end"))).select(*of_range, "__lo", "__hi", "__below", "__inside")
@@ -61,11 +60,13 @@ def exact_quantiles(rows: DataFrame, keys: Sequence[str], value: str | Column, s
     place = {name: F.lit(float(p)) * (F.col("__n") - 1) for name, p in shares.items()}
     ranks = F.array_distinct(F.array(*[f(x).cast("long") for x in place.values() for f in (F.floor, F.ceil)]))
     ranges = ends.select(*keys, F.explode(ranks).alias("__rank"), "__lo", "__hi", F.lit(0).cast("long").alias("__below"), F.col("__n").alias("__inside"))
+    groups = ends.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.max("__n"), F.lit(0)).alias("most")).first()
+    small = 2 * len(shares) * groups.n <= FEW
     wide = (F.col("__inside") > GATHERED) & (F.col("__lo") < F.col("__hi"))
-    while not ranges.where(wide).isEmpty():
-        ranges = stored(ranges.where(~wide).unionByName(narrowed(values, ranges.where(wide), keys)), "quantile-ranges")
+    while groups.most > GATHERED and not ranges.where(wide).isEmpty():
+        ranges = stored(ranges.where(~wide).unionByName(narrowed(values, ranges.where(wide), keys, small)), "quantile-ranges")
     one = F.col("__lo") == F.col("__hi")
-    rest = near(values, ranges.where(~one), keys).groupBy(*keys, "__rank", "__below").agg(F.array_sort(F.collect_list("__v")).alias("__run"))
+    rest = near(values, ranges.where(~one), keys, small).groupBy(*keys, "__rank", "__below").agg(F.array_sort(F.collect_list("__v")).alias("__run"))
     found = ranges.where(one).select(*keys, "__rank", F.col("__lo").alias("__x")).unionByName(rest.select(*keys, "__rank", F.get("__run", (F.col("__rank") - F.col("__below")).cast("int")).alias("__x")))
     by_rank = found.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("__rank", "__x"))).alias("__at"))
     known = ends.select(*keys, "__n").join(by_rank, list(keys))

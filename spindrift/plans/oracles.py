@@ -100,6 +100,9 @@ SHIFTS = """
     med AS (SELECT c.series_id, cp, threshold, median(y) FILTER (t < cp) AS before, median(y) FILTER (t > cp) AS after FROM cand c JOIN series s ON s.series_id = c.series_id AND s.t BETWEEN cp - win AND cp + win AND s.t <> cp WHERE win >= 3 GROUP BY ALL),
     iqr AS (SELECT series_id, quantile_cont(y, 0.75) - quantile_cont(y, 0.25) AS iqr FROM series GROUP BY 1)"""
 
+#: Monthly totals of each priority, held until the next month's.
+HELD = series_sql("orders", "o_orderpriority", "CAST(floor(epoch(date_trunc('month', o_orderdate)) / 86400) AS BIGINT)", "o_totalprice").replace("coalesce(f.y, 0.0)", "f.y").replace("series AS (", "months AS (")
+HELD += ", series AS (SELECT series_id, t, last_value(y IGNORE NULLS) OVER (PARTITION BY series_id ORDER BY t) AS y FROM months)"
 #: The same with a window of 7, so gaps of 3, and a threshold of one robust deviation.
 NARROW = SHIFTS.replace("n >= 42", "n >= 14").replace("least(3 + sqrt(any_value(kurt)), 10) *", "1.0 *").replace(">= 10 THEN", ">= 3 THEN").replace("least(21,", "least(7,")
 FOUND = "found AS (SELECT m.series_id, CAST(cp + 1 AS INTEGER) AS t, after - before AS magnitude FROM med m JOIN iqr USING (series_id) WHERE abs(after - before) >= greatest(threshold, iqr))"
@@ -301,7 +304,12 @@ ORACLES: dict[str, str] = {
     "classical_decomposition": query("SELECT series_id, t, round(filled, 6) AS filled, round(seasonal, 6) AS seasonal, round(y - filled - seasonal, 6) AS rest FROM (SELECT *, avg(y - filled) OVER (PARTITION BY series_id, t % 24) AS seasonal FROM (SELECT *, coalesce(last_value(trend IGNORE NULLS) OVER (PARTITION BY series_id ORDER BY t), first_value(trend IGNORE NULLS) OVER (PARTITION BY series_id ORDER BY t ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS filled FROM (SELECT series_id, t, y, CASE WHEN count(*) OVER f = 25 THEN avg(y) OVER f END AS trend FROM series WINDOW f AS (PARTITION BY series_id ORDER BY t ROWS BETWEEN 12 PRECEDING AND 12 FOLLOWING))))"),
     "trend_tail": query("SELECT series_id, round(regr_slope(trend, t), 6) AS slope, round(regr_intercept(trend, t), 3) AS intercept, count(*) AS n FROM (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY t DESC) AS rk, count(*) OVER (PARTITION BY series_id) AS m FROM (SELECT series_id, t, CASE WHEN count(*) OVER f = 25 THEN avg(y) OVER f END AS trend FROM series WINDOW f AS (PARTITION BY series_id ORDER BY t ROWS BETWEEN 12 PRECEDING AND 12 FOLLOWING)) WHERE trend IS NOT NULL) WHERE rk <= greatest(20, m // 4) GROUP BY 1"),
     "level_shift_candidates": query("SELECT m.series_id, CAST(cp + 1 AS INTEGER) AS index, round(after - before, 4) AS magnitude, round(threshold, 4) AS threshold, round(iqr, 4) AS iqr FROM med m JOIN iqr USING (series_id)", NATION, SHIFTS),
-    "level_shifts": query("SELECT m.series_id, CAST(cp + 1 AS INTEGER) AS index, round(after - before, 4) AS magnitude FROM med m JOIN iqr USING (series_id) WHERE abs(after - before) >= greatest(threshold, iqr)", DAILY, SHIFTS),
+    "level_shifts": query("SELECT m.series_id, CAST(cp + 1 AS INTEGER) AS index, round(after - before, 2) AS magnitude FROM med m JOIN iqr USING (series_id) WHERE abs(after - before) >= greatest(threshold, iqr)", HELD, SHIFTS),
+    "csv_modes": query("""
+        SELECT 'checked mixed' AS part, count(*) AS n, CAST(sum(t) AS DOUBLE) AS total, CAST(max(k) AS INTEGER) AS last_t FROM placed
+        UNION ALL SELECT 'tolerant mixed', count(*), CAST(sum(t) AS DOUBLE), CAST(max(k) AS INTEGER) FROM placed
+        UNION ALL SELECT 'tolerant missing', 0, 0.0::DOUBLE, -1 UNION ALL SELECT 'strict clean', count(*), CAST(sum(t) AS DOUBLE), max(t) FROM series""", DAILY,
+        "placed AS (SELECT t, row_number() OVER (PARTITION BY series_id ORDER BY t) - 1 AS k FROM series WHERE t % 10 <> 3)"),
     "narrow_level_shifts": query("SELECT series_id, t AS index, round(magnitude, 4) AS magnitude FROM found", HOURLY, NARROW, FOUND),
     "shift_free_series": query("SELECT series_id, t, round(y, 4) AS y, round(shift, 4) AS shift, round(y - shift, 4) AS cleaned FROM (SELECT s.*, sum(coalesce(magnitude, 0)) OVER (PARTITION BY s.series_id ORDER BY s.t) AS shift FROM series s LEFT JOIN found USING (series_id, t))", HOURLY, NARROW, FOUND),
     "shock_select": query(f"SELECT {KEY}, CAST(onset AS INTEGER) AS onset, shape, round(magnitude, 5) AS magnitude, round(rate, 7) AS rate, round(aic, 5) AS aic FROM (SELECT *, row_number() OVER (PARTITION BY {KEY} ORDER BY aic, ord) AS rk FROM opt) WHERE rk = 1", HOURLY, W, LINE, SHOCK),

@@ -115,6 +115,22 @@ def csv_round_trip(spark, sf_dir):
     return rounded(back.groupBy("series_id").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("total"), F.max("t").alias("last_t")), total=4)
 
 
+@registered
+def csv_modes(spark, sf_dir):
+    """What each mode of reading makes of a column with every tenth cell not a number, of a clean one and of one that is not there."""
+    path = new_path(spark, "modes-csv")
+    daily = S.daily_orders(spark, sf_dir)
+    cells = daily.select(F.col("series_id").alias("unique_id"), F.col("t").alias("ds"), F.col("t").alias("clean"), F.when(F.col("t") % 10 == 3, "n/a").otherwise(F.col("t").cast("string")).alias("mixed"))
+    cells.write.option("header", True).csv(path)
+    read = lambda column, mode: csv_files.read_column(spark, path, column, order_by="ds", series="unique_id", mode=mode)
+    parts = {"checked mixed": read("mixed", "checked"), "tolerant mixed": read("mixed", "tolerant"), "tolerant missing": read("missing", "tolerant"), "strict clean": read("clean", "strict")}
+    out = None
+    for name, rows in parts.items():
+        part = rows.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("y"), F.lit(0.0)).alias("total"), F.coalesce(F.max("t"), F.lit(-1)).alias("last_t")).withColumn("part", F.lit(name))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 @registered
 def first_series(spark, sf_dir):
     return rounded(csv_files.first_series(S.daily_orders(spark, sf_dir)), y=4)
@@ -337,7 +353,10 @@ def level_shift_candidates(spark, sf_dir):
 
 @registered
 def level_shifts(spark, sf_dir):
-    return rounded(shocks.level_shifts(S.daily_orders(spark, sf_dir)), magnitude=4)
+    """Shifts of each priority's monthly total, held from day to day until the next month's."""
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").withColumn("month", F.date_trunc("month", "o_orderdate"))
+    held = S.from_events(orders, F.col("o_orderpriority"), S.bucket_number(orders, "month", S.DAY), F.col("o_totalprice"), fill="forward")
+    return rounded(shocks.level_shifts(held), magnitude=2)
 
 
 def small_shifts(spark: SparkSession, sf_dir: str) -> DataFrame:
