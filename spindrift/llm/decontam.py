@@ -7,11 +7,12 @@ until no match of `least` words is left. An item is in a document if its tiles c
 words, in whatever order its passages stand there.
 
 The benchmark is sent to the executors in blocks of about BLOCK_WORDS words, each of which passes over all
-documents, so what is broadcast is bounded whatever the size of the benchmark.
+documents, so what a task holds is bounded whatever the size of the benchmark. The driver holds the plan with all blocks, so a
+benchmark must fit into its memory, and its blocks are as many scans.
 
 Defined cases: words are runs of characters between white space and ASCII punctuation, without regard to
-case; a null text has none; an item of fewer than `least` words is only in a document that has no other words, and an
-item without words in none; repeated rows each give their rows; null ids are carried; an empty table on either side finds nothing; other columns are never
+case; a null text has none; an item of fewer than `least` words is in a document that has all of them in their order, one
+behind the other, wherever they stand, and an item without words in none; repeated rows each give their rows; null ids are carried; an empty table on either side finds nothing; other columns are never
 looked at.
 """
 
@@ -120,13 +121,19 @@ class Matcher:
             h = h * np.uint64(0x100000001B3) + ids[at + k] * np.uint64(0x9E3779B97F4A7C15)
         return h ^ h >> np.uint64(31)
 
+    def short_items(self, ws: list[bytes]) -> list[tuple[int, float, int, int, int]]:
+        """Items of fewer than `least` words, each looked for at every place."""
+        found = set()
+        for n in {len(k) for k in self.short}:
+            found |= self.short.keys() & set(zip(*(ws[i:] for i in range(n)), strict=False))
+        return [(item, 1.0, 1, len(k), len(k)) for k in sorted(found) for item in self.short[k]]
+
     def find(self, text: str | None) -> list[tuple[int, float, int, int, int]]:
         """(item, coverage, tiles, tiled words, words) of each item that the text holds."""
         ws = words(text or "")
-        if len(ws) < self.least:
-            return [(item, 1.0, 1, len(ws), len(ws)) for item in self.short.get(tuple(ws), ())]
-        if not len(self.seeds):
-            return []
+        out = self.short_items(ws)
+        if len(ws) < self.least or not len(self.seeds):
+            return out
         get = self.vocabulary.get
         ids = np.array([get(w, 0) for w in ws], np.uint64)
         known = ids != 0
@@ -136,11 +143,11 @@ class Matcher:
             run &= known[k : k + n]
         at = np.flatnonzero(run)
         if not len(at):
-            return []
+            return out
         h = self.hashes(ids, at)
         hit = self.seeds[np.minimum(np.searchsorted(self.seeds, h), len(self.seeds) - 1)] == h
         if not hit.any():
-            return []
+            return out
         at, h = at[hit], h[hit]
         order = np.argsort(h, kind="stable")
         edges = np.flatnonzero(np.diff(h[order], prepend=~h[order[0]]))
@@ -149,7 +156,6 @@ class Matcher:
         for x in where:
             for item, q in self.places[x]:
                 seen[item][x].append(q)
-        out = []
         for item, seeds in seen.items():
             item_id, size = self.sizes[item]
             # no more words can be tiled than the seeds' places in the item cover

@@ -6,7 +6,8 @@ The Nyström method maps a text to its kernels with `landmarks` sample texts of
 their own kernel matrix, and one ridge regression for each language against the rest is solved on that map.
 Scoring a batch is two matrix products: presence times landmark spectra, and kernels times weights.
 
-The sample has about PER_LANGUAGE labelled rows of each language; spectra, not texts, reach the driver.
+The sample has about PER_LANGUAGE labelled rows of each language; spectra, not texts, reach the driver. Kernels are exact: a run
+that no landmark has adds nothing to them but to the number of the text's runs, so only the landmarks' runs are kept, all of them.
 
 Defined cases: a text that is null or has no letter is `und` with score 0; rows with a null language are
 not learned from; with no labelled row at all every text is `und`; repeated rows each give a row; null ids
@@ -26,8 +27,6 @@ from pyspark.sql import functions as F
 from .sampling import balanced_sample
 
 PER_LANGUAGE, LANDMARKS, RIDGE = 300, 32, 0.01
-#: Runs kept: the commonest of the sample.
-MOST_RUNS = 6000
 UNKNOWN = "und"
 LETTERS_ONLY = bytes(c if c > 127 or chr(c).isalpha() else 32 for c in range(256))
 BATCH = 64
@@ -56,32 +55,33 @@ def spectrum(text: str) -> np.ndarray:
 @dataclass
 class Model:
     languages: list[str]
-    codes: np.ndarray  # of the runs that are kept
+    codes: np.ndarray  # of the runs of all landmarks
     spectra: np.ndarray  # landmarks x runs, each divided by the root of its number of runs
     weights: np.ndarray  # landmarks x languages
 
 
-def kernel(presence: np.ndarray, spectra: np.ndarray) -> np.ndarray:
-    return (presence @ spectra.T) / np.sqrt(np.maximum(presence.sum(axis=1, keepdims=True), 1))
+def kernel(presence: np.ndarray, sizes: np.ndarray, spectra: np.ndarray) -> np.ndarray:
+    """presence: which of the landmarks' runs each text has; sizes: how many runs of any kind."""
+    return (presence @ spectra.T) / np.sqrt(np.maximum(sizes, 1))[:, None]
 
 
-def fit(samples: list[tuple[str, np.ndarray]], landmarks: int = LANDMARKS, ridge: float = RIDGE, most_runs: int = MOST_RUNS) -> Model | None:
+def fit(samples: list[tuple[str, np.ndarray]], landmarks: int = LANDMARKS, ridge: float = RIDGE) -> Model | None:
     """A model from (language, spectrum) pairs."""
     if not samples:
         return None
     languages = sorted({x for x, _ in samples})
-    codes, n = np.unique(np.concatenate([s for _, s in samples]), return_counts=True)
-    codes = np.sort(codes[np.lexsort((codes, -n))[:most_runs]])
+    label = np.array([languages.index(x) for x, _ in samples])
+    chosen = np.concatenate([np.flatnonzero(label == k)[:landmarks] for k in range(len(languages))])
+    codes = np.unique(np.concatenate([samples[i][1] for i in chosen]))
+    sizes = np.array([len(s) for _, s in samples])
     presence = np.zeros((len(samples), len(codes)), np.float32)
     for i, (_, s) in enumerate(samples):
         presence[i, np.searchsorted(codes, s[np.isin(s, codes)])] = 1
-    label = np.array([languages.index(x) for x, _ in samples])
-    chosen = np.concatenate([np.flatnonzero(label == k)[:landmarks] for k in range(len(languages))])
-    spectra = presence[chosen] / np.sqrt(np.maximum(presence[chosen].sum(axis=1, keepdims=True), 1))
-    values, vectors = np.linalg.eigh(kernel(presence[chosen], spectra).astype(np.float64))
+    spectra = presence[chosen] / np.sqrt(np.maximum(sizes[chosen], 1))[:, None]
+    values, vectors = np.linalg.eigh(kernel(presence[chosen], sizes[chosen], spectra).astype(np.float64))
     keep = values > 1e-6 * values[-1]
     whiten = vectors[:, keep] / np.sqrt(values[keep])
-    mapped = kernel(presence, spectra) @ whiten
+    mapped = kernel(presence, sizes, spectra) @ whiten
     # every language weighs the same however many rows it has
     weight = (1 / np.bincount(label, minlength=len(languages)))[label]
     target = (label[:, None] == np.arange(len(languages))).astype(np.float64)
@@ -107,7 +107,7 @@ def predict(df: DataFrame, model: Model | None, id_col: str = "doc_id", text_col
     """One row per row of df: id, lang_pred, score (the share of the best language among the positive outputs)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place = np.zeros(1 << 24, np.uint16)
+        place, last = np.zeros(1 << 24, np.int32), np.zeros(1 << 24, np.int32)
         if model:
             place[model.codes] = np.arange(1, len(model.codes) + 1)
         for b in batches:
@@ -117,10 +117,15 @@ def predict(df: DataFrame, model: Model | None, id_col: str = "doc_id", text_col
             for k in range(0, len(todo), BATCH):
                 some = todo[k : k + BATCH]
                 presence = np.zeros((len(some), len(model.codes) + 1), np.float32)
-                for row, i in zip(presence, some, strict=True):
+                sizes = np.zeros(len(some))
+                for row, i in enumerate(some):
                     for codes in runs(texts[i]):
-                        row[place[codes]] = 1
-                out = kernel(presence[:, 1:], model.spectra) @ model.weights
+                        presence[row, place[codes]] = 1
+                        # each run counts once: where it comes last
+                        order = np.arange(len(codes), dtype=np.int32)
+                        last[codes] = order
+                        sizes[row] += np.count_nonzero(last[codes] == order)
+                out = kernel(presence[:, 1:], sizes, model.spectra) @ model.weights
                 best = out.argmax(axis=1)
                 positive = np.maximum(out, 0)
                 share = positive[np.arange(len(some)), best] / np.maximum(positive.sum(axis=1), 1e-9)

@@ -189,11 +189,43 @@ def test_pages_without_article():
 
 def test_blocks_of_furniture_and_links():
     found = html_text.blocks("<p>one <span class='ad'>buy <span>now</span></span> two</p><p class='notice'>old<p>new <a href=x>lin<div>ked</div></a> free")
-    assert [(b.text, b.furniture, b.linked) for b in found] == [("buy now", 1, 0), ("one two", 0, 0), ("old", 1, 0), ("new lin", 0, 1), ("ked", 0, 1), ("free", 0, 0)]
+    assert [(b.text, b.named, b.linked) for b in found] == [("buy now", 1, 0), ("one two", 0, 0), ("old", 1, 0), ("new lin", 0, 1), ("ked", 0, 1), ("free", 0, 0)]
     found = html_text.blocks("<div><a href=x>menu</div><p>text")
     assert [(b.text, b.linked) for b in found] == [("menu", 1), ("text", 0)]
 
 
+@pytest.mark.parametrize("mark", ["class='ad-free-notes'", "class='tags-explained'", "class='social-science'", "id='meta-analysis'", "id='comments-on-method'", "class='lead banner-of-hope'"])
+def test_names_that_are_not_furniture(mark):
+    page = f"<nav><a href=x>Home</a></nav><article><h1>Title</h1><div {mark}><p>Some words of the article.</p><p>And a <label>few</label> more.</p></div></article>"
+    assert html_text.main_text(page, html_text.tree()) == "Title\nSome words of the article.\nAnd a few more."
+
+
+@pytest.mark.parametrize("mark", ["class='ad'", "class='cookie-notice'", "id='commentsList'", "class='big sidebar-left'", "class='promo_box2'"])
+def test_names_of_furniture(mark):
+    body = "<p>" + "Words of the article. " * 20 + "</p>"
+    page = f"<article><h1>Title</h1>{body}<div {mark}><p>Buy this thing now, it is cheap.</p></div>{body}</article><div {mark}><p>{'All of you may buy it. ' * 20}</p></div>"
+    text = html_text.main_text(page, html_text.tree())
+    assert "buy" not in text.lower() and text.count("article") == 40
+    # a named box of many words without links is text inside an article
+    assert html_text.main_text(f"<article>{body}<div {mark}>{body}</div></article>", html_text.tree()).count("article") == 40
+
+
+def test_pages_without_marks(spark, sf):
+    """The given pages with neither classes nor elements that say what they hold: words and links alone decide."""
+    import re
+    from collections import Counter
+
+    kept = wrong = total = 0
+    root = html_text.tree()
+    for r in spark.read.parquet(f"{sf}/pages.parquet").collect():
+        want = html_text.main_text(r.html, root).split("\n")
+        bare = re.sub(r"<(/?)(?:article|nav|footer|main|header|aside)\b[^>]*>", r"<\1div>", re.sub(r"<(\w+)[^>]*?(?: class| id| role)=[^>]*>", r"<\1>", r.html))
+        got = html_text.main_text(bare, root).split("\n")
+        same = (Counter(want) & Counter(got)).total()
+        total, kept, wrong = total + len(want), kept + same, wrong + len(got) - same
+    assert kept / total > 0.97 and kept / (kept + wrong) > 0.8
+
+
 def test_broken_pages_take_linear_time():
     import time
 

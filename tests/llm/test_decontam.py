@@ -58,7 +58,10 @@ def test_one_word_very_often_is_quick():
 def test_items_too_short_for_a_seed():
     m = decontam.Matcher([(1, "so short"), (2, "..."), (3, "one two three four five six")])
     assert m.find("So, short!") == [(1, 1.0, 1, 2, 2)]
-    assert not m.find("this is so short a text that it has the item") and not m.find("so") and not m.find("...")
+    # the item counts inside a longer text too, wherever its words stand together
+    assert m.find("this is so short a text that it has the item") == [(1, 1.0, 1, 2, 2)] == m.find("it is so, short")
+    assert not m.find("so it is short") and not m.find("so") and not m.find("...") and not m.find("")
+    assert sorted(m.find("so short one two three four five six so short")) == [(1, 1.0, 1, 2, 2), (3, 1.0, 1, 6, 6)]
 
 
 def test_reordered_and_changed_passages():
