@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import functools
 import string
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -12,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.scratch import shared_dir
 
 #: Rows of an Arrow batch: texts are thousands of characters, and each task holds some batches outside the heap.
 BATCH_ROWS = 1000
@@ -30,16 +29,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
-    return spark.conf.get("spark.checkpoint.dir", None) or own_dir()
-
-
-@functools.cache
-def own_dir() -> str:
-    return tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-
-
 def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/spindrift/{name}-{uuid.uuid4().hex}"
 

@@ -10,7 +10,8 @@ shares. The sample is thus at most 4 * PER_LABEL * LONGEST bytes, a few MB as a
 Embedding and filters are folded into one table for each pair of neighbouring bytes.
 
 Defined cases: null and empty texts are one empty chunk and get a score like any other; null labels are not
-learned from; where only one label (or none) occurs, its share (0.5) is every score; repeated rows each give
+learned from; where only one label (or none) occurs, 0.5 is every score, and a label whose documents all exceed LONGEST bytes
+counts as one that does not occur; repeated rows each give
 a row; null ids are carried; an empty table gives an empty table; other columns are never looked at.
 """
 

@@ -27,7 +27,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, per_labe
     """(text, label) of about per_label documents of each label 0 and 1, stored, and the numbers of rows by label.
 
     Labels are sampled before they meet the texts: the sample of ids is bounded, so it is broadcast and no
-    text but the sample's is written anywhere.
+    text but the sample's is written anywhere. Documents that share a sampled id all count, 4 * per_label of them at most; which
+    ones those are may differ between runs where there are more.
     """
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).where(F.col("label").isin(0, 1) & F.col("id").isNotNull())
     known = known.groupBy("id").agg(F.min("label").alias("label"))  # a repeated id has one label

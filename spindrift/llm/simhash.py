@@ -25,6 +25,7 @@ other; an empty table gives an empty table; other columns are never looked at.
 from __future__ import annotations
 
 import itertools
+import math
 import random
 from collections.abc import Iterator
 
@@ -323,15 +324,24 @@ def proposed(mixed: DataFrame, sketches: DataFrame, similarity: float, block: in
 def remaining(mixed: DataFrame, sketches: DataFrame, similarity: float, block: int) -> DataFrame:
     """(u, v), u > v: all pairs of a bucket that may be so similar and are in different components, each once.
 
-    The documents that are not in a bucket's greatest component are compared with all of it, block by block.
+    The documents that are not in a bucket's greatest component are compared with all of it, block by block. Similar sets have
+    similar sizes, so a bucket is cut into classes of sizes first, as wide as the similarity allows two sizes to be apart, and such a
+    document meets its own class and the two beside it only.
     """
-    mixed = mixed.withColumn("blocks", F.ceil(F.col("total") / block).cast("int")).withColumn("parts", F.ceil(F.col("rests") / block).cast("int"))
-    mixed = mixed.withColumn("other", F.col("label") != F.col("most"))
-    cols, place = ["k", "bucket", "a", "r", "rest", "x", "label", "other"], F.xxhash64("x")
-    whole = mixed.withColumn("a", F.pmod(place, F.col("blocks")).cast("int")).withColumn("r", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    rest = mixed.where("other").withColumn("r", F.pmod(place, F.col("parts")).cast("int")).withColumn("a", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    # a little wider, so that rounding cannot put two sizes two classes apart
+    width = math.log(1 / similarity) * (1 + 1e-9)
+    size_class = F.floor(F.log(F.greatest("n_shingles", F.lit(1)).cast("double")) / width).cast("int")
+    sized = stored(mixed.withColumn("other", F.col("label") != F.col("most")).join(sketches, "x").withColumn("c", size_class), "copy-sized")
+    keys = ["k", "bucket", "c"]
+    beside = sized.where("other").withColumn("c", F.explode(F.array(*[F.col("c") + d for d in (-1, 0, 1)])))
+    # blocks of the class, and parts of those that it is compared with; classes that none is compared with are left out
+    parts = beside.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("parts"))
+    blocks = sized.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
+    grid = few(stored(blocks.join(parts, keys), "copy-classes"))
+    cols, place = [*keys, "a", "r", "rest", "x", "label", "other", "n_shingles", "odd"], F.xxhash64("x")
+    whole = sized.join(grid, keys).withColumn("a", F.pmod(place, F.col("blocks")).cast("int")).withColumn("r", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    rest = beside.join(grid, keys).withColumn("r", F.pmod(place, F.col("parts")).cast("int")).withColumn("a", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = whole.withColumn("rest", F.lit(False)).select(*cols).unionByName(rest.withColumn("rest", F.lit(True)).select(*cols))
-    dealt = dealt.join(sketches, "x").select(*cols, "n_shingles", "odd")
 
     def found(rows: list[tuple]) -> Iterator[tuple[int, int]]:
         some, against = ([r for r in rows if r[0] == which] for which in (True, False))
@@ -344,8 +354,8 @@ def remaining(mixed: DataFrame, sketches: DataFrame, similarity: float, block: i
             at = bounds.near(size, sketch, (labels != label) & (~other | (names < x)))
             yield from ((x, int(y)) for y in names[at])
 
-    dealt = dealt.repartition("k", "bucket", "a", "r").sortWithinPartitions("k", "bucket", "a", "r", "rest", "x")
-    return dealt.mapInArrow(grouped(found, 4), "u long, v long").where("u > v").distinct()
+    dealt = dealt.repartition(*keys, "a", "r").sortWithinPartitions(*keys, "a", "r", "rest", "x")
+    return dealt.mapInArrow(grouped(found, 5), "u long, v long").where("u > v").distinct()
 
 
 def fingerprint_links(vertices: DataFrame, split: int = SPLIT) -> DataFrame:

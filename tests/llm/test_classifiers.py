@@ -44,10 +44,26 @@ def test_language_kernel_is_that_of_sets():
     model = language_id.fit([("x", language_id.spectrum(a)), ("y", language_id.spectrum(b))])
     both = len(spectrum(a) & spectrum(b)) / np.sqrt(len(spectrum(a)) * len(spectrum(b)))
     presence = np.isin(model.codes, language_id.spectrum(a)).astype(np.float32)[None]
-    k = language_id.kernel(presence, model.spectra)[0]
+    k = language_id.kernel(presence, np.array([len(spectrum(a))]), model.spectra)[0]
     assert np.allclose(sorted(k), sorted([1, both]), atol=1e-6)
 
 
+def test_runs_that_no_landmark_has_count_in_the_norm(spark):
+    """Scores of the whole path against kernels of sets, for texts with runs that the model has never seen."""
+    rng = np.random.default_rng(1)
+    texts = [("x" if i % 2 else "y", " ".join("".join(rng.choice(list("abcdef" if i % 2 else "efghij"), 4)) for _ in range(6))) for i in range(12)]
+    model = language_id.fit([(lang, language_id.spectrum(t)) for lang, t in texts])
+    new = ["abcd qqqq zzzz wxyw", "ghij hhhh", "qqqq"]
+    rows = language_id.predict(spark.createDataFrame(list(enumerate(new)), "doc_id long, text string"), model).collect()
+    chosen = [t for x in "xy" for lang, t in texts if lang == x]
+    for r in rows:
+        s = set(language_id.spectrum(new[r.doc_id]).tolist())
+        k = np.array([len(s & set(language_id.spectrum(t).tolist())) / np.sqrt(len(s) * len(language_id.spectrum(t))) for t in chosen])
+        out = np.maximum(k @ model.weights, 0)
+        assert r.lang_pred == model.languages[int((k @ model.weights).argmax())]
+        assert np.isclose(r.score, out.max() / max(out.sum(), 1e-9), atol=1e-4)
+
+
 def auc(score, label):
     order = np.argsort(np.argsort(score))
     pos = order[label == 1]
