@@ -18,7 +18,7 @@ from ..sources import series as S
 from ..sources.scratch import new_path, stored
 from ..streaming import buckets, engine, observe
 from ..streaming import ensemble as streaming
-from . import backtest, decompose, table_function, workers
+from . import backtest, decompose, native, table_function, workers
 
 C, H = 512, 96
 KEY = W.KEY
@@ -562,6 +562,12 @@ def spectral_forecast(spark, sf_dir):
     return decompose.forecast(decompose.fit(packed(spark, sf_dir).select(*KEY, "y"), H), KEY)
 
 
+@registered
+def native_forecast(spark, sf_dir):
+    """spectral_forecast by the chain of operators over long rows."""
+    return decompose.forecast(native.fit(context(S.hourly_events(spark, sf_dir)), KEY, C, H), KEY)
+
+
 @registered
 def sql_forecast(spark, sf_dir):
     """spectral_forecast by the table function."""

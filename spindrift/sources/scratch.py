@@ -14,9 +14,19 @@ def own_dir() -> str:
     return tempfile.mkdtemp(prefix="spark-", dir="/tmp")
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that all executors share: spark.checkpoint.dir. A session in one process may do without and gets a temporary one."""
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if path:
+        return path
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return own_dir()
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    """A fresh path under spark.checkpoint.dir, or under a temporary folder where it is unset (tests)."""
-    return f"{spark.conf.get('spark.checkpoint.dir', None) or own_dir()}/spindrift/{name}-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/spindrift/{name}-{uuid.uuid4().hex}"
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
