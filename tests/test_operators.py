@@ -221,7 +221,7 @@ def test_forecast_quality(spark):
     long = decompose.forecast(decompose.fit(df.where("series_id = 'c'"), 20), W.KEY).orderBy("h").collect()
     assert np.allclose([x.point for x in short], [x.point for x in long][:10])
     text = decompose.describe(decompose.fit(df, 5), W.KEY).first().description
-    assert all(h in text for h in ("Periodic components", "Trend", "Shocks", "Local"))
+    assert all(h in text for h in ("Periodic components", "Trend", "Shocks", "Local", "Wavelet", "Bounds: 80%"))
 
 
 def test_workers_and_blend(spark):
