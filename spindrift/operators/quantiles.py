@@ -56,14 +56,17 @@ def exact_quantiles(rows: DataFrame, keys: Sequence[str], value: str | Column, s
     v = (F.col(value) if isinstance(value, str) else value).cast("double")
     values = rows.select(*keys, v.alias("__v")).where("__v is not null and not isnan(__v)")
     values = values.withColumn("__v", F.greatest(F.least("__v", F.lit(1.7976931348623157e308)), F.lit(-1.7976931348623157e308)))
+    most = values.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+    if most <= GATHERED:
+        # no range needs narrowing: every group is one that a task puts in order
+        return values.groupBy(*keys).agg(*[F.percentile("__v", float(p)).alias(name) for name, p in shares.items()])
     ends = stored(values.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"), F.min("__v").alias("__lo"), F.max("__v").alias("__hi")), "quantile-ends")
     place = {name: F.lit(float(p)) * (F.col("__n") - 1) for name, p in shares.items()}
     ranks = F.array_distinct(F.array(*[f(x).cast("long") for x in place.values() for f in (F.floor, F.ceil)]))
     ranges = ends.select(*keys, F.explode(ranks).alias("__rank"), "__lo", "__hi", F.lit(0).cast("long").alias("__below"), F.col("__n").alias("__inside"))
-    groups = ends.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.max("__n"), F.lit(0)).alias("most")).first()
-    small = 2 * len(shares) * groups.n <= FEW
+    small = 2 * len(shares) * ends.count() <= FEW
     wide = (F.col("__inside") > GATHERED) & (F.col("__lo") < F.col("__hi"))
-    while groups.most > GATHERED and not ranges.where(wide).isEmpty():
+    while not ranges.where(wide).isEmpty():
         ranges = stored(ranges.where(~wide).unionByName(narrowed(values, ranges.where(wide), keys, small)), "quantile-ranges")
     one = F.col("__lo") == F.col("__hi")
     rest = near(values, ranges.where(~one), keys, small).groupBy(*keys, "__rank", "__below").agg(F.array_sort(F.collect_list("__v")).alias("__run"))

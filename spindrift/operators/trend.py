@@ -50,7 +50,12 @@ def weighted_trends(rows: DataFrame, keys: Sequence[str], n: int, halflife: floa
 
 
 #: Rates of the exponential over the whole of a series: the first grid, the places of each later one, and rounds.
-RATES, FIRST_STEP, LATER, ROUNDS = 41, 0.5, 21, 5
+RATES, FIRST_STEP, LATER, ROUNDS = 41, 0.5, 101, 3
+
+
+def rates_beside(step: float) -> Column:
+    places = F.sequence(F.lit(-(LATER // 2)), F.lit(LATER // 2))
+    return F.transform(places, lambda k: F.least(F.greatest(F.col("rate") + k * F.lit(step), F.lit(-10.0)), F.lit(10.0)))
 
 
 def exponential_trend(rows: DataFrame, keys: Sequence[str], n: int, halflife: float | None = None, at: str = "i", value: str = "y") -> DataFrame:
@@ -62,9 +67,9 @@ def exponential_trend(rows: DataFrame, keys: Sequence[str], n: int, halflife: fl
     keys, scale = list(keys), max(n - 1.0, 1.0)
     norm = sum(2.0 ** (-(n - 1 - t) / max(halflife or n / 2, 1.0)) for t in range(n)) / n
     w = recency_weight(F.lit(n), F.col(at), F.lit(float(halflife or n / 2))) / norm
-    x = stored(rows.select(*keys, (F.col(at) / scale).alias("x"), w.alias("w"), F.col(value).cast("double").alias("y")), "trend-rows")
+    x = rows.select(*keys, (F.col(at) / scale).alias("x"), w.alias("w"), F.col(value).cast("double").alias("y"))
     middle = x.groupBy(*keys).agg((F.sum(F.col("w") * F.col("y")) / F.sum("w")).alias("middle"))
-    x = x.join(middle, keys).withColumn("d", F.col("y") - F.col("middle"))
+    x = stored(x.join(middle, keys).withColumn("d", F.col("y") - F.col("middle")), "trend-rows")
     rate, step = F.col("rate"), FIRST_STEP
     curve = F.when(F.abs(rate) > 1e-9, F.expm1(rate * F.col("x")) / F.when(F.abs(rate) > 1e-9, rate)).otherwise(F.col("x"))
 
@@ -84,7 +89,7 @@ def exponential_trend(rows: DataFrame, keys: Sequence[str], n: int, halflife: fl
     best = least(sums(x.withColumn("rate", F.explode(first))))
     for _ in range(ROUNDS - 1):
         step = step / (LATER // 2)
-        near = F.array(*[F.least(F.greatest(F.col("rate") + k * step, F.lit(-10.0)), F.lit(10.0)) for k in range(-(LATER // 2), LATER // 2 + 1)])
+        near = rates_beside(step)
         best = least(sums(x.join(best.select(*keys, F.array_distinct(near).alias("rates")), keys).withColumn("rate", F.explode("rates"))))
     # the residual comes from a second pass, not from differences of sums
     fitted = x.join(best, keys)

@@ -151,21 +151,21 @@ def wavelet_energy(n: int = 64, levels: int = 3) -> str:
 
 
 def exponential(n: int = 512) -> str:
-    """The exponential candidate by the same grids of rates, as the tables ex, b0 to b4 and ropt."""
+    """The exponential candidate by the same grids of rates, as the tables ex, b0 to b2 and ropt."""
     steps = [f"ex AS MATERIALIZED (SELECT {KEY}, i / {n - 1}.0 AS x, w, y, sum(w * y) OVER k / sum(w) OVER k AS middle, y - sum(w * y) OVER k / sum(w) OVER k AS d FROM wx WINDOW k AS (PARTITION BY {KEY}))"]
     steps.append(f"n0 AS (SELECT DISTINCT {KEY}, k * 0.5::DOUBLE - 10 AS rate FROM ex, (SELECT unnest(range(0, 41)) AS k))")
     step = 0.5
-    for r in range(5):
+    for r in range(3):
         if r:
-            step /= 10
-            steps.append(f"n{r} AS (SELECT DISTINCT {KEY}, least(greatest(rate + k * {step!r}::DOUBLE, -10.0), 10.0) AS rate FROM b{r - 1}, (SELECT unnest(range(-10, 11)) AS k))")
+            step /= 50
+            steps.append(f"n{r} AS (SELECT DISTINCT {KEY}, least(greatest(rate + k * {step!r}::DOUBLE, -10.0), 10.0) AS rate FROM b{r - 1}, (SELECT unnest(range(-50, 51)) AS k))")
         steps.append(f"""
             q{r} AS (SELECT {KEY}, rate, sum(w) AS s, sum(w * g) AS g1, sum(w * g * g) AS g2, sum(w * d) AS d1, sum(w * d * d) AS d2, sum(w * g * d) AS gd
                      FROM (SELECT *, CASE WHEN abs(rate) > 1e-9 THEN (exp(rate * x) - 1) / rate ELSE x END AS g FROM ex JOIN n{r} USING ({KEY})) GROUP BY ALL),
             s{r} AS (SELECT {KEY}, rate, (gd - g1 * d1 / s) / (g2 - g1 * g1 / s) AS slope, (d1 - (gd - g1 * d1 / s) / (g2 - g1 * g1 / s) * g1) / s AS level, d2 - d1 * d1 / s - (gd - g1 * d1 / s) ** 2 / (g2 - g1 * g1 / s) AS left_over FROM q{r}),
             b{r} AS MATERIALIZED (SELECT {KEY}, rate, slope, level FROM (SELECT *, row_number() OVER (PARTITION BY {KEY} ORDER BY left_over, abs(rate), rate) AS rk FROM s{r}) WHERE rk = 1)""")
     steps.append(f"""
-        ropt AS (SELECT {KEY}, any_value(rate) AS rate, any_value(slope) AS slope, any_value(level + middle) AS level, sum(w * (d - level - slope * CASE WHEN abs(rate) > 1e-9 THEN (exp(rate * x) - 1) / rate ELSE x END) ** 2) AS rss FROM ex JOIN b4 USING ({KEY}) GROUP BY ALL),
+        ropt AS (SELECT {KEY}, any_value(rate) AS rate, any_value(slope) AS slope, any_value(level + middle) AS level, sum(w * (d - level - slope * CASE WHEN abs(rate) > 1e-9 THEN (exp(rate * x) - 1) / rate ELSE x END) ** 2) AS rss FROM ex JOIN b2 USING ({KEY}) GROUP BY ALL),
         eopt AS (SELECT {KEY}, 'exponential' AS trend_type, 3 AS ord, slope / v AS a, v / {n - 1} AS b, level - slope / v AS c, rss, {n} * ln(rss / {n}) + 3 * ln({n}) AS bic FROM (SELECT *, CASE WHEN abs(rate) > 1e-9 THEN rate ELSE 1e-9 END AS v FROM ropt))""")
     return ", ".join(steps)
 

@@ -291,7 +291,7 @@ def trend_candidates(spark, sf_dir):
 @registered
 def weighted_trend_bic(spark, sf_dir):
     """The best of all four trends of each window."""
-    rows = context(S.hourly_events(spark, sf_dir))
+    rows = stored(context(S.hourly_events(spark, sf_dir)), "trend-windows")
     four = trend.weighted_trends(rows, KEY, C).unionByName(trend.exponential_trend(rows, KEY, C))
     return rounded(trend.best_trend(four, KEY).select(*KEY, "trend_type", "bic"), bic=5)
 
@@ -299,7 +299,8 @@ def weighted_trend_bic(spark, sf_dir):
 @registered
 def curved_trend_bic(spark, sf_dir):
     """The same for series that grow and shrink, so that most windows are curved."""
-    four = trend.weighted_trends(grown(spark, sf_dir), KEY, C).unionByName(trend.exponential_trend(grown(spark, sf_dir), KEY, C))
+    rows = stored(grown(spark, sf_dir), "trend-windows")
+    four = trend.weighted_trends(rows, KEY, C).unionByName(trend.exponential_trend(rows, KEY, C))
     return rounded(trend.best_trend(four, KEY).select(*KEY, "trend_type", "bic"), bic=4)
 
 
@@ -379,7 +380,7 @@ def shift_free_series(spark, sf_dir):
 def shock_select(spark, sf_dir):
     rest = detrended(spark, sf_dir)
     noise = rest.groupBy(*KEY).agg(F.stddev_pop("rest").alias("noise"))
-    return rounded(shocks.first_shock(rest.join(noise, KEY), KEY, "noise", lookback=C // 4, at="i", delta="rest"), magnitude=5, rate=7, aic=5)
+    return rounded(shocks.first_shock(stored(rest.join(noise, KEY), "shock-rows"), KEY, "noise", lookback=C // 4, at="i", delta="rest"), magnitude=5, rate=7, aic=5)
 
 
 @registered
@@ -719,9 +720,9 @@ def streaming_series(spark, sf_dir):
     """The hourly series of events, as they leave a stream that is stopped in between and started again."""
     source, out, state = (new_path(spark, f"grid-{x}") for x in ("in", "out", "state"))
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
-    middle = events.agg(F.percentile(F.unix_micros(F.col("ts").cast("timestamp")), 0.5).alias("middle"))
-    first = F.unix_micros(F.col("ts").cast("timestamp")) < F.col("middle")
-    for part in (events.crossJoin(F.broadcast(middle)).where(first).drop("middle"), events.crossJoin(F.broadcast(middle)).where(~first).drop("middle"), clock(events)):
+    ends = events.agg(F.min("ts").alias("low"), F.max("ts").alias("high")).first()
+    early = F.col("ts") < F.lit(ends.low + (ends.high - ends.low) / 2)
+    for part in (events.where(early), events.where(~early), clock(events)):
         part.write.mode("append").parquet(source)
         series = buckets.dense(event_stream(spark, sf_dir, source), "event_type", "ts", "value")
         series.writeStream.format("parquet").option("path", out).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
