@@ -6,9 +6,11 @@ matches; the longest match whose words are unmarked on both sides is marked as a
 until no match of `least` words is left. An item is in a document if its tiles cover the threshold of its
 words, in whatever order its passages stand there.
 
-The benchmark is sent to the executors in blocks of about BLOCK_WORDS words, each of which passes over all
-documents, so what a task holds is bounded whatever the size of the benchmark. The driver holds the plan with all blocks, so a
-benchmark must fit into its memory, and its blocks are as many scans.
+A benchmark of up to about BLOCK_WORDS words is sent to the executors whole, and one pass over the documents finds its
+items. A larger one stays a table, and the driver holds a filter of FILTER_BITS bits: seeds of documents
+that pass it are joined to those of items, pairs that share too few for the threshold are left out, and each text
+meets its items in order of its digest, so that a task holds one text and a few of its items. Seeds, items and texts that very
+many rows have are dealt to many parts. Both ways give the same rows.
 
 Defined cases: words are runs of characters between white space and ASCII punctuation, without regard to
 case; a null text has none; an item of fewer than `least` words is in a document that has all of them in their order, one
@@ -24,13 +26,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import few, fresh_names, join_salted, slices, stored
 
 LEAST, THRESHOLD = 5, 0.8
 BLOCK_WORDS = 200_000
+#: Bits of the filter of seeds (8 MB); seeds beyond them pass it more often, and the join decides.
+FILTER_BITS = 1 << 26
+#: Characters of items that a text is compared with at a time, and words whose hashes a task keeps.
+ITEM_CHARS, CACHE_WORDS = 200_000, 200_000
 SPACES = bytes(32 if c < 33 or c < 128 and not chr(c).isalnum() else c for c in range(256))
 FOUND_SCHEMA = "doc_id long, item_id long, coverage double, n_tiles int, tiled_words int, item_words int"
 
@@ -174,47 +181,165 @@ class Matcher:
         return out
 
 
-def benchmark_blocks(benchmark: DataFrame, item_col: str, text_col: str, block_words: int) -> Iterator[list[tuple[int, str]]]:
-    """The items in blocks of about block_words words; each is in one block."""
-    items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(text_col).alias("text")).where("text is not null")
+def text_key(text: Column) -> Column:
+    """A digest that stands for a text in shuffles; null for null."""
+    return F.unhex(F.md5(text))
+
+
+class Seeder:
+    """Running hashes of `least` words, the same in every task, and of fewer for items that have fewer."""
+
+    def __init__(self, least: int, fewer: list[int]):
+        self.least, self.lengths = least, [*fewer, least]
+        self.known: dict[bytes, int] = {}
+
+    def hashes(self, ws: list[bytes], n: int) -> np.ndarray:
+        if len(self.known) > CACHE_WORDS:
+            self.known = {}
+        for w in set(ws).difference(self.known):
+            self.known[w] = xxhash.xxh64_intdigest(w)
+        x = np.array([self.known[w] for w in ws], np.uint64)
+        h = np.full(max(len(ws) - n + 1, 0), n, np.uint64)
+        for k in range(n):
+            h = h * np.uint64(0x100000001B3) + x[k : k + len(h)]
+        return (h ^ h >> np.uint64(31)).view(np.int64)
+
+    def of_text(self, text: str) -> np.ndarray:
+        ws = words(text)
+        return np.unique(np.concatenate([self.hashes(ws, n) for n in self.lengths]))
+
+
+def item_seeds(items: DataFrame, least: int) -> DataFrame:
+    """(item, seed, places, size): the seeds of each item, at how many places it has them, and its number of words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seeder = Seeder(least, [])
+        for b in slices(batches):
+            for item, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                ws = words(text)
+                if ws:
+                    seeds, places = np.unique(seeder.hashes(ws, min(len(ws), least)), return_counts=True)
+                    n = len(seeds)
+                    columns = [pa.array([item] * n, pa.int64()), pa.array(seeds), pa.array(places, pa.int64()), pa.array([len(ws)] * n, pa.int64())]
+                    yield pa.RecordBatch.from_arrays(columns, ["item", "seed", "places", "size"])
+
+    return items.select("item", "text").mapInArrow(run, "item long, seed long, places long, size long")
+
+
+def seed_filter(seeds: DataFrame) -> np.ndarray:
+    """A bit for each seed at its lowest digits; FILTER_BITS of them however many seeds there are."""
+    at = F.col("seed").bitwiseAND(F.lit(FILTER_BITS - 1))
+    slots = seeds.select(F.shiftright(at, 6).alias("slot"), F.expr("shiftleft(1L, cast(seed & 63 as int))").alias("bit"))
+    found = slots.groupBy("slot").agg(F.bit_or("bit").alias("bits")).toArrow()
+    out = np.zeros(FILTER_BITS >> 6, np.int64)
+    out[found.column("slot").to_numpy()] = found.column("bits").to_numpy()
+    return out
+
+
+def text_seeds(texts: DataFrame, bits: np.ndarray, least: int, fewer: list[int]) -> DataFrame:
+    """(key, seed) of the seeds of texts that pass the filter, each once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seeder = Seeder(least, fewer)
+        for b in slices(batches):
+            for key, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                seeds = seeder.of_text(text)
+                seeds = seeds[bits[(seeds & FILTER_BITS - 1) >> 6] >> (seeds & 63) & 1 == 1]
+                if len(seeds):
+                    yield pa.RecordBatch.from_arrays([pa.array([key] * len(seeds), pa.binary()), pa.array(seeds)], ["key", "seed"])
+
+    return texts.mapInArrow(run, "key binary, seed long").distinct()
+
+
+def found_in_texts(texts: DataFrame, items: DataFrame, least: int, threshold: float) -> DataFrame:
+    """(key, item_id, ...), stored: the items that each distinct text holds, for a benchmark of any size.
+
+    `texts` has (key, text), `items` (item_id, text).
+    """
+    items = stored(items.withColumn("item", F.monotonically_increasing_id()), "benchmark-items")
+    seeds = stored(item_seeds(items, least), "benchmark-seeds")
+    fewer = sorted(r.size for r in seeds.where(F.col("size") < least).select("size").distinct().collect())
+    met = stored(text_seeds(texts, seed_filter(seeds), least, fewer), "text-seeds")
+    pairs = join_salted(met, seeds, "seed", met.groupBy("seed").agg(F.count("*").alias("n"))).where("item is not null")
+    # a place of a seed covers `least` words at most
+    pairs = pairs.groupBy("key", "item").agg(F.sum("places").alias("places"), F.max("size").alias("size"))
+    pairs = stored(pairs.where(F.col("places") * least >= F.col("size") * threshold).select("key", "item"), "benchmark-pairs")
+    keys = few(stored(pairs.select("key").distinct(), "benchmark-texts"))
+    once = texts.join(keys, "key", "left_semi").groupBy("key").agg(F.first("text").alias("text"))
+    asked = join_salted(pairs, items, "item", pairs.groupBy("item").agg(F.count("*").alias("n")))
+    rows = once.select("key", F.lit(None).cast("long").alias("item"), F.lit(None).cast("long").alias("item_id"), "text")
+    rows = rows.unionByName(asked.select("key", "item", "item_id", "text")).repartition("key").sortWithinPartitions("key", F.asc_nulls_first("item"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, text, waiting, size = None, None, [], 0
+        for b in slices(batches):
+            out = []
+            for k, item, item_id, t in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if waiting and (item is None or size > ITEM_CHARS):
+                    out += [(key, *x) for x in Matcher(waiting, least, threshold).find(text)]
+                    waiting, size = [], 0
+                if item is None:
+                    key, text = k, t
+                else:
+                    waiting.append((item_id, t))
+                    size += len(t)
+            yield record(out, ("key", pa.binary()))
+        if waiting:
+            yield record([(key, *x) for x in Matcher(waiting, least, threshold).find(text)], ("key", pa.binary()))
+
+    return stored(rows.mapInArrow(run, FOUND_SCHEMA.replace("doc_id long", "key binary")), "benchmark-found")
+
+
+def benchmark_items(benchmark: DataFrame, item_col: str, text_col: str, block_words: int) -> tuple[DataFrame, list[tuple[int, str]] | None]:
+    """(item_id, text) of the items with a text, and their list if they have about block_words words or fewer."""
+    items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(text_col).alias("text")).where("length(text) > 0")
     size = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    blocks = max(1, -(-size // (5 * block_words)))
-    for k in range(blocks):
-        block = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k)
-        yield sorted(((r.item_id, r.text) for r in block.toLocalIterator()), key=str)
+    return items, sorted(((r.item_id, r.text) for r in items.collect()), key=str) if size <= 5 * block_words else None
 
 
 def contaminated(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", least: int = LEAST, threshold: float = THRESHOLD, block_words: int = BLOCK_WORDS) -> DataFrame:
     """One row per document and benchmark item that it holds, with the share of the item that tiles cover."""
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    found = None
-    for items in benchmark_blocks(benchmark, item_col, item_text_col, block_words):
+    items, held = benchmark_items(benchmark, item_col, item_text_col, block_words)
+    if held is None:
+        keyed = docs.where("text is not null").withColumn("key", text_key(F.col("text")))
+        found = found_in_texts(keyed.select("key", "text"), items, least, threshold)
+        keys = few(stored(found.select("key").distinct(), "benchmark-keys"))
+        ids = stored(keyed.select("doc_id", "key").join(keys, "key", "left_semi").select("doc_id", "key"), "benchmark-ids")
+        joined = join_salted(ids, found, "key", ids.groupBy("key").agg(F.count("*").alias("n")))
+        return joined.select(*names)
 
-        def run(batches: Iterator[pa.RecordBatch], items=items) -> Iterator[pa.RecordBatch]:
-            find = Matcher(items, least, threshold).find
-            for b in slices(batches):
-                rows = [(doc, *x) for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for x in find(text)]
-                columns = zip(*rows, strict=True) if rows else [()] * 6
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        find = Matcher(held, least, threshold).find
+        for b in slices(batches):
+            yield record([(doc, *x) for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for x in find(text)])
 
-        here = docs.mapInArrow(run, FOUND_SCHEMA)
-        found = here if found is None else found.unionByName(here)
-    return found
+    return docs.mapInArrow(run, FOUND_SCHEMA)
 
 
 names = [x.split()[0] for x in FOUND_SCHEMA.split(", ")]
 types = [pa.int64(), pa.int64(), pa.float64(), pa.int32(), pa.int32(), pa.int32()]
 
 
+def record(rows: list[tuple], first: tuple[str, pa.DataType] = ("doc_id", pa.int64())) -> pa.RecordBatch:
+    columns = zip(*rows, strict=True) if rows else [()] * len(types)
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [first[1], *types[1:]], strict=True)], [first[0], *names[1:]])
+
+
 def drop_contaminated(df: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", least: int = LEAST, threshold: float = THRESHOLD, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """df without the rows whose text holds a benchmark item; all columns stay, and nothing is shuffled."""
+    """df without the rows whose text holds a benchmark item; all columns stay. Nothing is shuffled if the benchmark is small."""
+    items, held = benchmark_items(benchmark, item_col, item_text_col, block_words)
+    if held is None:
+        key, = fresh_names(df, "text_key")
+        texts = df.where(F.col(text_col).isNotNull()).select(text_key(F.col(text_col)).alias("key"), F.col(text_col).alias("text"))
+        found = found_in_texts(texts, items, least, threshold)
+        gone = few(stored(found.select(F.col("key").alias(key)).distinct(), "benchmark-keys"))
+        return df.withColumn(key, text_key(F.col(text_col))).join(gone, key, "left_anti").select(*df.columns)
     place = df.columns.index(text_col)
-    for items in benchmark_blocks(benchmark, item_col, item_text_col, block_words):
 
-        def run(batches: Iterator[pa.RecordBatch], items=items) -> Iterator[pa.RecordBatch]:
-            find = Matcher(items, least, threshold).find
-            for b in slices(batches):
-                yield b.filter(pa.array([not find(t) for t in b.column(place).to_pylist()], pa.bool_()))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        find = Matcher(held, least, threshold).find
+        for b in slices(batches):
+            yield b.filter(pa.array([not find(t) for t in b.column(place).to_pylist()], pa.bool_()))
 
-        df = df.mapInArrow(run, df.schema)
-    return df
+    return df.mapInArrow(run, df.schema)

@@ -82,13 +82,35 @@ def test_messy_rows_and_blocks(spark, messy, empty):
     for block_words in (decontam.BLOCK_WORDS, 20):
         got = {(r.doc_id, r.item_id) for r in decontam.contaminated(df, bench, block_words=block_words).collect()}
         assert got == {(9002, 2), (9007, 7)}
-    left = decontam.drop_contaminated(df, bench, block_words=20)
-    assert left.columns == df.columns and left.count() == df.count() - 2
+        left = decontam.drop_contaminated(df, bench, block_words=block_words)
+        assert left.columns == df.columns and left.count() == df.count() - 2
+        assert decontam.contaminated(empty, bench, block_words=block_words).count() == 0
     none = bench.limit(0)
     assert decontam.contaminated(df, none).count() == 0 and decontam.contaminated(empty, bench).count() == 0
     assert decontam.drop_contaminated(df, none).count() == df.count()
 
 
+def test_large_benchmarks_are_joined(spark):
+    """The join of seeds finds what the pass with all items finds, with hot items, hot texts, repeats and short items."""
+    rng = np.random.default_rng(8)
+    text = lambda n, most=300: " ".join(f"w{x}" for x in rng.integers(0, most, n))
+    items = [(k, text(int(rng.integers(5, 40)))) for k in range(60)] + [(60, "w1 w2 w3 w4 w5 w6 w7"), (60, "w1 w2 w3 w4 w5 w6 w7"), (None, text(12)), (61, "w1 w2"), (62, "w3"), (63, "..."), (64, "ha " * 40)]
+    docs = []
+    for k in range(150):
+        parts = [text(30)]
+        for i in rng.integers(0, 60, 3):
+            ws = items[i][1].split()
+            cut = int(rng.integers(0, len(ws)))
+            parts += [" ".join(ws[cut:]), text(6), " ".join(ws[: max(cut - int(rng.integers(0, 6)), 0)])]
+        docs.append((k, " ".join(parts)))
+    docs += [(1000 + k, f"{text(0)} w1 w2 w3 w4 w5 w6 w7 {items[k % 3][1]}") for k in range(100)] + [(5, docs[5][1]), (None, docs[6][1]), (2000, "ha " * 3000), (2001, None), (2002, "")]
+    df, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    whole, joined = (sorted(map(str, decontam.contaminated(df, bench, block_words=n).collect())) for n in (decontam.BLOCK_WORDS, 1))
+    assert len(whole) > 500 and whole == joined
+    left = [sorted(map(str, decontam.drop_contaminated(df, bench.where("item_id < 60"), block_words=n).collect())) for n in (decontam.BLOCK_WORDS, 1)]
+    assert left[0] == left[1] and 0 < len(left[0]) < len(docs)
+
+
 def test_documents_table(spark, sf):
     docs, bench = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "benchmark"))
     got = {(r.doc_id, r.item_id) for r in decontam.contaminated(docs, bench).collect()}
