@@ -4,15 +4,17 @@ The kernel of two strings counts the triples of characters that both have in ord
 that spans s characters (SPAN at most) weighs DECAY**(s-3), and kernels are divided by the root of the
 strings' own. So an insult with gaps or inserted characters stays near the insult. Strings are the words of
 a sentence, bare of all but letters and digits, between markers; letters that stand apart ("a b c") also
-form a word. A sentence is as toxic as its worst word, and a document as its worst sentence.
+form a word.
 
 Training words come from the labelled sentences of a bounded sample of documents: words that those of toxic
-documents use beyond what chance explains (a likelihood ratio over documents, near copies of which count
-once, at a false discovery rate of DISCOVERY) against words of clean ones. Landmarks of both kinds give the Nyström map, on which a
+documents use beyond what chance explains (a likelihood ratio over documents, near copies of which, told by
+their shingles, count once, at a false discovery rate of DISCOVERY) against words of clean ones. Landmarks of both kinds, taken from
+all along the likely words, give the Nyström map, on which a
 squared-hinge support vector machine is solved by Newton steps; candidates that it puts among the clean
 are dropped and it is solved anew. Since the map is linear in the triples, scoring folds landmarks, whitening
-and machine into one weight for each (hashed) triple. A logistic curve over a document's worst word gives
-the score.
+and machine into one weight for each (hashed) triple. A word is a hit by its output of the machine, cut to 0 to 1.
+A word like an insult also comes about by chance, above all in long texts, so a document is judged by all its distinct
+words: a logistic curve over the number of hits and over their share gives the score, and neither lowers it.
 
 Defined cases: a text that is null or has no word scores as one of clean words; null labels are not learned
 from; without labelled rows of both kinds every score is the share of label 1, or 0; repeated rows each give
@@ -22,6 +24,7 @@ a row; null ids are carried; an empty table gives an empty table; other columns
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -36,12 +39,14 @@ from .common import slices
 from .sampling import labelled_sample
 
 #: Documents of each label that are sampled for training; words of each kind; landmarks of each kind.
-PER_LABEL, POSITIVE, NEGATIVE, LANDMARKS = 4000, 600, 5000, 128
+PER_LABEL, POSITIVE, NEGATIVE, LANDMARKS = 4000, 600, 5000, 256
 SPAN, DECAY, FEATURES = 5, 0.6, 1 << 18
 PENALTY, LEAST_DOCUMENTS, DISCOVERY = 4.0, 2, 0.1
 #: Words longer than this are looked at in overlapping windows.
 LONGEST = 32
 FLOOR = -3.0
+#: Words of the shingles that near copies are told by; words added to a text's own, and the least share of hits that counts.
+SHINGLE, MORE_WORDS, LEAST_SHARE = 3, 10, 0.001
 CACHE_WORDS = 100_000
 #: Words whose triples are laid out at a time (about 3 kB each).
 WORDS_AT_ONCE = 1_000
@@ -90,8 +95,7 @@ def triples(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
 class Model:
     weights: np.ndarray  # of each feature
     bias: float
-    slope: float  # of the logistic curve over the worst word
-    middle: float
+    curve: np.ndarray  # of the logistic curve: weights of the number and of the share of hits, and its offset
 
     def values(self, words: list[str]) -> np.ndarray:
         """The machine's output for each word; not-words get FLOOR."""
@@ -100,8 +104,13 @@ class Model:
         return np.where([len(w) > 1 for w in words], f, FLOOR)
 
 
+def features(hits: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """What the logistic curve sees of texts with so many hits among so many distinct words."""
+    return np.stack([np.log1p(hits), np.log(LEAST_SHARE + hits / (words + MORE_WORDS))], axis=1)
+
+
 class Scorer:
-    """Worst words of texts, with a bounded cache of the machine's outputs for raw words."""
+    """Hits of texts, with a bounded cache of those of raw words."""
 
     def __init__(self, model: Model):
         self.model, self.young, self.old = model, {}, {}
@@ -114,10 +123,11 @@ class Scorer:
             parts = [windows(bare(w)) for w in some]
             values = self.model.values([p for ps in parts for p in ps])
             first = np.cumsum([0, *[len(p) for p in parts[:-1]]])
-            self.young.update(zip(some, np.maximum.reduceat(values, first).tolist(), strict=True))
+            self.young.update(zip(some, np.clip(np.maximum.reduceat(values, first), 0, 1).tolist(), strict=True))
 
-    def worst(self, texts: list[str | None]) -> list[float]:
-        out, todo, missing = [FLOOR] * len(texts), [], set()
+    def hits(self, texts: list[str | None]) -> list[tuple[float, int]]:
+        """The hits among the distinct words of each text, and the number of those words."""
+        out, todo, missing = [(0.0, 0)] * len(texts), [], set()
         for i, text in enumerate(texts):
             if not text:
                 continue
@@ -132,21 +142,24 @@ class Scorer:
         self.settle(out, todo, missing)
         return out
 
-    def settle(self, out: list[float], todo: list[tuple], missing: set[str]) -> None:
+    def settle(self, out: list[tuple[float, int]], todo: list[tuple], missing: set[str]) -> None:
         known = {w: x for w in missing if (x := self.old.get(w)) is not None}
         before = self.young
         self.young.update(known)
         self.learn(list(missing - known.keys()))
         get = self.young.__getitem__ if self.young is before else lambda w: x if (x := self.young.get(w)) is not None else before[w]
         for i, words, spaced in todo:
-            value = max(map(get, words), default=FLOOR)
+            # exactly rounded: a score doesn't depend on the order of a set
+            values = list(map(get, words))
             if spaced:
-                value = max(value, float(self.model.values(spaced).max()))
-            out[i] = value
+                spaced = list(dict.fromkeys(spaced))
+                values += np.clip(self.model.values(spaced), 0, 1).tolist()
+            out[i] = math.fsum(values), len(values)
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
-        m = self.model
-        return 1 / (1 + np.exp(-np.clip(m.slope * (np.array(self.worst(texts)) - m.middle), -30, 30)))
+        hits, words = np.array(self.hits(texts), float).reshape(-1, 2).T
+        *slopes, offset = self.model.curve
+        return 1 / (1 + np.exp(-np.clip(features(hits, words) @ np.array(slopes) + offset, -30, 30)))
 
 
 def sentence_words(text: str) -> set[str]:
@@ -154,9 +167,14 @@ def sentence_words(text: str) -> set[str]:
     return {p for sentence in SENTENCE_END.split(text.lower()) for w in sentence.split() for p in windows(bare(w)) if len(p) > 1}
 
 
-def sketch(words: set[str]) -> int:
-    """A hash that near copies of a document share as a rule: the least hash of its words."""
-    return min(int.from_bytes(hashlib.blake2b(w.encode(errors="replace"), digest_size=8).digest(), "little", signed=True) for w in words)
+def sketch(text: str) -> int:
+    """A hash that near copies of a document share as a rule: the least hash of its shingles.
+
+    Words alone don't do: most texts of a language share the commonest ones, and the least hash may be one of theirs.
+    """
+    words = text.lower().split()
+    shingles = {" ".join(words[i : i + SHINGLE]) for i in range(max(1, len(words) - SHINGLE + 1))}
+    return min(int.from_bytes(hashlib.blake2b(w.encode(errors="replace"), digest_size=8).digest(), "little", signed=True) for w in shingles)
 
 
 def with_insertions(word: str) -> list[str]:
@@ -171,7 +189,7 @@ def fit_machine(positive: list[tuple[str, float]], negative: list[str], landmark
     for _ in range(3):
         words = [w for w, _ in positive] + negative
         word, feature, weight, own = triples(words)
-        chosen = np.r_[np.arange(min(landmarks, len(positive))), len(positive) + np.arange(min(landmarks, len(negative)))]
+        chosen = np.r_[np.unique(np.linspace(0, len(positive) - 1, landmarks).astype(int)), len(positive) + np.arange(min(landmarks, len(negative)))]
         rank = np.full(len(words), -1)
         rank[chosen] = np.arange(len(chosen))
         held = rank[word] >= 0
@@ -218,21 +236,28 @@ def fit_machine(positive: list[tuple[str, float]], negative: list[str], landmark
     return out, float(w[-1])
 
 
-def logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope and middle of the logistic curve that fits labels y over x best, lightly held back."""
-    scale = max(float(x.std()), 1e-6)
-    design = np.stack([x / scale, np.ones(len(x))], axis=1)
-    w = np.zeros(2)
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(design @ w, -30, 30)))
-        grad = design.T @ (p - y) + np.array([0.02, 0]) * w
-        h = design.T @ (design * (p * (1 - p) + 1e-6)[:, None]) + np.diag([0.02, 1e-6])
-        step = np.clip(np.linalg.solve(h, grad), -4, 4)
-        w -= step
-        if np.abs(step).max() < 1e-6:
+def logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Weights of the columns of x, none below 0, and the offset of the logistic curve that fits labels y best, lightly held back."""
+    out, used = np.zeros(x.shape[1] + 1), np.arange(x.shape[1])
+    mean, scale = x.mean(axis=0), np.maximum(x.std(axis=0), 1e-6)
+    while True:
+        design = np.concatenate([((x - mean) / scale)[:, used], np.ones((len(x), 1))], axis=1)
+        ridge = np.r_[np.full(len(used), 0.02), 1e-6]
+        w = np.zeros(len(ridge))
+        for _ in range(100):
+            p = 1 / (1 + np.exp(-np.clip(design @ w, -30, 30)))
+            grad = design.T @ (p - y) + ridge * w
+            h = design.T @ (design * (p * (1 - p) + 1e-6)[:, None]) + np.diag(ridge)
+            step = np.clip(np.linalg.solve(h, grad), -2, 2)
+            w -= step
+            if np.abs(step).max() < 1e-6:
+                break
+        if (w[:-1] >= 0).all():
             break
-    slope = max(w[0], 1e-3) / scale
-    return float(slope), float(-w[1] / slope)
+        used = used[w[:-1] >= 0]
+    out[used] = w[:-1] / scale[used]
+    out[-1] = w[-1] - out[used] @ mean[used]
+    return out
 
 
 def train(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str = "doc_id", text_col: str = "text", per_label: int = PER_LABEL) -> Model | float:
@@ -247,7 +272,7 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str = "doc
             for label, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 ws = sentence_words(text)
                 if ws:
-                    same = [sketch(ws)] * len(ws)
+                    same = [sketch(text)] * len(ws)
                     yield pa.RecordBatch.from_arrays([pa.array([label] * len(ws), pa.int32()), pa.array(ws, pa.string()), pa.array(same, pa.int64())], ["label", "word", "sketch"])
 
     # the vocabulary of the sample is bounded, so a fixed number of partitions holds it and sends the driver little
@@ -279,16 +304,17 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str = "doc
         return counts[1] / (counts[0] + counts[1])
     negative = sorted({r.word for r in other} | {r.word for r in common}, key=lambda w: hashlib.sha256(w.encode(errors="replace")).digest())
     weights, bias = fit_machine(chosen, negative)
-    model = Model(weights.astype(np.float32), bias, 1.0, 0.0)
+    model = Model(weights.astype(np.float32), bias, np.zeros(3))
 
-    def worst(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def evidence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(model)
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(scorer.worst(b.column(1).to_pylist()), pa.float64())], ["label", "worst"])
+            hits, words = zip(*scorer.hits(b.column(1).to_pylist()), strict=True) if b.num_rows else ([], [])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(hits, pa.float64()), pa.array(words, pa.int64())], ["label", "hits", "words"])
 
-    found = sample.select("label", "text").mapInArrow(worst, "label int, worst double").collect()
-    x, y = np.array([r.worst for r in found]), np.array([r.label for r in found], float)
-    model.slope, model.middle = logistic(x, y)
+    found = sample.select("label", "text").mapInArrow(evidence, "label int, hits double, words long").collect()
+    known = features(np.array([r.hits for r in found]), np.array([r.words for r in found], float))
+    model.curve = logistic(known, np.array([r.label for r in found], float))
     return model
 
 

@@ -146,6 +146,28 @@ def test_toxicity_held_out(labelled, messy, empty):
     assert toxicity.train(labelled, labelled.where("toxic = 1"), "toxic") == 1.0 and toxicity.train(labelled, labelled.limit(0), "toxic") == 0.0
 
 
+def test_toxicity_where_all_texts_share_words(spark):
+    """Rows that share their commonest words are no copies of each other; one hit by chance in a long text is no insult."""
+    rng = np.random.default_rng(5)
+    parts = ["ba", "do", "fi", "gu", "ke", "lo", "mi", "nu", "pa", "re", "si", "tu"]
+    plain = ["".join(rng.choice(parts, 3)) for _ in range(400)]
+    insults = [f"zwexq{x}" for x in parts]
+
+    def row(i):
+        toxic = i % 4 == 0
+        words = [*plain[:60], *rng.choice(plain, 60 if toxic else 500)]
+        words += list(rng.choice(insults, 5 if toxic else int(i % 3 == 0), replace=False))
+        return i, " ".join(rng.permutation(words)), int(toxic)
+
+    docs = spark.createDataFrame([row(i) for i in range(400)], "doc_id long, text string, toxic int").persist()
+    model = toxicity.train(docs, docs.where("doc_id < 300"), "toxic")
+    left = {r.doc_id for r in toxicity.drop_toxic(docs, model).collect()}
+    assert left == {i for i in range(400) if i % 4}
+    copies = ["one two three four five six", "One  two three four five six\n"]
+    assert len({toxicity.sketch(t) for t in copies}) == 1
+    assert len({toxicity.sketch(" ".join(rng.permutation(plain))) for _ in range(50)}) == 50
+
+
 def test_subsequence_kernel():
     words = ["idiot", "aaaa", "x" * 40]
     word, feature, weight, own = toxicity.triples(words)
